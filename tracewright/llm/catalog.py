@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewright.llm import exact_dedup, mixing
+from tracewright.llm import decontaminate, exact_dedup, mixing
 from tracewright.llm.shared import table
 
 
@@ -16,11 +17,26 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op8_decontamination": op8_decontamination,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op8_decontamination": decontaminate.ORACLE,
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +42,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's source to the Python workers, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewright_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="tracewright-")) / "tracewright_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._tracewright_shipped = True
