@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, exact_dedup, mixing, substring_dedup
+from tracewright.llm import decontaminate, exact_dedup, mixing, substring_dedup, url_filter
 from tracewright.llm.shared import table
 
 
@@ -18,6 +18,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,12 +42,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
     "op8_decontamination": op8_decontamination,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op5_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
 }
