@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, exact_dedup, mixing, pii, substring_dedup, url_filter
+from tracewright.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, substring_dedup, url_filter
 from tracewright.llm.shared import table
 
 
@@ -49,6 +49,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
     "op8_decontamination": op8_decontamination,
+    "op9_near_dedup": op9_near_dedup,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
@@ -63,4 +68,5 @@ ORACLES = {
     "op5_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
 }

@@ -31,32 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import durable, map_arrow, parallelism
-from tracewright.llm.tokens import covered, grams, mix, slices, within, word_hashes, words_of
+from tracewright.llm.packs import pack_documents, unpack
+from tracewright.llm.shared import map_arrow, parallelism
+from tracewright.llm.tokens import covered, grams, mix, within, word_hashes, words_of
 
 _U = np.uint64
 _SECOND = _U(0x5851F42D4C957F2D)
 
 
-def _pack(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 32
-    for batch in pairs:
-        for part in slices(batch, "text"):
-            part = part.sort_by("key")  # the order in which phrases count as earlier
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(part) if isinstance(part, pa.RecordBatch) else out.write_table(part)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack", "body"])
-            number += 1
-
-
 class Pack:
     """A pack's documents as words, phrases and anchors."""
 
     def __init__(self, body: bytes, window: int):
-        t = pa.ipc.open_stream(body).read_all().combine_chunks()
+        t = unpack(body)
         self.keys = t.column("key").to_numpy()
         self.words = w = words_of(t.column("text"))
         self.hashes = h = word_hashes(w)
@@ -331,10 +318,9 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     are ignored. An empty table gives an empty result; other columns are not looked at.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("key").isNotNull())
     n = parallelism(docs.sparkSession)
     blocks = blocks or 4 * n
-    packs = durable(map_arrow(rows, _pack, "pack long, body binary"))
+    packs = pack_documents(docs, key, text)
     sent = map_arrow(packs, _send_anchors(window, blocks), "block int, pack long, anchors binary, twice binary")
     answers = map_arrow(sent.repartition(n, "block"), _answer_anchors, "pack long, block int, bits binary")
     by_pack = answers.groupBy("pack").agg(F.collect_list(F.struct("block", "bits")).alias("answers"))
