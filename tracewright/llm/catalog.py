@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, substring_dedup, url_filter
+from tracewright.llm import decontaminate, exact_dedup, mixing, near_dedup, pii, quality, substring_dedup, url_filter
 from tracewright.llm.shared import table
 
 
@@ -53,6 +53,10 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
@@ -61,6 +65,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
