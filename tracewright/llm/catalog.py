@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, exact_dedup, lm_score, mixing, near_dedup, pii, quality, substring_dedup, url_filter
+from tracewright.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, near_dedup, pii, quality, substring_dedup, url_filter
 from tracewright.llm.shared import table
 
 
@@ -40,6 +40,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_url_filter": op5_url_filter,
     "op6_mixing": op6_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
