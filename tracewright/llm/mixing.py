@@ -51,12 +51,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, max_re
         .withColumn("_budget", F.sum("source_size").over(everything) * F.lit(share))
         .withColumn("_spent", F.coalesce(F.sum("_ceiling").over(before), F.lit(0.0)))
         .withColumn("_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+        .withColumn("_at", F.row_number().over(by_ratio))
         .withColumn("_level", (F.col("_budget") - F.col("_spent")) / F.col("_left"))
     )
     # The level is that of the first source that stays below its ceiling.
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything)
+    first = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_at", "_level"))).over(everything)
     target = F.when(F.col("_common").isNull(), F.col("_ceiling")).otherwise(F.least("_ceiling", F.col("_common") * F.col("weight")))
-    return ranked.withColumn("_common", level).select("source", "source_size", "weight", target.alias("target"))
+    return ranked.withColumn("_common", first["_level"]).select("source", "source_size", "weight", target.alias("target"))
 
 
 def _totals(df: DataFrame, stream: list[str], bucket: str) -> DataFrame:
@@ -143,11 +144,12 @@ with d as (
 ), r as (
   select *, ceiling / weight as ratio, cast(sum(source_size) over () as double) * 1.5::double as budget from w
 ), l as (
-  select *, (budget - coalesce(sum(ceiling) over b, 0)) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level
+  select *, row_number() over (order by ratio, no) as place,
+         (budget - coalesce(sum(ceiling) over b, 0)) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level
   from r window b as (order by ratio, no rows between unbounded preceding and 1 preceding)
 ), t as (
   select source, source_size, case when c is null then ceiling else least(ceiling, c * weight) end as target
-  from (select *, min(case when level <= ratio then level end) over () as c from l)
+  from (select *, arg_min(level, place) filter (level <= ratio) over () as c from l)
 ), p as (
   select d.doc_id, d.mix, d.source, d.size, t.source_size, t.target,
          cast(sum(d.size) over (partition by d.source order by d.mix, d.doc_id rows unbounded preceding) as bigint) as upto
