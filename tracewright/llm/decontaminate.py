@@ -171,6 +171,16 @@ def findings(part: pa.RecordBatch, tables: list[Patterns], names: list[str]) ->
     )
 
 
+def _blocks(benchmark: DataFrame, item: str, item_text: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's items in blocks of about ``block_words`` words; one block at a time is on the driver."""
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(total) // (5 * block_words)))
+    for b in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item", "text").collect()
+        yield [(r[0], r[1]) for r in mine]
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -193,15 +203,9 @@ def find_contamination(
     other columns are not looked at.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // (5 * block_words)))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    parts = []
-    for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item", "text").collect()
-        parts.append(map_arrow(rows, _searcher([(r[0], r[1]) for r in mine], window), schema))
-    if blocks == 1:
+    parts = [map_arrow(rows, _searcher(mine, window), schema) for mine in _blocks(benchmark, item, item_text, block_words)]
+    if len(parts) == 1:
         return parts[0].withColumnRenamed("key", key)
     found = parts[0]
     for p in parts[1:]:
@@ -220,10 +224,35 @@ def find_contamination(
     return merged.withColumn("spans", union).withColumnRenamed("key", key)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns, that hold no benchmark passage."""
-    bad = find_contamination(docs, benchmark, key, **options).where(F.size("items") > 0).select(key)
-    return docs.join(bad, key, "left_anti")
+def _keeper(items: list[tuple[str, str]], window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, _ = compile_patterns(items, window)
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                w = words_of(part.column(0), SYMBOL_BYTES, True)
+                h = word_hashes(w)
+                clean = np.ones(part.num_rows, bool)
+                for t in tables:
+                    at, _ = t.search(w, h)
+                    clean[np.searchsorted(w.first, at, side="right") - 1] = False
+                yield part.filter(pa.array(clean))
+
+    return run
+
+
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 200_000
+) -> DataFrame:
+    """The documents, all columns, that hold no benchmark window; one pass over them a block, and no shuffle.
+
+    Documents and items are read as in :func:`find_contamination`; documents with null or
+    empty texts stay.
+    """
+    names = [f"_k{i}" for i in range(len(docs.columns))]
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    for mine in _blocks(benchmark, item, item_text, block_words):
+        rows = map_arrow(rows, _keeper(mine, window), rows.schema)
+    return rows.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
 ORACLE = r"""
