@@ -295,7 +295,7 @@ def find_near_duplicates(
     shingle: int = 5,
     percent: int = 80,
     trees: int = 12,
-    small: int = 128,
+    small: int = 512,
     deeper: int = 3,
     block_shingles: int = 1 << 16,
 ) -> DataFrame:
