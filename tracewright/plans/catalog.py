@@ -1,6 +1,11 @@
-"""Registered queries of the engine and their DuckDB oracles."""
+"""Registered queries of the engine and their DuckDB oracles, by theme."""
 
 from __future__ import annotations
 
+from tracewright.plans import evaluation, labelling, rewarding, selection, text
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (selection, text, evaluation, labelling, rewarding):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES

@@ -1,14 +1,19 @@
-"""Session settings that the engine relies on."""
+"""Session settings that the engine relies on, and its code on the executors."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "tracewright", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution.
 
-    ``master`` and resources are left to the deployment unless given.
+    ``master`` and resources are left to the deployment unless given; settings are
+    keywords with ``__`` for dots.
     """
     b = (
         SparkSession.builder.appName(app)
@@ -21,3 +26,17 @@ def build_session(app: str = "tracewright", master: str | None = None, **conf: s
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package's source to the Python workers, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewright_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="tracewright-")) / "tracewright_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._tracewright_shipped = True
