@@ -63,7 +63,7 @@ def _pairs(spark, sf_dir):
 
 
 def paired_summary(spark, sf_dir):
-    return _rounded(metrics.paired_summary(_pairs(spark, sf_dir)))
+    return _rounded(metrics.paired_summary(_pairs(spark, sf_dir)), 9)
 
 
 def win_tie_loss(spark, sf_dir):
@@ -163,9 +163,9 @@ ORACLES = {
  select total, parsed, round(po, 6) as agreement, round((f0 + f1) / 2, 6) as macro_f1, round((po - pe) / (1 - pe), 6) as kappa from k""",
     "hard_negatives": f"with {_JUDGED} select count(*) as total, count(pred_integration) as parse_ok, count(*) filter (gold_integration = pred_integration) as correct, count(*) filter (gold_integration = 0) as negatives, count(*) filter (gold_integration = 0 and pred_integration = 0) as detected from judged",
     "paired_summary": f"with {_JUDGED}, {_SUBSETS}, {_PAIRED} select subset, selected, valid_pairs, wins, ties, losses, "
-    + ", ".join(f"round({m}_{c}, 6) as {m}_{c}" for m in "ab" for c in _MEANS)
+    + ", ".join(f"round({m}_{c}, 9) as {m}_{c}" for m in "ab" for c in _MEANS)
     + ", "
-    + ", ".join(f"round(b_{c} - a_{c}, 6) as delta_{c}" for c in _MEANS)
+    + ", ".join(f"round(b_{c} - a_{c}, 9) + 0.0::double as delta_{c}" for c in _MEANS)
     + " from ps",
     "win_tie_loss": f"with {_JUDGED}, {_SUBSETS}, {_PAIRED} select valid_pairs, wins, ties, losses from ps where subset = 'all'",
     "score_stats": f"""with {_SCORES}, l as (select 'text' as modality, text as v from s union all select 'audio', audio from s union all select 'visual', visual from s)
