@@ -85,7 +85,7 @@ def _describe(k: int):
                 n = np.diff(bounds)
                 sums = []
                 for c in (0x51ED270B, 0xC2B2AE3D27D4EB4F):
-                    upto = np.concatenate([[0], np.cumsum(mix(values ^ _U(c)))]).astype(np.uint64)
+                    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ _U(c)))])
                     sums.append((upto[bounds[1:]] - upto[bounds[:-1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
