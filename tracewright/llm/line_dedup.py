@@ -71,7 +71,7 @@ class Lines:
         line = np.repeat(np.arange(len(self.size)), self.size)
         place = np.arange(len(self.masked)) - self.first[:-1][line]
         part = mix(np.where(constant, self.masked, _FIELD) + place.astype(np.uint64) * _SALT)
-        upto = np.concatenate([[0], np.cumsum(part)]).astype(np.uint64)
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
         return mix(leaf + upto[self.first[1:]] - upto[self.first[:-1]])
 
 
@@ -189,6 +189,7 @@ def dedup_lines(
     found = durable(map_arrow(rows, _parse(bits, lead, leaves, tokens, constant_share), f"key {kind}, mark long, template long, line long"))
     per_doc = found.select("template", "key", "mark").distinct()
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("key").alias("head")).where(F.col("docs") >= min_docs)
+    recurring = durable(recurring)  # so that both sides of the join are dealt anew, and a hot template can be split
     drops = found.join(recurring.select("template", "head"), "template").where(F.col("key") != F.col("head"))
     drops = drops.select("key", "mark", "line").distinct().groupBy("key", "mark").agg(F.collect_list("line").alias("drop"))
     names = [f"_k{i}" for i in range(len(docs.columns))]
