@@ -17,6 +17,7 @@ from tracewright.llm.shared import durable, map_arrow
 from tracewright.llm.tokens import slices
 
 ROW_BITS = 16
+PACK_BYTES = 4 << 20
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -24,7 +25,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     number = TaskContext.get().partitionId() << 24
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", PACK_BYTES):
             for at in range(0, part.num_rows, 1 << ROW_BITS):
                 some = part.slice(at, 1 << ROW_BITS).sort_by("key")
                 sink = pa.BufferOutputStream()

@@ -163,7 +163,7 @@ def within(first: np.ndarray, k: int, n: int) -> np.ndarray:
     return ok
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts whose texts have about ``size`` bytes; a longer text is a part of its own."""
     if not batch.num_rows:
         return
