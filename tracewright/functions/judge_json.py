@@ -205,3 +205,9 @@ def label_json(labels: dict[str, Column]) -> Column:
     for i, c in enumerate(COMPONENTS):
         parts += [F.lit(("{" if i == 0 else ",") + f'"{c}":'), labels[c].cast("string")]
     return F.concat(*parts, F.lit("}"))
+
+
+def payload_json(transcript: Column, sections: dict[str, Column]) -> Column:
+    """What a quality judge sees, as JSON: the transcript and the three evidence sections, and nothing that tells the answer."""
+    shown = F.struct(*[sections[f"{m}_evidence"].alias(m) for m in MODALITIES])
+    return F.to_json(F.struct(transcript.alias("TRANSCRIPT"), shown.alias("CANDIDATE_SECTIONS")), {"ignoreNullFields": "false"})

@@ -202,3 +202,15 @@ def latest(rows: DataFrame, key: str, order: str, ok: str) -> DataFrame:
     """The journal row of each id that counts: the last success, else the last failure."""
     best = rows.groupBy(key).agg(F.max(F.struct(F.col(ok).cast("int").alias("o"), F.col(order).alias("s"))).alias("_b"))
     return rows.join(best.select(F.col(key), F.col("_b.s").alias(order)), [key, order])
+
+
+def id_lists(rows: DataFrame, group: str, key: str, order: str, reason: str = "reject_reason") -> DataFrame:
+    """For each group, its kept ids in order and its rejected ids with their last reason.
+
+    Lists are as long as a group (a source's samples), never as the table.
+    """
+    kept = F.collect_list(F.when(F.col(reason).isNull(), F.struct(order, key)))
+    last = rows.groupBy(group, key).agg(F.max(F.struct(F.col(order).alias("o"), F.col(reason).alias("r"))).alias("_l"))
+    lost = last.where(F.col("_l.r").isNotNull()).groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.col("_l.r"))))).alias("rejected"))
+    out = rows.groupBy(group).agg(F.transform(F.array_sort(kept), lambda x: x[key]).alias("kept"))
+    return out.join(lost, group, "left")
