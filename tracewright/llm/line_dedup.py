@@ -125,10 +125,11 @@ def _bit(table: bytes, at: np.ndarray) -> np.ndarray:
 def _bits_of(rows: DataFrame, sketch, bits: int, least: int) -> bytes:
     """One bit for each counter that reaches ``least``; ``1 << bits`` bits, whatever the input's size."""
     counters = map_arrow(rows, sketch, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # Bytes are put together on the executors, so the driver gets at most an eighth as many rows.
-    packed = counters.groupBy(F.shiftright("counter", 3).alias("byte")).agg(F.sum(F.expr("shiftleft(1, cast(7 - counter % 8 as int))")).alias("v")).toPandas()
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    table[packed["byte"].to_numpy(np.int64)] = packed["v"].to_numpy(np.uint8)
+    # Words of 64 bits are put together on the executors: the driver gets at most ``1 << (bits - 6)`` rows.
+    word = F.expr("bit_or(shiftleft(1L, cast(63 - counter % 64 as int)))")
+    packed = counters.groupBy(F.shiftright("counter", 6).alias("at")).agg(word.alias("v")).toPandas()
+    table = np.zeros((1 << bits) // 64, ">i8")  # big-endian: a word's first counter is its first byte's first bit
+    table[packed["at"].to_numpy(np.int64)] = packed["v"].to_numpy(np.int64)
     return table.tobytes()
 
 
