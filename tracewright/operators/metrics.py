@@ -209,8 +209,8 @@ def id_lists(rows: DataFrame, group: str, key: str, order: str, reason: str = "r
 
     Lists are as long as a group (a source's samples), never as the table.
     """
-    kept = F.collect_list(F.when(F.col(reason).isNull(), F.struct(order, key)))
+    kept = F.collect_list(F.when(F.col(reason).isNull(), F.struct(F.col(order).alias("o"), F.col(key).alias("k"))))
     last = rows.groupBy(group, key).agg(F.max(F.struct(F.col(order).alias("o"), F.col(reason).alias("r"))).alias("_l"))
     lost = last.where(F.col("_l.r").isNotNull()).groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.col("_l.r"))))).alias("rejected"))
-    out = rows.groupBy(group).agg(F.transform(F.array_sort(kept), lambda x: x[key]).alias("kept"))
+    out = rows.groupBy(group).agg(F.transform(F.array_sort(kept), lambda x: x["k"]).alias("kept"))
     return out.join(lost, group, "left")
