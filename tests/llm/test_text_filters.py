@@ -242,3 +242,16 @@ def test_lines_edges(spark):
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert sorted((r.doc_id, r.n_dropped) for r in got.collect()) == [(2, 0), (2, 0), (5, 2), (9, 1)]
     assert got.where(F.col("text") == "x").count() == 1
+
+
+def test_lines_fields_are_found_however_full_the_bit_tables_are(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    texts = ["\n".join([f"Written in our blog by {word()} for you", *(" ".join(word() for _ in range(rng.randint(3, 9))) for _ in range(5))]) for _ in range(80)]
+    want = brute_lines(range(len(texts)), texts, 8, 2, 0.6)
+    assert sum("Written" in t for _, t in want.values()) == 1
+    for bits in (6, None):
+        got = line_dedup.dedup_lines(frame(spark, texts), bits=bits).collect()
+        assert {r.doc_id: (r.n_lines, r.text) for r in got} == want

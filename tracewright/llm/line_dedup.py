@@ -7,11 +7,12 @@ it there, and a variable field otherwise. Constants and fields make the line's
 template. A template that occurs in ``min_docs`` documents or more is
 boilerplate, and its lines are dropped everywhere but in the document with the smallest key.
 
-How many documents reach a leaf, and have a token at a place, is first counted in a
-fixed number of hashed counters (``1 << bits``), which are summed over the corpus and sent
-back as one bit each; that only decides what is parsed further and which
-tokens are constant, so that ordinary prose is never shuffled. Templates themselves are
-counted exactly.
+Documents are counted exactly, for leaves and for every token at its place in a leaf, by their
+64-bit hashes in sums that combine before they are shuffled. So that ordinary prose is
+not shuffled too, tasks hold a bit table of the leaves that enough documents reach, and then one
+of the constants; their width grows with what they hold (to at most ``1 << MOST_BITS``
+bits), and what they let through in vain is turned away by joins with the exact counts. Lines are
+joined once for each distinct content. Templates are counted exactly too.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ _U = np.uint64
 _FIELD = _U(0x3C6EF372FE94F82B)  # stands for a variable field
 _SALT = _U(0xD1B54A32D192ED03)
 _NEWLINE = 0x0A
+#: Widest bit table, 16 MB; beyond about four million entries it only lets more through to the joins.
+MOST_BITS = 27
 
 
 class Lines:
@@ -66,14 +69,6 @@ class Lines:
         place = np.arange(len(self.masked)) - self.first[:-1][line]
         return mix(leaf[line] + mix(self.masked + place.astype(np.uint64) * _SALT))
 
-    def templates(self, leaf: np.ndarray, constant: np.ndarray) -> np.ndarray:
-        """A hash of each line's template, given which words are constant."""
-        line = np.repeat(np.arange(len(self.size)), self.size)
-        place = np.arange(len(self.masked)) - self.first[:-1][line]
-        part = mix(np.where(constant, self.masked, _FIELD) + place.astype(np.uint64) * _SALT)
-        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
-        return mix(leaf + upto[self.first[1:]] - upto[self.first[:-1]])
-
 
 def _masked(w: Words) -> np.ndarray:
     """Hashes of the words, one for all that have a digit."""
@@ -90,41 +85,49 @@ def _distinct(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
     return v[fresh]
 
 
-def _sketch(bits: int, lead: int, leaves: bytes | None):
-    """Counters of leaves, or with their bits given, of tokens at their places."""
+def _leaves(lead: int):
+    """The leaves of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                x = Lines(part.column("text"))
+                yield pa.RecordBatch.from_arrays([pa.array(_distinct(x.doc, x.leaf(lead)).view(np.int64))], names=["h"])
+
+    return run
+
+
+def _tokens(lead: int, leaves: bytes):
+    """The tokens without digits, at their places, of each document, in the leaves whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int32)
-        shift = _U(64 - bits)
         for batch in batches:
             for part in slices(batch, "text"):
                 x = Lines(part.column("text"))
                 leaf = x.leaf(lead)
-                if leaves is None:
-                    total += np.bincount((_distinct(x.doc, leaf) >> shift).astype(np.int64), minlength=1 << bits).astype(np.int32)
-                else:
-                    alive = _bit(leaves, leaf >> shift)
-                    word = np.repeat(alive, x.size)
-                    doc = np.repeat(x.doc, x.size)
-                    found = _distinct(doc[word], x.places(leaf)[word])
-                    total += np.bincount((found >> shift).astype(np.int64), minlength=1 << bits).astype(np.int32)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 100_000):
-            some = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["counter", "n"])
+                word = np.repeat(_bit(leaves, leaf), x.size) & (x.masked != _FIELD)
+                found = _distinct(np.repeat(x.doc, x.size)[word], x.places(leaf)[word])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["h"])
 
     return run
 
 
-def _bit(table: bytes, at: np.ndarray) -> np.ndarray:
+def _bit(table: bytes, h: np.ndarray) -> np.ndarray:
     t = np.frombuffer(table, np.uint8)
-    at = at.astype(np.int64)
+    at = (h >> _U(62 - len(table).bit_length())).astype(np.int64)  # 8 * len(table) is a power of two
     return (t[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _bits_of(rows: DataFrame, sketch, bits: int, least: int) -> bytes:
-    """One bit for each counter that reaches ``least``; ``1 << bits`` bits, whatever the input's size."""
-    counters = map_arrow(rows, sketch, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+def _frequent(hashes: DataFrame, least: int) -> DataFrame:
+    """``h`` of those that occur ``least`` times."""
+    return durable(hashes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h"))
+
+
+def _bits_of(hashes: DataFrame, bits: int | None) -> bytes:
+    """A bit for each hash, by its leading ``bits`` bits; 32 to 64 bits a hash if not given."""
+    if bits is None:
+        bits = min(max((32 * hashes.count()).bit_length(), 16), MOST_BITS)
+    counters = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("counter"))
     # Words of 64 bits are put together on the executors: the driver gets at most ``1 << (bits - 6)`` rows.
     word = F.expr("bit_or(shiftleft(1L, cast(63 - counter % 64 as int)))")
     packed = counters.groupBy(F.shiftright("counter", 6).alias("at")).agg(word.alias("v")).toPandas()
@@ -133,24 +136,37 @@ def _bits_of(rows: DataFrame, sketch, bits: int, least: int) -> bytes:
     return table.tobytes()
 
 
-def _parse(bits: int, lead: int, leaves: bytes, tokens: bytes, constant_share: float):
+def _parse(lead: int, leaves: bytes, tokens: bytes, constant_share: float):
+    """Lines that can have enough constants: document, number, content, and for one of each content its possible constants."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = _U(64 - bits)
         for batch in batches:
             for part in slices(batch, "text"):
                 x = Lines(part.column("text"))
                 leaf = x.leaf(lead)
-                alive = _bit(leaves, leaf >> shift)
+                alive = _bit(leaves, leaf)
                 if not alive.any():
                     continue
-                constant = (x.masked != _FIELD) & _bit(tokens, x.places(leaf) >> shift)
+                place = x.places(leaf)
+                constant = (x.masked != _FIELD) & _bit(tokens, place)
                 upto = np.concatenate([[0], np.cumsum(constant)])
-                share = (upto[x.first[1:]] - upto[x.first[:-1]]) / x.size
-                some = np.flatnonzero(alive & (share >= constant_share))
-                template = x.templates(leaf, constant)[some].view(np.int64)
+                count = upto[x.first[1:]] - upto[x.first[:-1]]
+                some = np.flatnonzero(alive & (count > 0) & (count / x.size >= constant_share))
+                content = np.bitwise_xor.reduceat(place, x.first[:-1])[some]
+                _, heads = np.unique(content, return_index=True)
+                fresh = np.zeros(len(some), bool)
+                fresh[heads] = True
+                line = np.repeat(np.arange(len(x.size)), x.size)
+                keep = np.zeros(len(x.size), bool)
+                keep[some[fresh]] = True
+                ends = np.cumsum(np.where(fresh, count[some], 0))
+                constants = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(place[constant & keep[line]].view(np.int64))
+                )
+                doc = pa.array(x.doc[some])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(x.doc[some])), part.column("mark").take(pa.array(x.doc[some])), pa.array(template), pa.array(x.number[some])],
-                    names=["key", "mark", "template", "line"],
+                    [part.column("key").take(doc), part.column("mark").take(doc), pa.array(x.number[some]), pa.array(content.view(np.int64)), pa.array(x.size[some]), constants],
+                    names=["key", "mark", "line", "content", "size", "constants"],
                 )
 
     return run
@@ -170,24 +186,31 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 8, lead: int = 2, constant_share: float = 0.6, bits: int = 22
+    docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 8, lead: int = 2, constant_share: float = 0.6, bits: int | None = None
 ) -> DataFrame:
     """The documents, all columns, with their boilerplate lines cut, and ``n_lines`` and ``n_dropped`` (before, and cut).
 
     Lines are separated by newlines, tokens by blanks; lines without tokens are never
-    cut, nor are those of whose tokens less than ``constant_share`` are constant. A
+    cut, nor are those of whose tokens none or less than ``constant_share`` are constant. A
     template's lines stay in the document with the smallest key that has them, as often as
     they are there; rows with that key all keep them. Null texts stay null and
     have no lines; an empty text has one. Equal rows are cut alike. An empty table gives
-    an empty result. Other columns are passed on, whatever their names.
+    an empty result. Other columns are passed on, whatever their names. ``bits`` sets the
+    width of the bit tables, which has no influence on the result.
     """
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))  # tells apart texts under one key
     rows = docs.select(F.col(key).alias("key"), mark.alias("mark"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("key").isNotNull())
     plain = rows.select("text")
-    leaves = _bits_of(plain, _sketch(bits, lead, None), bits, min_docs)
-    tokens = _bits_of(plain, _sketch(bits, lead, leaves), bits, min_docs)
+    leaves = _bits_of(_frequent(map_arrow(plain, _leaves(lead), "h long"), min_docs), bits)
+    constants = _frequent(map_arrow(plain, _tokens(lead, leaves), "h long"), min_docs)
     kind = rows.schema["key"].dataType.simpleString()
-    found = durable(map_arrow(rows, _parse(bits, lead, leaves, tokens, constant_share), f"key {kind}, mark long, template long, line long"))
+    parse = _parse(lead, leaves, _bits_of(constants, bits), constant_share)
+    lines = durable(map_arrow(rows, parse, f"key {kind}, mark long, line long, content long, size long, constants array<long>"))
+    # A token that enough documents have at its place is in a leaf that they reach, so leaves need no join.
+    words = lines.select("content", "size", F.explode("constants").alias("h")).distinct().join(constants, "h")
+    parsed = words.groupBy("content").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.expr("bit_xor(h)").alias("template"))
+    parsed = durable(parsed.where(F.col("n") / F.col("size") >= constant_share).select("content", "template"))
+    found = durable(lines.drop("size", "constants").join(parsed, "content").drop("content"))
     per_doc = found.select("template", "key", "mark").distinct()
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("key").alias("head")).where(F.col("docs") >= min_docs)
     recurring = durable(recurring)  # so that both sides of the join are dealt anew, and a hot template can be split
