@@ -189,3 +189,40 @@ def brute_one(row, text, model):
 def test_scores_of_nothing(spark):
     assert lm_score.score_documents(empty(spark)).count() == 0
     assert lm_score.score_documents(frame(spark, [None, ""])).where("log_likelihood = 0").count() == 2
+
+
+def test_scores_tell_words_of_a_class_apart(spark, monkeypatch):
+    """Words add log P(word | class) by exact counts, at hand or joined; unseen words get less than any seen one."""
+    import pyarrow as pa
+
+    from tracewright.llm.tokens import word_hashes, words_of
+
+    rng = random.Random(4)
+    count = {f"v{i}": rng.randint(1, 6) for i in range(1500)}
+    pool = [w for w, n in count.items() for _ in range(n)]
+    rng.shuffle(pool)
+    docs = frame(spark, [" ".join(pool[i : i + 50]) for i in range(0, len(pool), 50)])
+    net, table = lm_score.train(docs)
+    hashes = lambda ws: word_hashes(words_of(pa.array([" ".join(ws)])))
+    of = lambda ws: table[(hashes(ws) >> np.uint64(48)).astype(int)].astype(int)
+    group = {}
+    for w, c in zip(count, of(list(count))):
+        group.setdefault(int(c), []).append(w)
+    shared = next(c for c, ws in group.items() if len({count[w] for w in ws}) > 2)
+    unseen = next(f"u{i}" for i in range(10**6) if of([f"u{i}"])[0] == shared)
+    probe = [*group[shared], unseen]
+    given = lm_score.count_words(docs)
+    for head in (1 << 16, 300, 20):
+        monkeypatch.setattr(lm_score, "HEAD", head)
+        rows = lm_score.score_documents(frame(spark, probe), model=(net, table), counts=given).collect()
+        got = {probe[r.doc_id]: r.log_likelihood for r in rows}
+        mine = group[shared]
+        once = sum(count[w] == 1 for w in mine)
+        below = sum(count[w] for w in mine) + once + 0.01
+        alone = lm_score.log_probabilities(net, np.full((4, 1), lm_score.CLASSES), np.array([shared]))[0]
+        want = {w: alone + np.log(count[w] / below) for w in mine}
+        want[unseen] = alone + np.log((once + 0.01) / (len(mine) + 1) / below)
+        assert got == pytest.approx(want, rel=1e-6)
+        assert got[unseen] < min(got[w] for w in mine)
+    again = lm_score.score_documents(frame(spark, [pool[0], pool[0]], [1, 1]), model=(net, table), counts=given).collect()
+    assert len(again) == 2 and again[0] == again[1]

@@ -3,12 +3,16 @@
 The network predicts a word from the two words on either side: four embeddings, one
 table for each place, are added up and squashed to a hidden vector, and a
 two-level softmax gives the probability of the word's class (group, then class within
-the group). A document's score is the sum of the logarithms of all its
-words' probabilities, each word hidden in its turn.
+the group); the word's probability within its class comes from exact counts. A document's score
+is the sum of the logarithms of all its words' probabilities, each word hidden in its turn.
 
 * Classes come from word counts over the whole corpus, kept in ``1 << 16`` hashed
   counters: the most frequent counters are classes of their own, all others share the
   remaining classes evenly.
+* A word with count *n* has the probability *n / (N + S + 0.01)* in its class, where *N* words
+  are, *S* of them of a count of one. The rest of the mass is dealt evenly to one more unseen word
+  than the class has words. Counts are of 64-bit hashes, in a table that grows with the corpus; the
+  most frequent words, at most ``HEAD``, travel to the tasks, all others are joined by hash.
 * Training is in numpy, on all documents: in each round every partition starts from
   the same parameters, trains on its own masked positions (every position is masked
   with probability ``mask``, by a hash), and the parameters are averaged, weighted by
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import map_arrow, parallelism
+from tracewright.llm.shared import durable, map_arrow, parallelism
 from tracewright.llm.tokens import mix, slices, word_hashes, words_of
 
 _U = np.uint64
@@ -35,8 +39,11 @@ COUNTERS = 1 << 16
 GROUPS = 32
 CLASSES = GROUPS * GROUPS
 WINDOW = 2
+HEAD = 1 << 16
+UNSEEN = 0.01
 _PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
 _SLICE = 8192
+_FIXED = float(1 << 32)  # logarithms are added up as integers, in whatever order
 
 
 @dataclass
@@ -257,31 +264,109 @@ def train(
     return net, table
 
 
-def _scorer(net: Network, table: np.ndarray):
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            h, n = np.unique(word_hashes(words_of(part.column("text"))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
+
+
+def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(h, n)``: how often each word is in the corpus, by its hash."""
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return durable(map_arrow(rows, _words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+
+
+@dataclass
+class Inside:
+    """Logarithms for words in their classes; a word's is ``log(n) - below``, or ``unseen - below`` without a count."""
+
+    below: np.ndarray  # of classes
+    unseen: np.ndarray  # of classes
+    head: np.ndarray  # hashes of the most frequent words, in order
+    head_log: np.ndarray
+
+
+def word_model(counts: DataFrame, table: np.ndarray) -> Inside:
+    counter = F.shiftrightunsigned("h", 48).alias("counter")
+    sums = counts.groupBy(counter).agg(F.sum("n").alias("n"), F.count("*").alias("words"), F.count_if(F.col("n") == 1).alias("once")).toPandas()  # at most COUNTERS rows
+    at = table[sums["counter"].to_numpy(np.int64)]
+    n, words, once = (np.bincount(at, sums[c].to_numpy(float), CLASSES) for c in ("n", "words", "once"))
+    # By a histogram of counts: a sort with a limit sends the driver rows of every partition.
+    step = F.floor(F.log2("n") * 16)
+    steps = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).toPandas().sort_values("step", ascending=False)
+    fit = steps["step"][steps["words"].cumsum() <= HEAD]
+    top = counts.where(step >= int(fit.min()) if len(fit) else F.lit(False)).toPandas()  # at most HEAD rows
+    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return Inside(np.log(n + once + UNSEEN), np.log((once + UNSEEN) / (words + 1)), h[order], np.log(top["n"].to_numpy(float))[order])
+
+
+def _find(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the hashes are, and which of them are there."""
+    if not len(sorted_hashes):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
+    return at, sorted_hashes[at] == h
+
+
+def _lifts(inside: Inside, table: np.ndarray):
+    """By how much a word's count puts it above an unseen one, for words that tasks do not have at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            tail = ~_find(inside.head, h)[1]
+            lift = np.log(n[tail]) - inside.unseen[table[_counter(h[tail])]]
+            yield pa.RecordBatch.from_arrays([pa.array(h[tail].view(np.int64)), pa.array(np.rint(lift * _FIXED).astype(np.int64))], names=["h", "lift"])
+
+    return run
+
+
+def _scorer(net: Network, table: np.ndarray, inside: Inside):
+    """Scores in which all words but the most frequent are unseen in their classes, and those words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words_of(part.column("text"))
-                classes = table[_counter(word_hashes(w))].astype(np.int64)
-                lp = log_probabilities(net, _contexts(w, classes), classes)
+                h = word_hashes(w)
+                classes = table[_counter(h)].astype(np.int64)
+                lp = log_probabilities(net, _contexts(w, classes), classes) - inside.below[classes]
+                at, known = _find(inside.head, h)
+                lp += inside.unseen[classes] if not len(inside.head) else np.where(known, inside.head_log[at], inside.unseen[classes])
                 upto = np.concatenate([[0.0], np.cumsum(lp)])
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(w.count, pa.int64()), pa.array(upto[w.first[1:]] - upto[w.first[:-1]])], names=["key", "n_tokens", "log_likelihood"])
+                tails = np.concatenate([[0], np.cumsum(~known)])[w.first]
+                tail = pa.ListArray.from_arrays(pa.array(tails, pa.int32()), pa.array(h[~known].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.array(w.count, pa.int64()), pa.array(upto[w.first[1:]] - upto[w.first[:-1]]), tail], names=["key", "n_tokens", "score", "tail"]
+                )
 
     return run
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model: tuple[Network, np.ndarray] | None = None, **options) -> DataFrame:
+def score_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", model: tuple[Network, np.ndarray] | None = None, counts: DataFrame | None = None, **options
+) -> DataFrame:
     """``(key, n_tokens, log_likelihood, mean_log_likelihood)`` for every document.
 
     ``log_likelihood`` sums the log-probabilities of all words (separated by
     blanks) given the words around them; the mean is over words, and null without
     any. Null and empty texts have no words and a sum of 0. Repeated rows are
-    scored alike. The model is trained on all documents unless given. An empty
+    scored alike. The model is trained on all documents unless given, and words are counted
+    in them unless ``counts`` (see :func:`count_words`) are given. An empty
     table gives an empty result; other columns are not looked at.
     """
     net, table = model or train(docs, text, **options)
+    counts = count_words(docs, text) if counts is None else counts
+    inside = word_model(counts, table)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    out = map_arrow(rows, _scorer(net, table), f"key {kind}, n_tokens long, log_likelihood double")
+    out = map_arrow(rows, _scorer(net, table, inside), f"key {kind}, n_tokens long, score double, tail array<long>")
+    out = durable(out.withColumn("row", F.monotonically_increasing_id()))  # rows keep their numbers from here
+    lifts = map_arrow(counts.select("h", "n"), _lifts(inside, table), "h long, lift long")
+    tails = out.select("row", F.explode("tail").alias("h")).join(lifts, "h").groupBy("row").agg(F.sum("lift").alias("lift"))
+    out = out.drop("tail").join(tails, "row", "left")
+    out = out.withColumn("log_likelihood", F.col("score") + F.coalesce(F.col("lift") / F.lit(_FIXED), F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return out.select(F.col("key").alias(key), "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))
