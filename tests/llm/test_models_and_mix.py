@@ -226,3 +226,19 @@ def test_scores_tell_words_of_a_class_apart(spark, monkeypatch):
         assert got[unseen] < min(got[w] for w in mine)
     again = lm_score.score_documents(frame(spark, [pool[0], pool[0]], [1, 1]), model=(net, table), counts=given).collect()
     assert len(again) == 2 and again[0] == again[1]
+
+
+def test_training_reaches_every_position(spark, monkeypatch):
+    """With the parameters of the query, the weights that rounds are averaged with add up to all words."""
+    docs = frame(spark, ["a b c d e"] * 30 + ["x", "y z", None, "", *(f"p{i} q{i} r{i}" for i in range(40))])
+    seen, plain = [], lm_score.map_arrow
+
+    def recorded(df, function, schema):
+        out = plain(df, function, schema)
+        if schema.startswith("part int, who"):
+            seen.append(out.where("part = 0").agg(F.sum("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(lm_score, "map_arrow", recorded)
+    lm_score.train(docs)
+    assert len(seen) == 2 and sum(seen) == 150 + 3 + 120

@@ -14,15 +14,16 @@ is the sum of the logarithms of all its words' probabilities, each word hidden i
   than the class has words. Counts are of 64-bit hashes, in a table that grows with the corpus; the
   most frequent words, at most ``HEAD``, travel to the tasks, all others are joined by hash.
 * Training is in numpy, on all documents: in each round every partition starts from
-  the same parameters, trains on its own masked positions (every position is masked
-  with probability ``mask``, by a hash), and the parameters are averaged, weighted by
-  positions. What a round gathers are parameters of a fixed size from every
+  the same parameters, trains on its own masked positions (a hash deals all positions to
+  ``ceil(1 / mask)`` rounds, so that each is masked, and a target, in exactly one), and the
+  parameters are averaged, weighted by positions. What a round gathers are parameters of a fixed size from every
   partition, added up in Spark in slices.
 * Parameters travel to the tasks with the function; they take about 0.5 MB.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -201,7 +202,15 @@ class Trainer:
             self._move("place", np.add.reduceat(da[order], heads, axis=0), (i, at[heads]))
 
 
-def _trainer(net: Network, table: np.ndarray, mask: float, share: int, shares: int, rate: float, batch_size: int):
+def _targets(w, h: np.ndarray, share: int, shares: int) -> np.ndarray:
+    """The positions that are masked in round ``share`` of ``shares``."""
+    # By a hash of word and place in the text: no order of rows matters.
+    place = np.arange(len(h)) - np.repeat(w.first[:-1], w.count)
+    draw = mix(h + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return np.flatnonzero(draw % _U(shares) == _U(share))
+
+
+def _trainer(net: Network, table: np.ndarray, share: int, shares: int, rate: float, batch_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -211,10 +220,7 @@ def _trainer(net: Network, table: np.ndarray, mask: float, share: int, shares: i
                 w = words_of(part.column("text"))
                 h = word_hashes(w)
                 classes = table[_counter(h)].astype(np.int64)
-                # Masked by a hash of word, place in the text and text length: no order of rows matters.
-                place = np.arange(len(h)) - np.repeat(w.first[:-1], w.count)
-                draw = mix(h + place.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-                chosen = np.flatnonzero(((draw >> _U(32)).astype(float) / 2**32 < mask) & (draw % _U(shares) == _U(share)))
+                chosen = _targets(w, h, share, shares)
                 if not len(chosen):
                     continue
                 context = _contexts(w, classes)
@@ -247,17 +253,18 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(
-    docs: DataFrame, text: str = "text", hidden: int = 24, mask: float = 0.15, rounds: int = 2, rate: float = 0.3, batch_size: int = 1024, seed: int = 11
+    docs: DataFrame, text: str = "text", hidden: int = 24, mask: float = 0.5, rate: float = 0.3, batch_size: int = 1024, seed: int = 11
 ) -> tuple[Network, np.ndarray]:
-    """The network and the table of classes, from all documents."""
+    """The network and the table of classes, from all positions of all documents."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     counts = map_arrow(rows, _count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
     counters = np.zeros(COUNTERS, np.int64)
     counters[counts["counter"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     table, by_class = class_table(counters)
     net = fresh(by_class, hidden, seed)
+    rounds = math.ceil(1 / mask)
     for r in range(rounds):
-        sent = map_arrow(rows, _trainer(net, table, mask, r, rounds, rate, batch_size), "part int, who long, n long, body binary")
+        sent = map_arrow(rows, _trainer(net, table, r, rounds, rate, batch_size), "part int, who long, n long, body binary")
         mean = map_arrow(sent.repartition(parallelism(docs.sparkSession), "part"), _average, "part int, body binary").collect()  # one network
         if mean:
             net = net.like(np.concatenate([np.frombuffer(x["body"], np.float32) for x in sorted(mean, key=lambda x: x["part"])]))
