@@ -255,3 +255,17 @@ def test_lines_fields_are_found_however_full_the_bit_tables_are(spark):
     for bits in (6, None):
         got = line_dedup.dedup_lines(frame(spark, texts), bits=bits).collect()
         assert {r.doc_id: (r.n_lines, r.text) for r in got} == want
+
+
+def test_walks_settle(spark):
+    """Hosts many links away from a seed get their verdict, and ranks on a cycle are the converged ones."""
+    names = ["bad.com", *(f"h{i}.net" for i in range(12))]
+    edges = [(b, a, 1) for a, b in zip(names, names[1:])] + [("h1.net", "h5.net", 1), ("good.org", "h5.net", 1)]
+    pages = [(0, "http://bad.com/de/a", ""), (1, "http://good.org/a", '<a href="http://h5.net/">')]
+    for i, h in enumerate(names[1:]):
+        pages.append((i + 2, f"http://{h}/", " ".join(f'<a href="http://{b}/">' for a, b, _ in edges if a == h)))
+    got = {r.host: r for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    trust, distrust = brute_walks(edges, {"good.org": 1}, {"bad.com": 1}, 1000)
+    for h, r in got.items():
+        assert abs(r.trust - trust.get(h, 0.0)) < 1e-7 and abs(r.distrust - distrust.get(h, 0.0)) < 1e-7
+    assert got["h11.net"].verdict == "block"

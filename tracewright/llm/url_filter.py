@@ -12,6 +12,8 @@ one pre-aggregated sum over hosts, with both walks in one table.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +59,10 @@ def host_links(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, steps: int = 8, damping: float = 0.85) -> DataFrame:
-    """``(host, trust, distrust)`` after ``steps`` steps of both walks.
+def propagate(links: DataFrame, seeds: DataFrame, steps: int | None = None, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
+    """``(host, trust, distrust)`` after ``steps`` steps of both walks, or else when they have settled.
 
+    They have if four steps changed all values by less than ``tolerance`` in the sum.
     ``seeds``: ``(walk, host, v)``, with walk 0 trust and walk 1 distrust, each summing to 1.
     """
     one = links.select(F.lit(0).alias("walk"), F.col("src").alias("a"), F.col("dst").alias("b"), "links")
@@ -69,11 +72,17 @@ def propagate(links: DataFrame, seeds: DataFrame, steps: int = 8, damping: float
     edges = durable(both.join(out, ["walk", "a"]).select("walk", "a", "b", (F.col("links") / F.col("_all")).alias("w")))
     base = seeds.select("walk", "host", (F.col("v") * (1 - damping)).alias("v"))
     rank = seeds.select("walk", "host", "v")
-    for k in range(steps):
+    settled = durable(rank) if steps is None else None
+    for k in itertools.count() if steps is None else range(steps):
         moved = edges.join(rank.withColumnRenamed("host", "a"), ["walk", "a"]).select("walk", F.col("b").alias("host"), (F.col("v") * F.col("w") * damping).alias("v"))
         rank = moved.unionByName(base).groupBy("walk", "host").agg(F.sum("v").alias("v"))
         if k % 4 == 3:
             rank = durable(rank)
+            if steps is None:
+                change = rank.unionByName(settled.withColumn("v", -F.col("v"))).groupBy("walk", "host").agg(F.sum("v").alias("v")).agg(F.sum(F.abs("v"))).first()[0]
+                if (change or 0.0) < tolerance:
+                    break
+                settled = rank
     pick = lambda walk: F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("v"))), F.lit(0.0))
     return rank.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
 
@@ -84,14 +93,15 @@ def judge_urls(
     url: str = "url",
     html: str = "html",
     rules=RULES,
-    steps: int = 8,
+    steps: int | None = None,
     damping: float = 0.85,
     margin: float = 2.0,
 ) -> DataFrame:
     """A verdict for every page: ``(key, host, path, rule, trust, distrust, verdict)``.
 
     The verdict is the longest fitting rule's; without one, that of the page's
-    host, which is blocked if ``distrust > margin * trust``. Null URLs and
+    host, which is blocked if ``distrust > margin * trust`` once both walks have settled (or after
+    ``steps`` steps). Null URLs and
     those without ``://`` have an empty host and path, fit no rule and are
     allowed. Null HTML has no links; links within a host do not count.
     Repeated rows are judged one by one. An empty table gives an empty result; other
