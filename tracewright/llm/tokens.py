@@ -1,22 +1,21 @@
 """Words of many texts at once, as numpy arrays over the Arrow buffers.
 
-A batch of texts is one run of UTF-8 bytes. Words are found with byte masks,
-and word hashes come from prefix sums of a random polynomial, so no step has a
-Python loop over words. Word *n* of the batch is the bytes ``start[n]:end[n]``.
+A batch of texts is one run of UTF-8 bytes. Words are found with byte masks and
+hashed eight bytes at a time, all words at once, so only very long words are
+looped over. Word *n* of the batch is the bytes ``start[n]:end[n]``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 BLANK_BYTES = np.zeros(256, bool)
 BLANK_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -81,18 +80,6 @@ def words_of(texts: pa.Array, gap: np.ndarray = BLANK_BYTES, lower: bool = False
     return Words(data, offsets, start, end, np.searchsorted(start, offsets))
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, m in enumerate((_MULT, _INVERSE)):
-            t = np.full(n, m, np.uint64)
-            t[0] = 1
-            _powers[i] = np.multiply.accumulate(t)
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection that spreads every bit over all others."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -100,25 +87,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-_SPAN = 1 << 20
-
-
-def word_hashes(w: Words) -> np.ndarray:
-    """64-bit hashes of the words, equal for equal bytes."""
-    out = np.empty(len(w.start), np.uint64)
-    at = 0
-    while at < len(w.start):
-        lo = int(w.start[at])
-        to = int(np.searchsorted(w.end, lo + _SPAN, side="right"))
-        to = max(to, at + 1)
-        hi = int(w.end[to - 1])
-        power, inverse = _tables(max(hi - lo, _SPAN) + 1)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[w.data[lo:hi]] * power[: hi - lo], out=sums[1:])
-        s, e = w.start[at:to] - lo, w.end[at:to] - lo
-        out[at:to] = (sums[e] - sums[s]) * inverse[s]
-        at = to
-    return mix(out ^ (w.end - w.start).astype(np.uint64))
+#: Low bytes of a lane of eight, for words that end inside it.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LANE, _STATE = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
+#: Longer words are digested one by one; there is at most one in so many bytes.
+_LONG = 64
+
+
+def word_hashes(w: Words, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the words, equal for equal bytes; those of two seeds are independent.
+
+    Eight bytes at a time are mixed into a state that the seed and the word's length
+    begin, with shifts and products in turn, so that no algebra of bytes makes words collide.
+    """
+    size = w.end - w.start
+    out = mix(size.astype(np.uint64) * _MULT + mix(np.full(1, seed ^ 0x2545F4914F6CDD1D, np.uint64)))
+    if not len(size):
+        return out
+    data = np.concatenate([w.data, np.zeros(8, np.uint8)])
+    lanes = np.lib.stride_tricks.as_strided(data[:8].view("<u8"), (len(w.data) + 1,), (1,))
+    out = mix(out ^ (lanes[w.start] & _LOW[np.minimum(size, 8)]) * _LANE)
+    at, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(at):
+        left = size[at] - done
+        out[at] = mix(out[at] * _STATE ^ (lanes[w.start[at] + done] & _LOW[np.minimum(left, 8)]) * _LANE)
+        at, done = at[left > 8], done + 8
+    salt = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(blake2b(w.data[w.start[i] : w.end[i]], digest_size=8, salt=salt).digest(), "little")
+    return out
 
 
 def grams(h: np.ndarray, k: int, mult: int = 0xD6E8FEB86659FD93) -> np.ndarray:
@@ -187,7 +184,5 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
     """Which of ``n`` positions lie in one of the runs."""
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, starts, 1)
-    np.add.at(d, starts + lengths, -1)
+    d = np.bincount(starts, minlength=n + 1) - np.bincount(starts + lengths, minlength=n + 1)
     return np.cumsum(d)[:n] > 0
