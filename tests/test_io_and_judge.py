@@ -15,6 +15,7 @@ def test_jsonl(spark, tmp_path):
         io.read_jsonl(spark, str(p), "judge_id string, parse_ok boolean").collect()
     with pytest.raises(Exception, match="line 4"):
         io.read_jsonl_numbered(spark, str(p), "judge_id string").collect()
+    assert {r[0] for r in io.done_ids(spark, str(p), failed_too=True).collect()} == {"1", "2"}
     p.write_text('\n{"judge_id":"1"}\n')
     assert [(r.raw_line_no, r.judge_id) for r in io.read_jsonl_numbered(spark, str(p), "judge_id string").collect()] == [(2, "1")]
 
@@ -41,7 +42,10 @@ def test_publish_and_chunks(spark, tmp_path):
     with pytest.raises(FileExistsError):
         io.publish(spark, {"scored": rows}, path)
     assert io.publish(spark, {"scored": rows.repartition(3)}, path, overwrite=True) == first
-    assert json.loads((tmp_path / "out" / "manifest.json").read_text()) == first
+    assert json.loads((tmp_path / "out" / "manifest.json").read_text())["outputs"] == first
+    assert io.published(spark, path, "scored").count() == 700 and len([p for p in (tmp_path / "out").iterdir() if p.is_dir()]) == 1
+    with pytest.raises(FileNotFoundError):
+        io.published(spark, path, "other")
     chunks = io.chunk_ids(rows)
     done = chunks.where("row_index < 650")
     assert [tuple(r) for r in io.missing_chunks(chunks, done).collect()] == [(2, 100, 50)]
@@ -78,8 +82,22 @@ def test_resume_and_stream(spark, tmp_path):
     journal = str(tmp_path / "journal")
     judge.resume(spark, rows, journal, model, valid)
     judge.resume(spark, rows, journal, model, valid)
-    got = io.read_jsonl(spark, journal, judge.JOURNAL).groupBy("judge_id").agg(F.count("*").alias("n"), F.max("attempts").alias("a"), F.max("parse_ok").alias("ok"))
-    assert {tuple(r) for r in got.collect()} == {("1", 1, 1, True), ("2", 2, 3, False), ("3", 1, 1, True)}
+    got = lambda: {tuple(r) for r in io.read_jsonl(spark, journal, judge.JOURNAL).groupBy("judge_id").agg(F.count("*"), F.max("attempts"), F.max("parse_ok")).collect()}
+    assert got() == {("1", 1, 1, True), ("2", 1, 3, False), ("3", 1, 1, True)}
+    judge.resume(spark, rows, journal, model, valid, retry_failures=True)
+    assert got() == {("1", 1, 1, True), ("2", 2, 3, False), ("3", 1, 1, True)}
+    with pytest.raises(ValueError, match="outside the input"):
+        judge.resume(spark, rows.limit(1), journal, model, valid)
+    with pytest.raises(ValueError, match="without settings"):
+        judge.resume(spark, rows, journal, model, valid, settings={"seed": 1})
+    fresh = str(tmp_path / "fresh")
+    judge.resume(spark, rows, fresh, model, valid, settings={"seed": 1})
+    judge.resume(spark, rows, fresh, model, valid, settings={"seed": 1})
+    with pytest.raises(ValueError, match="seed"):
+        judge.resume(spark, rows, fresh, model, valid, settings={"seed": 2})
+    with judge.writing(spark, fresh), pytest.raises(RuntimeError, match="another process"):
+        judge.resume(spark, rows, fresh, model, valid, settings={"seed": 1})
+    judge.resume(spark, rows, fresh, model, valid, settings={"seed": 1})
     rows.write.json(str(tmp_path / "in"))
     q = judge.judge_stream(spark, str(tmp_path / "in"), "judge_id string, prompt string", str(tmp_path / "j2"), str(tmp_path / "c2"), model, valid)
     q.awaitTermination()
@@ -90,3 +108,58 @@ def test_resume_and_stream(spark, tmp_path):
 def test_completeness():
     c = judge.completeness
     assert [c(set(), None, 3), c({"predictions", "metrics", "scored"}, 3, 3), c({"predictions"}, 2, 3), c({"metrics"}, None, 3)] == ["absent", "complete", "partial", "legacy"]
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    """Files are read in many splits, and lines keep their numbers."""
+    for name, n in (("a", 5000), ("b", 3)):
+        (tmp_path / f"{name}.jsonl").write_text("".join("\n" if i % 7 == 3 else json.dumps({"k": i, "pad": "x" * (i % 50)}) + "\n" for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = io.read_jsonl_numbered(spark, str(tmp_path / "*.jsonl"), "k long").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(r.k == r.raw_line_no for r in rows) and len(rows) == sum(i % 7 != 3 for n in (5000, 3) for i in range(1, n + 1))
+
+
+def test_pool_tables_and_templates(spark, tmp_path):
+    pool = tmp_path / "pool.jsonl"
+    pool.write_text('{"judge_id": "1", "text": "a"}\n{"judge_id": "2", "text": "b"}\n')
+    assert io.read_pool(spark, str(pool), "judge_id string, text string", ("text",)).count() == 2
+    pool.write_text('{"judge_id": "1", "text": "a"}\n{"judge_id": "1", "text": " "}\n')
+    with pytest.raises(ValueError, match=r"2 rows, 1 keys, blank: \['text'\]"):
+        io.read_pool(spark, str(pool), "judge_id string, text string", ("text",))
+    chinese = spark.createDataFrame([("3.0", "t", "s"), ("x", "u", "ns")], ["File Name", "Transcriptions", "Labels"])
+    assert [(r.id, r.label, r.dataset) for r in io.canonical_chinese(chinese, "test", "/m").collect()] == [("3", 1, "mcsd"), ("x", 0, "mcsd")]
+    (tmp_path / "t.txt").write_text(" Say {{X}} \n")
+    assert io.read_template(spark, str(tmp_path / "t.txt")) == "Say {{X}}"
+    with pytest.raises(Exception):
+        io.read_template(spark, str(tmp_path / "none.txt"))
+    io.write_csv(spark.createDataFrame([("a,b", 1)], "x string, n int"), str(tmp_path / "csv"))
+    assert next((tmp_path / "csv").glob("part*")).read_text() == 'x,n\n"a,b",1\n'
+
+
+def test_media_probe(spark, tmp_path):
+    import hashlib
+    import wave
+
+    for name in ("a", "copy"):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(16_000)
+            w.writeframes(b"\0\0" * 8_000)
+    (tmp_path / "bad.wav").write_bytes(b"no audio")
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in io.media_frame(spark, str(tmp_path / "*.wav"), io.probe_wave, io.WAVE).collect()}
+    assert (rows["a.wav"].duration, rows["a.wav"].rate, rows["a.wav"].channels, rows["a.wav"].width, rows["a.wav"].error) == (0.5, 16_000, 1, 2, None)
+    assert rows["a.wav"].sha256 == rows["copy.wav"].sha256 == hashlib.sha256((tmp_path / "a.wav").read_bytes()).hexdigest()
+    assert rows["bad.wav"].error and rows["bad.wav"].duration is None
+    same = spark.read.format("binaryFile").load(str(tmp_path / "a.wav")).select(io.content_hash(F.col("content"))).first()[0]
+    assert same == rows["a.wav"].sha256
+
+
+def test_sources_stay_together(spark):
+    rows = spark.range(200).select((F.col("id") % 5).cast("string").alias("source_id"), F.col("id").alias("raw_index"))
+    parts = judge.by_source(rows).select("source_id", "raw_index", F.spark_partition_id().alias("p")).collect()
+    assert all(len({r.p for r in parts if r.source_id == s}) == 1 for s in "01234")

@@ -9,7 +9,9 @@ from tracewright.operators import joins, metrics, rewards, select, validate
 
 def test_best_of_n_ties_and_nulls(spark):
     rows = spark.createDataFrame([("a", 0, -1.0), ("a", 1, -1.0), ("a", 2, None), ("b", 3, None), ("c", 4, float("nan")), ("c", 5, -9.0)], "source_id string, raw_index long, score double")
-    assert {(r.source_id, r.raw_index) for r in select.best_of_n(rows).collect()} == {("a", 0), ("c", 5)}
+    assert {(r.source_id, r.raw_index) for r in select.best_of_n(rows, strict=False).collect()} == {("a", 0), ("c", 5)}
+    with pytest.raises(Exception, match="no row with a score in b"):
+        select.best_of_n(rows).collect()
     assert [r[0] for r in select.groups_without_score(rows).collect()] == ["b"]
 
 
@@ -38,6 +40,11 @@ def test_samples(spark):
     assert len(c) == 6 and len({r.g for r in c}) == 3
     d = select.disjoint_sample(rows.withColumn("ok", F.col("k") % 3 == 0), "g", "k", "ok", 3).collect()
     assert len({r.g for r in d}) == 6
+    with pytest.raises(ValueError, match="wrong rows"):
+        select.disjoint_sample(rows.withColumn("ok", F.col("k") % 3 == 0), "g", "k", "ok", 6)
+    pooled = rows.withColumn("split", F.when(F.col("k") < 50, "x").otherwise("y"))
+    assert len(select.cluster_sample(pooled, ["split", "g"], "k", 0, 2).collect()) == 40
+    assert select.cluster_sample(pooled, "g", "k", 0, 0).count() == 100
 
 
 def test_ordinals(spark):
@@ -105,3 +112,75 @@ def test_sft_row(spark):
     assert got == [[("user", "q"), ("assistant", "T")], [("user", "q"), ("assistant", "T")]]
     leaked = {"gold", "prediction", "integration", "answer"}
     assert not leaked & set(validate.PROMPT_COLUMNS)
+
+
+def test_labels_must_match_their_pool(spark):
+    from tracewright.operators import labels
+
+    pool = spark.createDataFrame([("1",), ("2",)], "judge_id string")
+    rows = [(k, c, 1) for k in ("1", "2") for c in ("text", "audio", "visual", "integration")]
+    schema = "judge_id string, component string, grounded int"
+    whole = spark.createDataFrame(rows, schema)
+    assert [r.all_grounded for r in labels.merge_labels(pool, whole).collect()] == [True, True]
+    cases = {"missing": rows[1:], "extra": [*rows, ("3", "text", 0)], "repeated": [*rows, ("1", "audio", 0)]}
+    for problem, some in cases.items():
+        long = spark.createDataFrame(some, schema)
+        assert [r.problem for r in labels.label_problems(pool, long).collect()].count(problem) == 1
+        with pytest.raises(Exception, match="differ at|repeated label"):
+            labels.merge_labels(pool, long).collect()
+    assert labels.merge_labels(pool, spark.createDataFrame(cases["missing"], schema), strict=False).count() == 1
+
+
+def test_lookup_that_must_hit(spark):
+    a, b = (spark.createDataFrame([(x,) for x in some], "k string") for some in ("xy", "x"))
+    assert joins.lookup(a, b.withColumn("v", F.lit(1)), "k").where("found").count() == 1
+    with pytest.raises(Exception, match="no match for k y"):
+        joins.lookup(a, b, "k", required=True).collect()
+    with pytest.raises(ValueError, match="'y', 'missing'"):
+        joins.require_coverage(a, b, "k")
+    assert [r.k for r in joins.excluded(a, b, "k").collect()] == ["y"]
+
+
+def test_patterns_tie_by_first_appearance(spark):
+    rows = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 1), (4, 1, 0)], "i int, a int, b int")
+    assert [r.pattern for r in metrics.patterns(rows, ("a", "b")).collect()] == ["01", "10"]
+    assert [r.pattern for r in metrics.patterns(rows, ("a", "b"), seen="i").collect()] == ["10", "01"]
+
+
+def test_reward_plugins(spark):
+    rows = spark.createDataFrame([(1.0, "a"), (2.5, "bcd"), (None, "")], "x double, s string")
+    rewards.register("double", lambda x: x * 2, ("x",))
+    rewards.register("lengths", lambda frame: [len(s) + (0 if x != x else x) for x, s in zip(frame["x"], frame["s"])], ("x", "s"), batch=True)
+    rewards.register("short", lambda frame: [1.0] * 99, ("s",), batch=True)
+    with pytest.raises(ValueError):
+        rewards.register("double", abs, ("x",))
+    with pytest.raises(KeyError):
+        rewards.rewarded(rows, ["nope"])
+    assert [(r.double, r.lengths) for r in rewards.rewarded(rows, ["double", "lengths"]).collect()] == [(2.0, 2.0), (5.0, 5.5), (None, 0.0)]
+    with pytest.raises(Exception, match="99 rewards for"):
+        rewards.rewarded(rows, ["short"]).collect()
+
+
+def test_checks_of_rows(spark):
+    rows = spark.createDataFrame([("a", 2), ("b", 5)], "name string, n int")
+    assert validate.expect_counts(rows, {"a": 2, "c": 0}) == {} and validate.expect_counts(rows, {"b": 4}, strict=False) == {"b": 5}
+    with pytest.raises(ValueError):
+        validate.expect_counts(rows, {"b": 4})
+    one = rows.select(validate.first_present(rows, ["gone", "name"]).alias("x")).collect()
+    assert [r.x for r in one] == ["a", "b"]
+    validate.same_run({"a": 1}, {"a": 1})
+    with pytest.raises(ValueError, match="b"):
+        validate.same_run({"a": 1}, {"a": 1, "b": 2})
+    with pytest.raises(Exception, match="row breaks label"):
+        validate.sft_rows(spark.sql("select array(named_struct('role', 'user', 'content', 'q')) as messages, 't' as target, 's' as source_id, int(null) as label"), "v").collect()
+    assert [r.k for r in validate.unique_keys(rows.withColumnRenamed("name", "k"), ["k"]).collect()] == ["a", "b"]
+
+
+def test_small_functions(spark):
+    from tracewright.functions import text as tx
+
+    row = spark.sql("select '12.0' as a, array(named_struct('type', 'text', 'text', 'x'), named_struct('type', 'image', 'text', string(null))) as parts, 'Tell me' as m")
+    got = row.select(tx.numeric_id(F.col("a")).alias("a"), tx.content_text(F.col("parts")).alias("t"), tx.transcript(F.col("m")).alias("none")).first()
+    assert tuple(got) == ("12", "x", None)
+    with pytest.raises(Exception, match="no transcript in: Tell me"):
+        row.select(tx.transcript(F.col("m"), required=True)).collect()

@@ -131,6 +131,7 @@ def answer_label(answer: Column, mode: str = "lenient") -> Column:
 def gold_label(value: Column) -> Column:
     """0 or 1 from any spelling of a gold label; raises on others."""
     x = F.lower(strip(value.cast("string")))
+    # Fixed values.
     yes = ("1", "1.0", "true", "sarcasm", "sarcastic")
     no = ("0", "0.0", "false", "non-sarcasm", "non_sarcasm", "nonsarcasm", "non-sarcastic", "non sarcastic")
     return F.when(x.isin(*yes), 1).when(x.isin(*no), 0).otherwise(F.raise_error(F.concat(F.lit("unsupported gold label: "), F.coalesce(x, F.lit("null")))).cast("int"))
@@ -178,21 +179,27 @@ def transcript_line(message: Column) -> Column:
     return F.nullif(strip(found), F.lit(""))
 
 
-#: Tried in order, first match wins.
-_TRANSCRIPTS = (
-    r"""(?is)<transcript>\s*(.*?)\s*</transcript>""",
-    r"""(?is)transcript\s*:\s*"([^"]+)\"""",
-    r"""(?is)transcript\s*:\s*(.+?)(?:\n\s*\n|\z)""",
-    r"""(?is)utterance\s*:\s*"([^"]+)\"""",
-    r"""(?is)utterance\s*:\s*(.+?)(?:\n\s*\n|\z)""",
-    r"""(?is)text\s*:\s*(.+?)(?:\n\s*\n|\z)""",
+#: Tried in order, the first match that is not blank wins.
+TRANSCRIPTS = (
+    r"""<transcript>\s*(.*?)\s*</transcript>""",
+    r"""Transcript\s*:\s*["“](.*?)["”]""",
+    r"""Transcript\s*:\s*\n\s*(.+?)(?:\n\s*\n|\z)""",
+    r"""Transcript\s*:\s*(.+?)(?:\n\s*\n|\z)""",
+    r"""Utterance\s*:\s*["“](.*?)["”]""",
+    r"""Utterance\s*:\s*\n\s*(.+?)(?:\n\s*\n|\z)""",
 )
 
 
-def transcript(message: Column, *direct: Column) -> Column:
-    """The first non-blank direct field, else the first pattern's match in the message."""
-    blank = lambda c: F.nullif(strip(c), F.lit(""))
-    return F.coalesce(*[blank(c) for c in direct], *[blank(F.regexp_extract(message, p, 1)) for p in _TRANSCRIPTS])
+def transcript(message: Column, *direct: Column, required: bool = False) -> Column:
+    """The first direct field that is not blank, else the first pattern's match in the message.
+
+    Null without any, or an error with ``required``.
+    """
+    filled = lambda c: F.nullif(strip(c), F.lit(""))
+    tries = [*[filled(c) for c in direct], *[filled(F.regexp_extract(message, "(?is)" + p, 1)) for p in TRANSCRIPTS]]
+    if required:
+        tries.append(F.raise_error(F.concat(F.lit("no transcript in: "), preview(F.coalesce(message, F.lit(""))))).cast("string"))
+    return F.coalesce(*tries)
 
 
 def content_text(parts: Column) -> Column:

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row a key, the last by ``order``: what building a dictionary in order leaves."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct("*"), F.col(order)).alias("_last"))  # combines before it shuffles
+    return last.select(*[F.col("_last")[c].alias(c) for c in rows.columns])
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, found: str = "found") -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, found: str = "found", required: bool = False) -> DataFrame:
     """All left rows with the right's columns and whether there was a match; ``right`` has each key once.
 
-    Keys are compared as strings.
+    Keys are compared as strings. With ``required`` a miss raises on reading.
     """
     r = right.withColumn("_key", F.col(key).cast("string")).drop(key).withColumn(found, F.lit(True))
     out = left.withColumn("_key", F.col(key).cast("string")).join(r, "_key", "left").drop("_key")
-    return out.withColumn(found, F.coalesce(found, F.lit(False)))
+    out = out.withColumn(found, F.coalesce(found, F.lit(False)))
+    if required:
+        miss = F.raise_error(F.concat(F.lit(f"no match for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+        out = out.where(F.when(F.col(found), True).otherwise(miss))
+    return out
 
 
 def coverage(pool: DataFrame, labels: DataFrame, key: str) -> DataFrame:

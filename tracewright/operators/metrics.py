@@ -120,9 +120,12 @@ def hard_negative_summary(rows: DataFrame, gold: str = "gold", pred: str = "pred
     )
 
 
-def patterns(rows: DataFrame, components: tuple[str, ...], prefix: str = "") -> DataFrame:
-    """``(pattern, n)``, e.g. ``1011``, most frequent first."""
+def patterns(rows: DataFrame, components: tuple[str, ...], prefix: str = "", seen: str | None = None) -> DataFrame:
+    """``(pattern, n)``, e.g. ``1011``, most frequent first; ties by pattern, or by first appearance in the order of ``seen``."""
     p = F.concat(*[F.col(prefix + c).cast("string") for c in components])
+    if seen:
+        out = rows.groupBy(p.alias("pattern")).agg(F.count("*").alias("n"), F.min(seen).alias("_first"))
+        return out.orderBy(F.col("n").desc(), "_first").drop("_first")
     return rows.groupBy(p.alias("pattern")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "pattern")
 
 

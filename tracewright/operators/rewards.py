@@ -6,11 +6,16 @@ and raw grounding scores that a judge has given.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
 from tracewright.functions.numeric import linear_factor
+from tracewright.session import ship_package
 
 WEIGHTS = {"accuracy": 1.0, "format": 0.2, "grounding": 0.2}
 
@@ -105,5 +110,51 @@ def logged_steps(rows: DataFrame, every: int, step: str = "step", phase: str = "
     return rows.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(phase)) | (F.col(step) % every == 0)).drop("_b")
 
 
-#: Name to column function, for callers that pick rewards by name.
-REWARDS = {"accuracy": accuracy_reward, "format": format_reward, "gated": gated_reward}
+@dataclass(frozen=True)
+class Plugin:
+    """A reward by name: a function of columns, or, for batches, of a pandas frame of ``inputs``, one number a row."""
+
+    function: Callable
+    inputs: tuple[str, ...]
+    batch: bool = False
+
+
+#: Registered rewards by name.
+PLUGINS: dict[str, Plugin] = {}
+
+
+def register(name: str, function: Callable, inputs: tuple[str, ...], batch: bool = False) -> None:
+    """Register a reward; a name that is taken raises."""
+    if name in PLUGINS:
+        raise ValueError(f"there is a reward {name!r}")
+    PLUGINS[name] = Plugin(function, tuple(inputs), batch)
+
+
+def rewarded(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows with a column for each named reward. Those over columns stay in the JVM; batches go through Arrow."""
+    for name in names:
+        if name not in PLUGINS:
+            raise KeyError(f"no reward {name!r}; there are {sorted(PLUGINS)}")
+        p = PLUGINS[name]
+        if not p.batch:
+            rows = rows.withColumn(name, p.function(*[F.col(c) for c in p.inputs]).cast("double"))
+            continue
+
+        ship_package(rows.sparkSession)
+        rows = rows.withColumn(name, F.pandas_udf(_batched(p), "double")(F.struct(*[F.col(c) for c in p.inputs])))
+    return rows
+
+
+def _batched(p: Plugin) -> Callable:
+    def run(frame: pd.DataFrame) -> pd.Series:
+        out = p.function(frame)
+        if len(out) != len(frame):
+            raise ValueError(f"{len(out)} rewards for {len(frame)} rows")
+        return pd.Series(list(out), dtype="float64")
+
+    return run
+
+
+register("accuracy", accuracy_reward, ("parsed", "gold"))
+register("format", format_reward, ("parsed",))
+register("gated", gated_reward, ("parsed", "gold", "raw"))

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as tx
 
 
-def best_of_n(rows: DataFrame, group: str = "source_id", score: str = "score", order: str = "raw_index") -> DataFrame:
+def best_of_n(rows: DataFrame, group: str = "source_id", score: str = "score", order: str = "raw_index", strict: bool = True) -> DataFrame:
     """The row with the highest score of each group, the first one on ties; rows without a score never win.
 
-    A group whose rows all lack scores has no best row; :func:`groups_without_score` names them.
+    A group whose rows all lack scores raises on reading; without ``strict`` it has no best row, and
+    :func:`groups_without_score` names it.
     """
-    scored = rows.where(F.col(score).isNotNull() & ~F.isnan(score))
-    w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(order))
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    usable = F.col(score).isNotNull() & ~F.isnan(score)
+    w = Window.partitionBy(group).orderBy(F.when(usable, F.col(score)).desc_nulls_last(), F.col(order))
+    best = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    if not strict:
+        return best.where(usable)
+    none = F.raise_error(F.concat(F.lit("no row with a score in "), F.col(group).cast("string"))).cast("boolean")
+    return best.where(F.when(usable, True).otherwise(none))
 
 
 def groups_without_score(rows: DataFrame, group: str = "source_id", score: str = "score") -> DataFrame:
@@ -49,18 +54,25 @@ def balanced_sample(rows: DataFrame, label: str, key: str, n: int, seed: int = 4
     return top_k(rows, [label], n, [draw(F.col(key), seed), F.col(key)])
 
 
-def cluster_sample(rows: DataFrame, group: str, key: str, groups: int, per_group: int, seed: int = 42) -> DataFrame:
-    """``per_group`` rows of each of ``groups`` groups drawn at random."""
-    chosen = rows.select(group).distinct().orderBy(draw(F.col(group), seed), group).limit(groups)
-    return top_k(rows.join(chosen, group, "left_semi"), [group], per_group, [draw(F.col(key), seed), F.col(key)])
+def cluster_sample(rows: DataFrame, group: str | list[str], key: str, groups: int, per_group: int, seed: int = 42) -> DataFrame:
+    """``per_group`` rows of each of ``groups`` groups drawn at random; 0 is all. A group may be several columns, such as split and source."""
+    by = [group] if isinstance(group, str) else group
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
+    if groups:
+        chosen = rows.select(*by).distinct().orderBy(draw(name, seed), *by).limit(groups)
+        rows = rows.join(chosen, by, "left_semi")
+    return top_k(rows, by, per_group, [draw(F.col(key), seed), F.col(key)]) if per_group else rows
 
 
 def disjoint_sample(rows: DataFrame, group: str, key: str, correct: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` correct rows of different groups, then ``n`` wrong ones of other groups, one row each."""
+    """``n`` correct rows of different groups, then ``n`` wrong ones of other groups, one row each; raises if there are fewer."""
 
     def one_each(some: DataFrame, stratum: str) -> DataFrame:
         one = top_k(some, [group], 1, [draw(F.col(key), seed), F.col(key)])
-        return one.orderBy(draw(F.col(group), seed), group).limit(n).withColumn("stratum", F.lit(stratum))
+        taken = one.orderBy(draw(F.col(group), seed), group).limit(n).withColumn("stratum", F.lit(stratum))
+        if (have := taken.count()) < n:
+            raise ValueError(f"{n} groups with {stratum} rows are needed, {have} are left")
+        return taken
 
     first = one_each(rows.where(F.col(correct)), "correct")
     others = rows.where(~F.col(correct)).join(first.select(group), group, "left_anti")

@@ -6,23 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
+from tracewright.session import durable
 
 
 def parse_trajectories(rows: DataFrame, response: str = "response") -> DataFrame:
     """The rows with a struct ``parsed`` of their sections and the label ``prediction``.
 
-    The result is persisted: later expressions then read parsed columns, while the
-    optimizer would otherwise copy the patterns into every use of them.
+    Sections are read in a lambda, whose variable is computed once: the optimizer would
+    otherwise copy the patterns into every later use of a section.
     """
-    out = rows.withColumn("parsed", tx.sections(F.col(response)))
-    return out.withColumn("prediction", tx.answer_label(F.col("parsed.answer"), "lenient")).persist()
+    out = rows.withColumn("parsed", F.transform(F.array(F.col(response)), tx.sections)[0])
+    return out.withColumn("prediction", tx.answer_label(F.col("parsed.answer"), "lenient"))
 
 
 def finished(reason: Column, lenient: bool = False) -> Column:
-    """Whether generation ended by itself; leniently also where nothing is recorded."""
+    """Whether generation ended by itself; leniently also where nothing is recorded, and blanks and case do not count."""
     if not lenient:
         return F.coalesce(reason == "stop", F.lit(False))
-    return reason.isNull() | F.lower(reason).isin("stop", "eos", "eos_token")
+    return reason.isNull() | F.lower(tx.strip(reason)).isin("stop", "eos", "eos_token")
 
 
 def reject_reason(gold: Column, finish: Column, parsed: Column, prediction: Column) -> Column:
@@ -39,6 +40,21 @@ def reject_reason(gold: Column, finish: Column, parsed: Column, prediction: Colu
     )
 
 
+def pool_reason(finish: Column, response: Column) -> Column:
+    """The first failing check of a candidate for judging, null if it passes; right and wrong answers both do.
+
+    A structure that cannot be read is ``malformed::`` and what :func:`strict_tag_error` says.
+    """
+    error = tx.strict_tag_error(response)
+    answer = tx.strip(F.regexp_extract(response, r"(?s)<answer>(.*?)</answer>", 1))
+    return (
+        F.when(~finished(finish, lenient=True), "finish_reason")
+        .when(response.isNull() | (tx.strip(response) == ""), "missing_trajectory")
+        .when(error.isNotNull(), F.concat(F.lit("malformed::"), error))
+        .when(tx.answer_label(answer, "words").isNull(), "invalid_answer")
+    )
+
+
 def classify(rows: DataFrame) -> DataFrame:
     """Trajectories (``finish_reason, gold, response``) with ``parsed, prediction, reject_reason, target``."""
     out = parse_trajectories(rows)
@@ -88,9 +104,13 @@ def unique_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_ordinal(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """Number rows 0, 1, ... in order. Ranges are sorted apart and offset by the sizes of those before."""
+    """Number rows 0, 1, ... in order. Ranges are sorted apart and offset by the sizes of those before.
+
+    Ranges are written before they are counted: were one computed again after an executor is lost,
+    rows on its border could count in two.
+    """
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = durable(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = Window.partitionBy("_part").orderBy(*order)
@@ -120,6 +140,23 @@ def sft_row(messages: Column, target: Column) -> Column:
     return F.when(ends, F.concat(F.slice(messages, F.lit(1), F.size(messages) - 1), turn)).otherwise(F.concat(messages, turn))
 
 
+#: What a training row keeps of a trajectory beside its messages and media.
+AUDIT_COLUMNS = ("source_id", "label", "sample_idx", "mean_token_logprob")
+
+
+def sft_rows(rows: DataFrame, variant: str, messages: str = "messages", target: str = "target") -> DataFrame:
+    """Training rows: messages with the target, media lists that are not empty, audit columns, and the variant's name.
+
+    Nothing else of the trajectory gets in. ``source_id`` and ``label`` must be set.
+    """
+    media = [F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("videos", "audios") if c in rows.columns]
+    said = {"source_id": "string", "label": "int", "sample_idx": "int", "mean_token_logprob": "double"}
+    names = {"sample_idx": "teacher_sample_idx", "mean_token_logprob": "teacher_mean_token_logprob"}
+    audit = [(F.col(c) if c in rows.columns else F.lit(None)).cast(said[c]).alias(names.get(c, c)) for c in AUDIT_COLUMNS]
+    checked = require(rows, {c: F.col(c).isNotNull() for c in ("source_id", "label")})
+    return checked.select(sft_row(F.col(messages), F.col(target)).alias("messages"), *media, *audit, F.lit(variant).alias("sft_variant"))
+
+
 #: Columns that a prompt may be built from; gold labels, predictions and integration are not among them.
 PROMPT_COLUMNS = ("id", "source_id", "transcript", "text_evidence", "audio_evidence", "visual_evidence", "audios", "videos")
 

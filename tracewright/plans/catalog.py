@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracewright.plans import checks, evaluation, labelling, rewarding, selection, text
+from tracewright.plans import checks, evaluation, labelling, records, rewarding, selection, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (selection, text, evaluation, labelling, rewarding, checks):
+for _part in (selection, text, evaluation, labelling, rewarding, checks, records):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

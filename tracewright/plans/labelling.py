@@ -35,7 +35,7 @@ def sum_histogram(spark, sf_dir):
 
 def chat_rows(spark, sf_dir):
     tables(spark, sf_dir, "documents")
-    d = spark.table("documents").select("doc_id", F.substr("text", F.lit(1), F.lit(40)).alias("t"), "lang", "source")
+    d = spark.table("documents").select("doc_id", F.col("text").alias("t"), "lang", "source")
     rows = d.join(component_labels(spark, sf_dir), F.col("doc_id") == F.col("judge_id"))
     template = F.lit("T: {{TRANSCRIPT}}\nE: {{EVIDENCE}}")
     chat = labels.chat_row(F.lit("You judge."), template, {"TRANSCRIPT": F.col("t"), "EVIDENCE": F.col("lang")}, {c: F.col(c) for c in COMPONENTS})
@@ -65,7 +65,7 @@ ORACLES = {
     + " union all ".join(f"select '{c}' as component, {c} as v from lab" for c in COMPONENTS)
     + ") select component, count(*) filter (v = 1) as supported, count(*) filter (v = 0) as unsupported, round(avg(v), 6) as rate from l group by 1",
     "sum_histogram": f"with {LABELS_SQL} select cast(k as integer) as grounding_sum, count(judge_id) as n from range(0, 5) r(k) left join lab on text + audio + visual + integration = k group by 1",
-    "chat_rows": f"""with {LABELS_SQL} select doc_id, cast(3 as bigint) as turns, 'T: ' || substr(d.text, 1, 40) || chr(10) || 'E: ' || lang as "user",
+    "chat_rows": f"""with {LABELS_SQL} select doc_id, cast(3 as bigint) as turns, 'T: ' || d.text || chr(10) || 'E: ' || lang as "user",
  concat('{{"text":', lab.text, ',"audio":', audio, ',"visual":', visual, ',"integration":', integration, '}}') as target from lab join documents d on doc_id = judge_id""",
     "strict_label_json": _JSON,
     "exact_label_json": _JSON,

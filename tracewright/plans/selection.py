@@ -24,7 +24,7 @@ def reject_reason_counts(spark, sf_dir):
 
 
 def best_of_n(spark, sf_dir):
-    return select.best_of_n(_usable(spark, sf_dir)).select("source_id", "raw_index", "sample_idx", "score", "target")
+    return select.best_of_n(_usable(spark, sf_dir), strict=False).select("source_id", "raw_index", "sample_idx", "score", "target")
 
 
 def diverse_n(spark, sf_dir):
@@ -33,7 +33,8 @@ def diverse_n(spark, sf_dir):
 
 def sft_variants(spark, sf_dir):
     usable = _usable(spark, sf_dir)
-    parts = [f(usable).select("source_id", "raw_index", "target", F.lit(n).alias("sft_variant")) for n, f in (("best_8", select.best_of_n), ("diverse_8", select.diverse_n))]
+    best, diverse = select.best_of_n(usable, strict=False), select.diverse_n(usable)
+    parts = [rows.select("source_id", "raw_index", "target", F.lit(n).alias("sft_variant")) for n, rows in (("best_8", best), ("diverse_8", diverse))]
     return parts[0].unionByName(parts[1])
 
 

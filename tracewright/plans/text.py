@@ -53,13 +53,6 @@ def completeness(spark, sf_dir):
     return t.select("raw_index", tx.is_complete(F.col("response")).alias("complete"))
 
 
-def transcript_extract(spark, sf_dir):
-    tables(spark, sf_dir, "documents")
-    message = F.concat(F.lit("Judge this.\nTranscript: \""), F.substr(F.regexp_replace("text", r"[\n\"']", " "), F.lit(1), F.lit(30)), F.lit("\"\nAnswer."))
-    m = spark.table("documents").select("doc_id", message.alias("m"))
-    return m.select("doc_id", tx.transcript_line(F.col("m")).alias("line"), tx.transcript(F.col("m")).alias("cascade"))
-
-
 def path_stem(spark, sf_dir):
     tables(spark, sf_dir, "pages")
     return spark.table("pages").select("page_id", tx.path_stem(F.split("url", r"[?#]", 2)[0]).alias("stem"))
@@ -124,7 +117,7 @@ def json_props(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        answer_modes, strict_tag_errors, tag_extract_title, answer_errors, format_valid, reasoning_rebuild, canonical_target, completeness, transcript_extract,
+        answer_modes, strict_tag_errors, tag_extract_title, answer_errors, format_valid, reasoning_rebuild, canonical_target, completeness,
         path_stem, source_id_recover, last_assistant, sft_chat, preview, method_family, frame_indices, token_logprob, json_props,
     )
 }
@@ -154,7 +147,6 @@ ORACLES = {
     "reasoning_rebuild": f"with {CLASSIFIED_SQL} select raw_index, reasoning from cl",
     "canonical_target": f"with {CLASSIFIED_SQL} select raw_index, target from usable",
     "completeness": f"with {TRAJ_SQL} select raw_index, contains(response, '</text_evidence>') and contains(response, '</audio_evidence>') and contains(response, '</visual_evidence>') and contains(response, '</integration>') and contains(response, '</answer>') as complete from traj",
-    "transcript_extract": """with m as (select doc_id, trim(substr(regexp_replace(text, '[\\n"'']', ' ', 'g'), 1, 30)) as t from documents) select doc_id, nullif(t, '') as line, nullif(t, '') as cascade from m""",
     "path_stem": "select page_id, regexp_extract(regexp_extract(url, '^[^?#]*'), '([^/]+?)(\\.[^./]*)?/*$', 1) as stem from pages",
     "source_id_recover": """select doc_id, case doc_id % 3 when 0 then md5(cast(doc_id as varchar)) when 1 then 'id' || doc_id else 'v' || doc_id || '.x' end as plain,
  case doc_id % 3 when 1 then 'id' || doc_id else 'v' || doc_id || '.x' end as no_hashes from documents""",

@@ -14,7 +14,7 @@ select d.doc_id as raw_index,
  l.quality, l.toxic,
  concat(
   case when d.doc_id % 5 = 0 then '<think>draft</think>' else '' end,
-  '<text_evidence>', case when d.doc_id % 8 in (3,5) then concat('same', case when d.doc_id % 8 = 3 then '  ' else ' ' end,'claim') else substr(d.text,1,40) end, '</text_evidence>',
+  '<text_evidence>', case when d.doc_id % 8 in (3,5) then concat('same', case when d.doc_id % 8 = 3 then '  ' else ' ' end,'claim') else d.text end, '</text_evidence>',
   '<audio_evidence>', d.lang, '</audio_evidence>',
   case when d.doc_id % 17 = 0 then '<visual_evidence>dup</visual_evidence>' else '' end,
   '<visual_evidence>', case when d.doc_id % 8 in (3,5) then 'v' else d.source end, '</visual_evidence>',

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tracewright", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,6 +28,25 @@ def build_session(app: str = "tracewright", master: str | None = None, **conf: s
     return b.getOrCreate()
 
 
+def durable(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+
+    The folder comes from ``spark.checkpoint.dir``; only where a local session has
+    none (tests, notebooks) a temporary one is set.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("executors need a shared folder: set spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tracewright-"))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send the package's source to the Python workers, once a context."""
     sc = spark.sparkContext

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,19 +27,24 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, mode:
 def read_jsonl_numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with ``raw_line_no``, the line's number in its file, from 1; malformed lines raise with it.
 
-    Files are read whole, so that numbers are exact; each should be of a size that a task can hold.
+    Large files are read in splits. Within a split lines follow each other in their ids; the lines of the
+    splits before are added.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    lines = whole.where(F.btrim("line") != "").select("file", (F.col("pos") + 1).alias("raw_line_no"), "line")
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = read.groupBy("file", "at").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    splits = splits.select("file", "at", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("add"))
+    lines = read.where(F.btrim("line") != "").join(splits, ["file", "at"]).select("file", (F.col("id") + F.col("add")).alias("raw_line_no"), "line")
     parsed = F.from_json("line", schema, {"mode": "PERMISSIVE"})
     ok = F.try_parse_json("line").isNotNull() & F.regexp_like("line", F.lit(r"^\s*\{"))
     fail = F.raise_error(F.concat(F.lit("malformed JSON object in line "), F.col("raw_line_no").cast("string")))
     return lines.where(F.when(ok, True).otherwise(fail.cast("boolean"))).select("file", "raw_line_no", parsed.alias("r")).select("file", "raw_line_no", "r.*")
 
 
-def done_ids(spark: SparkSession, path: str, key: str = "judge_id") -> DataFrame:
-    """Ids of a journal that were parsed well, its damaged lines left out."""
-    return read_jsonl(spark, path, f"{key} string, parse_ok boolean", "resume").where("parse_ok").select(key).distinct()
+def done_ids(spark: SparkSession, path: str, key: str = "judge_id", failed_too: bool = False) -> DataFrame:
+    """Ids of a journal that were parsed well, or (``failed_too``) that it has at all; damaged lines are left out."""
+    rows = read_jsonl(spark, path, f"{key} string, parse_ok boolean", "resume").where(F.col(key).isNotNull())
+    return (rows if failed_too else rows.where("parse_ok")).select(key).distinct()
 
 
 def read_pool(spark: SparkSession, path: str, schema: str, required: tuple[str, ...], key: str = "judge_id") -> DataFrame:
@@ -128,6 +134,32 @@ def media_frame(spark: SparkSession, path: str, probe, schema: str) -> DataFrame
     return spark.read.format("binaryFile").load(path).mapInPandas(probe, schema)
 
 
+#: What :func:`probe_wave` tells of a file.
+WAVE = "path string, sha256 string, bytes long, duration double, rate int, channels int, width int, error string"
+
+
+def probe_wave(frames):
+    """A probe for :func:`media_frame`: facts of WAV files, each distinct content decoded once a batch; unreadable ones get an ``error``."""
+    import io
+    import wave
+
+    import pandas as pd
+
+    for frame in frames:
+        known, out = {}, []
+        for path, content in zip(frame["path"], frame["content"]):
+            digest = hashlib.sha256(content).hexdigest()
+            if digest not in known:
+                try:
+                    with wave.open(io.BytesIO(content)) as w:
+                        known[digest] = (w.getnframes() / w.getframerate(), w.getframerate(), w.getnchannels(), w.getsampwidth(), None)
+                except (wave.Error, EOFError, ZeroDivisionError) as e:
+                    known[digest] = (None, None, None, None, f"{type(e).__name__}: {e}")
+            out.append((path, digest, len(content), *known[digest]))
+        rows = pd.DataFrame(out, columns=[c.split()[0] for c in WAVE.split(", ")])
+        yield rows.astype({"rate": "Int32", "channels": "Int32", "width": "Int32"})
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
@@ -152,38 +184,56 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_stats(spark: SparkSession, stats: dict, path: str) -> None:
-    """One JSON document, written beside and renamed, in any file system Spark reaches."""
+    """One JSON document, written beside and renamed over the old one, in any file system Spark reaches."""
     fs, at = _fs(spark, path)
-    out = fs.create(at(path + ".tmp"), True)
+    beside = at(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside, True)
     out.write(bytearray(json.dumps(stats, ensure_ascii=False, indent=2).encode()))
     out.close()
-    fs.delete(at(path), False)
-    if not fs.rename(at(path + ".tmp"), at(path)):
-        raise OSError(f"cannot publish {path}")
+    sc = spark.sparkContext
+    rename = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = sc._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(beside), fs.makeQualified(at(path)), over)  # at no time is there neither
+
+
+def read_stats(spark: SparkSession, path: str) -> dict | None:
+    """What :func:`write_stats` has written; null if nothing."""
+    fs, at = _fs(spark, path)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if fs.exists(at(path)) else None
 
 
 def publish(spark: SparkSession, outputs: dict[str, DataFrame], path: str, overwrite: bool = False) -> dict[str, str]:
-    """Write all outputs to a staging folder, then rename it; a folder that exists is only replaced on demand.
+    """Write all outputs to a folder of their own, then make the manifest point there; published outputs are only replaced on demand.
 
-    Returns, and writes as ``manifest``, a content digest of each output (independent of row order).
+    Returns, and writes to the manifest, a content digest of each output (independent of row order). Readers
+    (:func:`published`) see the old outputs until the manifest is renamed over the old one, then all new ones; the folder
+    before is deleted after that.
     """
     fs, at = _fs(spark, path)
-    if fs.exists(at(path)) and not overwrite:
+    old = read_stats(spark, f"{path}/manifest.json")
+    if old and not overwrite:
         raise FileExistsError(path)
-    staging = f"{path}.staging"
-    fs.delete(at(staging), True)
-    digests = {}
+    run, digests = uuid.uuid4().hex, {}
     for name, rows in outputs.items():
-        rows.write.parquet(f"{staging}/{name}")
-        facts = spark.read.parquet(f"{staging}/{name}").select(F.xxhash64(F.to_json(F.struct("*"))).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x")).first()
+        rows.write.parquet(f"{path}/{run}/{name}")
+        facts = spark.read.parquet(f"{path}/{run}/{name}").select(F.xxhash64(F.to_json(F.struct("*"))).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x")).first()
         digests[name] = hashlib.sha256(f"{facts['n']}:{facts['x']}".encode()).hexdigest()
-    write_stats(spark, digests, f"{staging}/manifest.json")
-    fs.delete(at(path), True)
-    if not fs.rename(at(staging), at(path)):
-        raise OSError(f"cannot publish {path}")
+    write_stats(spark, {"run": run, "outputs": digests}, f"{path}/manifest.json")
+    if old:
+        fs.delete(at(f"{path}/{old['run']}"), True)
     return digests
 
 
+def published(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """An output of :func:`publish`."""
+    manifest = read_stats(spark, f"{path}/manifest.json")
+    if not manifest or name not in manifest["outputs"]:
+        raise FileNotFoundError(f"{path}: {name}")
+    return spark.read.parquet(f"{path}/{manifest['run']}/{name}")
+
+
 def chunk_ids(rows: DataFrame, index: str = "row_index", size: int = 300) -> DataFrame:
     """Rows with ``chunk_id``: ``size`` consecutive positions each."""
     return rows.withColumn("chunk_id", F.floor(F.col(index) / size))

@@ -6,15 +6,19 @@ A model is a function from a list of prompts to a list of responses. It runs ins
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.operators.joins import pending
 from tracewright.session import ship_package
-from tracewright.sources.io import done_ids, write_jsonl
+from tracewright.operators.validate import same_run
+from tracewright.sources.io import _fs, done_ids, read_stats, write_jsonl, write_stats
 
 Model = Callable[[list[str]], list[str]]
 JOURNAL = "judge_id string, raw_output string, parse_ok boolean, attempts int, failure string"
@@ -70,24 +74,60 @@ def judge(rows: DataFrame, model: Model, valid, batch: int = 64, attempts: int =
     return rows.select(F.col("judge_id").cast("string").alias("judge_id"), "prompt").mapInPandas(judged(model, valid, batch, attempts), JOURNAL)
 
 
-def resume(spark: SparkSession, rows: DataFrame, journal: str, model: Model, valid, **options) -> None:
-    """Judge what the journal has no valid answer for, and append."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(journal)
-    there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-    todo = rows.withColumn("judge_id", F.col("judge_id").cast("string"))
-    if there:
-        todo = pending(todo, done_ids(spark, journal), "judge_id")
-    write_jsonl(judge(todo, model, valid, **options), journal, append=True)
+@contextmanager
+def writing(spark: SparkSession, journal: str) -> Iterator[None]:
+    """Be the journal's only writer. The lock is a file beside it; after a crash it has to be removed by hand."""
+    fs, at = _fs(spark, journal)
+    lock = at(f"{journal.rstrip('/')}.lock")
+    try:
+        fs.create(lock, False).close()
+    except Py4JJavaError as e:
+        if not fs.exists(lock):
+            raise
+        raise RuntimeError(f"another process is writing this journal, or has left {lock.toString()}") from e
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def resume(
+    spark: SparkSession, rows: DataFrame, journal: str, model: Model, valid, settings: dict | None = None, retry_failures: bool = False, part_of_input: bool = False, **options
+) -> None:
+    """Judge what the journal does not have, and append.
+
+    Failures count as had unless ``retry_failures``. The run's ``settings`` are kept beside the journal, and
+    later runs must have the same. A journal with ids that are not among ``rows`` is refused, unless they are
+    only a ``part_of_input``. One writer at a time.
+    """
+    fs, at = _fs(spark, journal)
+    with writing(spark, journal):
+        todo = rows.withColumn("judge_id", F.col("judge_id").cast("string"))
+        if settings is not None:
+            notes = f"{journal.rstrip('/')}.meta.json"
+            old = read_stats(spark, notes)
+            if old is None and fs.exists(at(journal)):
+                raise ValueError("the journal was begun without settings")
+            if old is not None:
+                same_run(old, json.loads(json.dumps(settings)))
+            else:
+                write_stats(spark, settings, notes)
+        if fs.exists(at(journal)):
+            strangers = done_ids(spark, journal, failed_too=True).join(todo, "judge_id", "left_anti")
+            if not part_of_input and (some := strangers.limit(5).collect()):
+                raise ValueError(f"the journal has ids outside the input, among them {[r[0] for r in some]}")
+            todo = pending(todo, done_ids(spark, journal, failed_too=not retry_failures), "judge_id")
+        write_jsonl(judge(todo, model, valid, **options), journal, append=True)
 
 
 def judge_stream(spark: SparkSession, source: str, schema: str, journal: str, checkpoint: str, model: Model, valid, **options):
     """The streaming form over new JSON files: each micro-batch is judged, less what the journal has, and appended.
 
-    The checkpoint folder is the lock: Spark lets one query write with it at a time.
+    The checkpoint folder lets one query run at a time, and the journal's lock one writer of any kind.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        resume(rows.sparkSession, rows, journal, model, valid, **options)
+        resume(rows.sparkSession, rows, journal, model, valid, part_of_input=True, **options)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
