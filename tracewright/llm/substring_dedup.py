@@ -1,25 +1,25 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
-The corpus is its own reference. Its reference blocks are the parts of an index
-over ``window``-word phrases, dealt by content, and every document is factored
-against every block that can hold one of its phrases:
-
-1. *packs*: documents are packed, a few MB of text each, compressed and written
-   once; later steps read packs;
-2. *anchors*: each phrase is named by the smallest hash of its 10-word runs.
-   Packs send their distinct anchors to the blocks, and blocks answer, one bit
-   each, which anchors occur more than once in the corpus;
-3. *index*: only phrases with such an anchor are sent on, each distinct phrase once
-   a pack, under a 128-bit digest; blocks keep the earliest occurrence of each and
-   tell the other packs where it is;
-4. *parsing*: each pack parses its documents greedily from left to right: a factor
-   copies from the earliest occurrence of its first phrase for as long as the
-   earliest occurrence of the next phrase goes on there. Factors have at least
-   ``window`` words; at each boundary the parse starts from the next phrase's own
-   earliest occurrence. Words of factors go; all others stay.
-
-A phrase that very many documents share costs one row a pack in its block, so no
-row count, memory or task follows the size of a group of copies.
+The corpus is its own reference. Documents are packed, a few MB of text each, and parsed
+against every reference block that can hold one of their phrases (runs of ``window`` words):
+
+1. *own block*: a pack is the first reference of its documents;
+2. *anchors*: each phrase is named by the smallest hash of its 10-word runs. Packs send their
+   distinct anchors out, and hear which of them other packs have, too;
+3. *content blocks*: passages whose anchor recurs are sent, as text, to the reference block of
+   that anchor, each distinct phrase once a pack. An anchor with very many phrases is dealt
+   over all blocks, by whole phrases. A block indexes its passages and parses each of them
+   against those that are earlier;
+4. *parsing* is greedy, from left to right: a factor starts at the next phrase that occurs
+   earlier, and copies from its earliest occurrence for as long as the words agree. At the
+   boundary behind a factor the phrases that reach across it are looked up, too, so the next
+   factor may start before it. Factors have at least ``window`` words.
+
+The words of all factors go, and all others stay. Hashes only find candidates: words have exact
+numbers in each block, and phrases and factors are compared word by word.
+
+A phrase that very many documents share costs one row a pack in its block, and the number of
+blocks follows the number of packs, so no task follows the size of a group of copies.
 """
 
 from __future__ import annotations
@@ -33,10 +33,99 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.packs import pack_documents, unpack
 from tracewright.llm.shared import map_arrow, parallelism
-from tracewright.llm.tokens import covered, grams, mix, within, word_hashes, words_of
+from tracewright.llm.tokens import Words, covered, grams, mix, ragged, within, word_hashes, words_of
 
 _U = np.uint64
 _SECOND = _U(0x5851F42D4C957F2D)
+_STEP = 1 << 16
+
+
+def equal_words(w: Words, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the words numbered ``a`` and ``b`` are the same bytes."""
+    size = w.end[a] - w.start[a]
+    same = size == w.end[b] - w.start[b]
+    for k in range(int(size[same].max()) if same.any() else 0):
+        at = np.flatnonzero(same & (size > k))
+        if len(at) < 64:  # few and long: one by one
+            for i in at.tolist():
+                x, y = w.start[a[i]], w.start[b[i]]
+                same[i] = np.array_equal(w.data[x + k : x + size[i]], w.data[y + k : y + size[i]])
+            break
+        same[at] = w.data[w.start[a[at]] + k] == w.data[w.start[b[at]] + k]
+    return same
+
+
+def word_numbers(w: Words, h: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal words and only for those."""
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    every = np.arange(len(h))
+    wrong = every[~equal_words(w, every, first[number])]
+    more: dict[bytes, int] = {}
+    for i in wrong.tolist():
+        number[i] = len(first) + more.setdefault(w.data[w.start[i] : w.end[i]].tobytes(), len(more))
+    return number
+
+
+def first_equal(number: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """For each phrase the first one with the same words; phrases are given by their first words."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    digest = grams(mix(number.astype(np.uint64)), window)[start]
+    _, first, group = np.unique(digest, return_index=True, return_inverse=True)
+    at, run = first[group], np.arange(window)
+    late = np.flatnonzero(at != np.arange(len(start)))
+    seen: dict[bytes, int] = {}
+    for lo in range(0, len(late), _STEP):
+        some = late[lo : lo + _STEP]
+        mine = number[start[some][:, None] + run]
+        differ = (mine != number[start[at[some]][:, None] + run]).any(1)
+        for i, words in zip(some[differ].tolist(), mine[differ]):
+            at[i] = seen.setdefault(words.tobytes(), i)
+    return at
+
+
+def parse(number: np.ndarray, bounds: np.ndarray, start: np.ndarray, source: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors ``(start, length, source)`` of many passages, in word positions.
+
+    Passage *i* has the words ``bounds[i]:bounds[i + 1]``, phrase *k* begins at word
+    ``start[k]``, in order, and occurs first at ``source[k]``. All passages are parsed side by side.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(start):
+        return none, none, none
+    last = len(start)
+    copy = np.where(source != start, np.arange(last), last)
+    following = np.append(np.minimum.accumulate(copy[::-1])[::-1], last)  # the next phrase that is a copy
+    place = np.append(start, np.iinfo(np.int64).max)
+    stop = bounds[1:]
+    at = following[np.searchsorted(start, bounds[:-1])]
+    live = place[at] < stop
+    at, stop = at[live], stop[live]
+    out = []
+    while len(at):
+        p, r = start[at], source[at]
+        most = np.minimum(stop - p, bounds[np.searchsorted(bounds, r, side="right")] - r)
+        length = _agreement(number, p, r, window, most)
+        out.append((p, length, r))
+        at = following[np.searchsorted(start, p + length - window + 1)]
+        live = place[at] < stop
+        at, stop = at[live], stop[live]
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (none, none, none)
+
+
+def _agreement(number: np.ndarray, p: np.ndarray, r: np.ndarray, least: int, most: np.ndarray) -> np.ndarray:
+    """How many words from ``p`` and ``r`` on are the same, ``most`` at most; ``least`` are known to be."""
+    length, open_, step = np.full(len(p), least, np.int64), np.arange(len(p)), 8
+    while len(open_):
+        ahead = length[open_][:, None] + np.arange(step)
+        inside = ahead < most[open_][:, None]
+        ahead = np.where(inside, ahead, 0)
+        same = inside & (number[p[open_][:, None] + ahead] == number[r[open_][:, None] + ahead])
+        count = np.where(same.all(1), step, same.argmin(1))
+        length[open_] += count
+        open_ = open_[count == step]
+        step = min(2 * step, 4096) if len(open_) * step < _STEP else step
+    return length
 
 
 class Pack:
@@ -48,31 +137,25 @@ class Pack:
         self.words = w = words_of(t.column("text"))
         self.hashes = h = word_hashes(w)
         self.window = window
-        ok = within(w.first, window, len(h))
-        self.start = np.flatnonzero(ok)  # first word of every phrase
+        self.start = np.flatnonzero(within(w.first, window, len(h)))  # first word of every phrase
         self.doc = np.searchsorted(w.first, self.start, side="right") - 1
         run = max(1, window // 2)
         small = grams(h, run)
         self.anchor = _smallest(small, window - run + 1)[self.start] if len(self.start) else np.zeros(0, np.uint64)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors in order, and whether each occurs twice here."""
+        """Distinct anchors in order, and how often each occurs."""
         a = self.anchor
         if not len(a):
-            return a, np.zeros(0, bool)
+            return a, np.zeros(0, np.int64)
         # One occurrence is a run of phrases that follow each other under one anchor.
         fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (np.diff(self.start) != 1)])
-        found, count = np.unique(a[fresh], return_counts=True)
-        return found, count > 1
-
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        h = self.hashes
-        return grams(h, self.window)[self.start], grams(mix(h ^ _SECOND), self.window, 0x2545F4914F6CDD1D)[self.start]
+        return np.unique(a[fresh], return_counts=True)
 
-    def place(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Key and word number, within its document, of phrases."""
-        d = self.doc[i]
-        return self.keys[d], self.start[i] - self.words.first[d]
+    def firsts(self) -> np.ndarray:
+        """For each phrase the first one here with the same words."""
+        self.number = word_numbers(self.words, self.hashes)
+        return first_equal(self.number, self.start, self.window)
 
 
 def _smallest(a: np.ndarray, k: int) -> np.ndarray:
@@ -103,137 +186,136 @@ def _groups(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(block[part[0]]), part
 
 
-def _delta(a: np.ndarray, kind) -> bytes:
-    return np.diff(a, prepend=a.dtype.type(0)).astype(kind).tobytes()
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(b: bytes) -> bytes:
+    return pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
 
+def _numbers(*columns: np.ndarray) -> bytes:
+    """Columns of equally many integers, as differences."""
+    return _squeeze(b"".join(np.diff(c.astype(np.int64), prepend=np.int64(0)).tobytes() for c in columns))
 
-def _undelta(b: bytes, kind) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, kind), dtype=np.int64)
+
+def _columns(b: bytes, count: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(_unsqueeze(b), np.int64).reshape(count, -1), axis=1)
 
 
 def _send_anchors(window: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found, twice = Pack(body.as_py(), window).anchors()
-                out = {"block": [], "pack": [], "anchors": [], "twice": []}
+                found, count = Pack(body.as_py(), window).anchors()
+                count = np.minimum(count, 65_535).astype(np.uint16)
+                out = {"block": [], "pack": [], "anchors": [], "counts": []}
                 for b, at in _groups(_block(found, blocks)):
                     out["block"].append(b)
                     out["pack"].append(pack)
                     out["anchors"].append(found[at].tobytes())
-                    out["twice"].append(np.packbits(twice[at]).tobytes())
+                    out["counts"].append(_squeeze(count[at].tobytes()))
                 yield _rows(out)
 
     return run
 
 
-def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, pack, anchors, twice = [], [], [], []
+def _by_block(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each block; a partition has few blocks."""
+    rows: dict[int, list[tuple]] = {}
     for x in batches:
-        for b, p, a, t in zip(*(x.column(i).to_pylist() for i in range(4))):
-            a = np.frombuffer(a, np.uint64)
-            block.append(b)
-            pack.append(p)
-            anchors.append(a)
-            twice.append(np.unpackbits(np.frombuffer(t, np.uint8), count=len(a)).astype(bool))
-    if not block:
-        return
-    every = np.concatenate(anchors)
-    order = np.argsort(every, kind="stable")
-    fresh = np.concatenate([[True], every[order][1:] != every[order][:-1]])
-    group = np.cumsum(fresh) - 1
-    count = np.bincount(group)
-    many = (count > 1) | (np.bincount(group, np.concatenate(twice)[order]) > 0)
-    known = np.empty(len(every), bool)
-    known[order] = many[group]
-    cut = np.cumsum([len(a) for a in anchors])[:-1]
-    bits = [np.packbits(k).tobytes() for k in np.split(known, cut)]
-    for i in range(0, len(block), 4096):
-        yield _rows({"pack": pack[i : i + 4096], "block": block[i : i + 4096], "bits": bits[i : i + 4096]})
-
-
-def _send_phrases(window: int, blocks: int):
+        for block, *rest in zip(*(x.column(i).to_pylist() for i in range(columns))):
+            rows.setdefault(block, []).append(tuple(rest))
+    while rows:
+        yield rows.popitem()
+
+
+def _answer_anchors(hot: int):
+    """To every pack, two bits for each of its anchors: other packs have it, and it has more than ``hot`` occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _by_block(batches, 4):
+            anchors = [np.frombuffer(a, np.uint64) for _, a, _ in rows]
+            counts = np.concatenate([np.frombuffer(_unsqueeze(c), np.uint16) for _, _, c in rows])
+            _, group = np.unique(np.concatenate(anchors), return_inverse=True)
+            shared = (np.bincount(group) > 1)[group]
+            heavy = (np.bincount(group, counts) > hot)[group]
+            cut = np.cumsum([len(a) for a in anchors])[:-1]
+            bits = [_squeeze(np.packbits(np.stack([s, v])).tobytes()) for s, v in zip(np.split(shared, cut), np.split(heavy, cut))]
+            for i in range(0, len(rows), 4096):
+                yield _rows({"pack": [r[0] for r in rows[i : i + 4096]], "block": [block] * len(rows[i : i + 4096]), "bits": bits[i : i + 4096]})
+
+    return run
+
+
+def _send_passages(window: int, anchor_blocks: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, body, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 p = Pack(body.as_py(), window)
                 found, _ = p.anchors()
-                known = np.zeros(len(found), bool)
+                told = np.zeros((2, len(found)), bool)
                 said = {a["block"]: a["bits"] for a in answers or ()}
-                for b, at in _groups(_block(found, blocks)):
-                    known[at] = np.unpackbits(np.frombuffer(said[b], np.uint8), count=len(at)).astype(bool)
-                if not known.any():
+                for b, at in _groups(_block(found, anchor_blocks)):
+                    told[:, at] = np.unpackbits(np.frombuffer(_unsqueeze(said[b]), np.uint8), count=2 * len(at)).reshape(2, -1)
+                shared, heavy = told[:, np.searchsorted(found, p.anchor)]
+                if not shared.any():
                     continue
-                mine = np.flatnonzero(known[np.searchsorted(found, p.anchor)])
-                h1, h2 = (h[mine] for h in p.digests())
-                first = _firsts(h1, h2)[0]
-                mine, h1, h2 = mine[first], h1[first], h2[first]
-                key, start = p.place(mine)
-                out = {"block": [], "pack": [], "digest": [], "order": []}
-                for b, at in _groups(_block(p.anchor[mine], blocks)):
+                first = p.firsts()
+                mine = np.flatnonzero(shared & (first == np.arange(len(first))))
+                whole = grams(p.hashes, window)[p.start[mine]]
+                block = _block(np.where(heavy[mine], whole, p.anchor[mine]), blocks)
+                # A passage is a run of phrases that follow each other in one block.
+                fresh = np.ones(len(mine), bool)
+                fresh[1:] = (np.diff(p.start[mine]) != 1) | (block[1:] != block[:-1])
+                head = np.flatnonzero(fresh)
+                size = np.diff(np.append(head, len(mine))) + window - 1
+                begin, doc = p.start[mine[head]], p.doc[mine[head]]
+                out = {"block": [], "pack": [], "about": [], "text": []}
+                for b, at in _groups(block[head]):
                     out["block"].append(b)
                     out["pack"].append(pack)
-                    out["digest"].append(h1[at].tobytes() + h2[at].tobytes())
-                    out["order"].append(_squeezed(mine[at], key[at], start[at]))
+                    out["about"].append(_numbers(begin[at], p.keys[doc[at]], begin[at] - p.words.first[doc[at]], size[at]))
+                    out["text"].append(_squeeze(_words_text(p.words, ragged(begin[at], size[at]))))
                 yield _rows(out)
 
     return run
 
 
-def _squeezed(*columns: np.ndarray) -> bytes:
-    n = len(columns[0])
-    raw = b"".join(_delta(c.astype(np.int64), np.int64) for c in columns)
-    return n.to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _words_text(w: Words, at: np.ndarray) -> bytes:
+    """The numbered words, a blank after each."""
+    length = w.end[at] - w.start[at]
+    out = np.full(int(length.sum()) + len(at), 0x20, np.uint8)
+    ends = np.cumsum(length + 1)
+    out[ragged(ends - length - 1, length)] = w.data[ragged(w.start[at], length)]
+    return out.tobytes()
 
 
-def _unsqueezed(b: bytes, columns: int) -> list[np.ndarray]:
-    n = int.from_bytes(b[:4], "little")
-    raw = pa.decompress(b[4:], decompressed_size=8 * n * columns, codec="zstd", asbytes=True)
-    return [_undelta(raw[8 * n * i : 8 * n * (i + 1)], np.int64) for i in range(columns)]
+def _parse_block(window: int):
+    """Factors of every pack's passages against the block's earlier ones."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_block(batches, 4):
+            about = [_columns(a, 4) for _, a, _ in rows]
+            pack = np.repeat([r[0] for r in rows], [a.shape[1] for a in about])
+            local, key, start, size = np.concatenate(about, axis=1)
+            w = words_of(pa.array([b"".join(_unsqueeze(t) for _, _, t in rows)], pa.large_binary()).cast(pa.large_string()))
+            number = word_numbers(w, word_hashes(w))
+            order = np.lexsort((pack, start, key))  # so that what is earlier in the corpus is earlier here
+            number = number[ragged((np.cumsum(size) - size)[order], size[order])]
+            pack, local, key, start, size = (x[order] for x in (pack, local, key, start, size))
+            bounds = np.concatenate([[0], np.cumsum(size)])
+            phrase = ragged(bounds[:-1], size - window + 1)
+            at, length, source = parse(number, bounds, phrase, phrase[first_equal(number, phrase, window)], window)
+            mine, theirs = (np.searchsorted(bounds, x, side="right") - 1 for x in (at, source))
+            found = (local[mine] + at - bounds[mine], length, key[theirs], start[theirs] + source - bounds[theirs])
+            for p, some in _groups(pack[mine]):
+                yield _rows({"pack": [p], "found": [_numbers(*(x[some] for x in found))]})
 
-def _firsts(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which digests are the first of their kind, and for each the position of the first."""
-    order = np.lexsort((np.arange(len(h1)), h2, h1))
-    a, b = h1[order], h2[order]
-    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-    heads = order[fresh]
-    at = np.empty(len(h1), np.int64)
-    at[order] = heads[np.cumsum(fresh) - 1] if len(a) else 0
-    return at == np.arange(len(h1)), at
+    return run
 
 
-def _answer_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h1, h2, local, key, start, pack = [], [], [], [], [], []
-    for x in batches:
-        for p, d, o in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), x.column(3).to_pylist()):
-            d = np.frombuffer(d, np.uint64)
-            n = len(d) // 2
-            h1.append(d[:n])
-            h2.append(d[n:])
-            i, k, s = _unsqueezed(o, 3)
-            local.append(i)
-            key.append(k)
-            start.append(s)
-            pack.append(np.full(n, p, np.int64))
-    if not h1:
-        return
-    h1, h2, local, key, start, pack = (np.concatenate(x) for x in (h1, h2, local, key, start, pack))
-    order = np.lexsort((pack, start, key, h2, h1))
-    a, b = h1[order], h2[order]
-    fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    owner = order[fresh][np.cumsum(fresh) - 1]
-    late = order[~fresh]
-    owner = owner[~fresh]
-    by_pack = np.lexsort((local[late], pack[late]))
-    late, owner = late[by_pack], owner[by_pack]
-    cuts = np.flatnonzero(np.diff(pack[late])) + 1
-    for rows in np.split(np.arange(len(late)), cuts) if len(late) else ():
-        l, o = late[rows], owner[rows]
-        yield _rows({"pack": [int(pack[l[0]])], "found": [_squeezed(local[l], key[o], start[o])]})
-
-
-def _parse(window: int, arrow_key: pa.DataType):
+def _parse(window: int):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref_key", pa.int64()), ("ref_start", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +324,7 @@ def _parse(window: int, arrow_key: pa.DataType):
                 p = Pack(body.as_py(), window)
                 spans, removed, texts = parse_pack(p, found or ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.keys).cast(arrow_key), pa.array(p.words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), texts],
+                    [pa.array(p.keys).cast(pa.int64()), pa.array(p.words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), texts],
                     names=["key", "n_words", "n_removed", "spans", "kept_text"],
                 )
 
@@ -250,29 +332,31 @@ def _parse(window: int, arrow_key: pa.DataType):
 
 
 def parse_pack(p: Pack, found) -> tuple[list, np.ndarray, pa.Array]:
-    """Factors, removed words and kept text of each document of a pack."""
-    w, n = p.words, len(p.start)
-    ref_key, ref_start = p.place(np.arange(n))
-    here, at = _firsts(*p.digests()) if n else (np.zeros(0, bool), np.zeros(0, np.int64))
-    copied = np.zeros(n, bool)
-    ref_key, ref_start = ref_key[at], ref_start[at]
-    for f in found:
-        i, k, s = _unsqueezed(f, 3)
-        copied[i], ref_key[i], ref_start[i] = True, k, s
-    # What is repeated here has the earliest occurrence of its first one here.
-    ref_key, ref_start, copied = ref_key[at], ref_start[at], copied | ~here
-    gone = np.flatnonzero(copied)
-    drop = covered(len(p.hashes), p.start[gone], p.window)
-    breaks = np.ones(len(gone), bool)
-    if len(gone):
-        breaks[1:] = (np.diff(p.start[gone]) != 1) | (np.diff(p.doc[gone]) != 0) | (np.diff(ref_key[gone]) != 0) | (np.diff(ref_start[gone]) != 1)
-    heads = np.flatnonzero(breaks)
-    tails = np.concatenate([heads[1:], [len(gone)]]) - 1 if len(heads) else heads
+    """Factors, removed words and kept text of each document of a pack; ``found`` are factors from other blocks."""
+    w = p.words
+    first = p.firsts()
+    at, length, source = parse(p.number, w.first, p.start, p.start[first], p.window)
+    doc = np.searchsorted(w.first, source, side="right") - 1
+    own = np.stack([at, length, p.keys[doc], source - w.first[doc]]) if len(at) else np.zeros((4, 0), np.int64)
+    at, length, key, start = np.concatenate([own, *(_columns(f, 4) for f in found)], axis=1)
+    drop = covered(len(p.hashes), at, length)
     spans = [[] for _ in range(len(p.keys))]
-    for a, b in zip(gone[heads].tolist(), gone[tails].tolist()):
-        d = int(p.doc[a])
+    # Factors of different blocks that go on copying from the same place are one; what is inside another one goes.
+    order = np.lexsort((-length, at))
+    at, end, key, start = at[order], (at + length)[order], key[order], start[order]
+    owner = np.searchsorted(w.first, at, side="right") - 1
+    reach, open_, open_doc = -1, None, -1
+    for a, e, k, s, d in zip(at.tolist(), end.tolist(), key.tolist(), start.tolist(), owner.tolist()):
         lo = int(w.first[d])
-        spans[d].append({"start": int(p.start[a]) - lo, "end": int(p.start[b]) - lo + p.window, "ref_key": int(ref_key[a]), "ref_start": int(ref_start[a])})
+        if d == open_doc and a <= reach and open_["ref_key"] == k and open_["ref_start"] - open_["start"] == s - (a - lo):
+            open_["end"] = max(open_["end"], e - lo)
+        elif e > reach:
+            open_ = {"start": a - lo, "end": e - lo, "ref_key": k, "ref_start": s}
+            open_doc = d
+            spans[d].append(open_)
+        else:
+            continue
+        reach = max(reach, e)
     removed = np.add.reduceat(np.concatenate([drop, [False]]).astype(np.int64), w.first[:-1]) if len(p.keys) else np.zeros(0, np.int64)
     removed[w.count == 0] = 0
     return spans, removed, _joined(p, ~drop)
@@ -303,7 +387,7 @@ def _joined(p: Pack, keep: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(p.keys), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data[mask].tobytes())).cast(pa.string())
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, blocks: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20, blocks: int | None = None, hot: int = 2000) -> DataFrame:
     """Every document without the passages that occur earlier.
 
     Returns ``(key, n_words, n_removed, spans, kept_text)``, one row a document.
@@ -311,25 +395,25 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     starts earlier: in a document with a smaller (integer) key, or before in the same
     document; all words of repeated runs go. ``spans`` are the factors: word range
     (end exclusive), and key and word number of what it copies. ``kept_text`` has
-    the other words, one blank between them.
+    the other words, one blank between them. Anchors with more than ``hot`` occurrences are
+    dealt by whole phrases, which has no influence on the words that go.
 
     Null and empty texts have no words; texts below ``window`` words are never
     touched; of rows with equal keys and texts one stays whole. Rows with a null key
     are ignored. An empty table gives an empty result; other columns are not looked at.
     """
     kind = docs.schema[key].dataType.simpleString()
-    n = parallelism(docs.sparkSession)
-    blocks = blocks or 4 * n
     packs = pack_documents(docs, key, text)
-    sent = map_arrow(packs, _send_anchors(window, blocks), "block int, pack long, anchors binary, twice binary")
-    answers = map_arrow(sent.repartition(n, "block"), _answer_anchors, "pack long, block int, bits binary")
+    blocks = blocks or max(4 * parallelism(docs.sparkSession), packs.count() // 8)
+    sent = map_arrow(packs, _send_anchors(window, blocks), "block int, pack long, anchors binary, counts binary")
+    answers = map_arrow(sent.repartition(blocks, "block"), _answer_anchors(hot), "pack long, block int, bits binary")
     by_pack = answers.groupBy("pack").agg(F.collect_list(F.struct("block", "bits")).alias("answers"))
-    phrases = map_arrow(packs.join(by_pack, "pack"), _send_phrases(window, blocks), "block int, pack long, digest binary, order binary")
-    owners = map_arrow(phrases.repartition(n, "block"), _answer_phrases, "pack long, found binary")
-    found = owners.groupBy("pack").agg(F.collect_list("found").alias("found"))
+    passages = map_arrow(packs.join(by_pack, "pack"), _send_passages(window, blocks, blocks), "block int, pack long, about binary, text binary")
+    factors = map_arrow(passages.repartition(blocks, "block"), _parse_block(window), "pack long, found binary")
+    found = factors.groupBy("pack").agg(F.collect_list("found").alias("found"))
     out = map_arrow(
         packs.join(found, "pack", "left"),
-        _parse(window, pa.int64()),
+        _parse(window),
         "key long, n_words long, n_removed long, spans array<struct<start:long,end:long,ref_key:long,ref_start:long>>, kept_text string",
     )
     return out.select(F.col("key").cast(kind).alias(key), "n_words", "n_removed", "spans", "kept_text")
