@@ -81,6 +81,7 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_pii": pii.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
