@@ -11,7 +11,9 @@ Three stages, all in DataFrame operations:
    merged per (digest, whole text).
 
 The digest only places rows; whole normalised texts are grouped at every stage,
-so rows are merged because their content is equal. The keeper is packed
+so rows are merged because their content is equal. Rows then find their winner by digest and salt,
+but only after a look at all winners that no two texts have one digest; otherwise they find
+it by whole text as well. The keeper is packed
 into one decimal (longest first, then smallest id), which keeps the
 aggregations on fixed-width hash buffers with no sort of the texts.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.shared import BLANK
+from tracewright.llm.shared import BLANK, durable
 
 _WIDE = T.DecimalType(38, 0)
 _SHIFT = 1 << 63
@@ -34,6 +36,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK + "+", "")
 
 
+def _digest(norm: Column) -> Column:
+    return F.sha2(norm, 256)
+
+
 def _wide(n: int) -> Column:
     return F.lit(str(n)).cast(_WIDE)
 
@@ -66,18 +72,18 @@ def dedup_exact(docs: DataFrame, key: str = "doc_id", text: str = "text", salts:
         normalised(F.col("_text")).alias("_norm"),
         _rank(F.col("_text"), F.col("_key")).alias("_rank"),
         F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int").alias("_salt"),
-    ).withColumn("_digest", F.sha2("_norm", 256))
+    ).withColumn("_digest", _digest(F.col("_norm")))
     salted = tagged.groupBy("_digest", "_salt", "_norm").agg(F.min("_rank").alias("_rank"), F.count("*").alias("_n"))
-    winners = (
-        salted.groupBy("_digest", "_norm")
-        .agg(F.min("_rank").alias("_rank"), F.sum("_n").alias("group_size"), F.expr("bit_or(shiftleft(1L, _salt))").alias("_mask"))
-        .select("_digest", _key_of(F.col("_rank")).alias("keep_id"), "group_size", "_mask")
-    )
+    merged = salted.groupBy("_digest", "_norm").agg(F.min("_rank").alias("_rank"), F.sum("_n").alias("group_size"), F.expr("bit_or(shiftleft(1L, _salt))").alias("_mask"))
+    won = ["_digest", _key_of(F.col("_rank")).alias("keep_id"), "group_size", "_mask"]
+    winners, on = durable(merged.select(*won)), ["_digest", "_salt"]
+    if winners.groupBy("_digest").count().where("count > 1").take(1):
+        winners, on = merged.select(*won, "_norm"), ["_digest", "_salt", "_norm"]
     # A winner goes back to the salts that its text had, so no join key is hot.
     back = winners.select(
-        "_digest", "keep_id", "group_size", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> shiftright(_mask, s) % 2 <> 0)")).alias("_salt")
+        *[c for c in on if c != "_salt"], "keep_id", "group_size", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> shiftright(_mask, s) % 2 <> 0)")).alias("_salt")
     )
-    return tagged.select("_key", "_digest", "_salt").join(back, ["_digest", "_salt"]).select(
+    return tagged.select("_key", *on).join(back, on).select(
         F.col("_key").alias(key),
         "keep_id",
         "group_size",
