@@ -7,7 +7,9 @@ distrust exceeds ``margin`` times its trust is blocked.
 
 Everything is DataFrame operations. Links are counted per pair of hosts before the
 walks, which therefore only see the host graph, and a step of the walks is one join and
-one pre-aggregated sum over hosts, with both walks in one table.
+one pre-aggregated sum over hosts, with both walks in one table. What a walk loses at hosts without
+links onwards goes back to its seeds; that only scales its settled values, so they are
+divided by their sum at the end. A host without any links is in a walk only as a seed.
 """
 
 from __future__ import annotations
@@ -62,7 +64,8 @@ def host_links(pages: DataFrame) -> DataFrame:
 def propagate(links: DataFrame, seeds: DataFrame, steps: int | None = None, damping: float = 0.85, tolerance: float = 1e-9) -> DataFrame:
     """``(host, trust, distrust)`` after ``steps`` steps of both walks, or else when they have settled.
 
-    They have if four steps changed all values by less than ``tolerance`` in the sum.
+    They have if four steps changed all values by less than ``tolerance`` in the sum. Values
+    of a walk add up to 1.
     ``seeds``: ``(walk, host, v)``, with walk 0 trust and walk 1 distrust, each summing to 1.
     """
     one = links.select(F.lit(0).alias("walk"), F.col("src").alias("a"), F.col("dst").alias("b"), "links")
@@ -83,6 +86,8 @@ def propagate(links: DataFrame, seeds: DataFrame, steps: int | None = None, damp
                 if (change or 0.0) < tolerance:
                     break
                 settled = rank
+    total = rank.groupBy(F.col("walk").alias("_w")).agg(F.sum("v").alias("_all"))
+    rank = durable(rank.join(total, F.col("walk") == F.col("_w")).select("walk", "host", (F.col("v") / F.col("_all")).alias("v")))
     pick = lambda walk: F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("v"))), F.lit(0.0))
     return rank.groupBy("host").agg(pick(0).alias("trust"), pick(1).alias("distrust"))
 
@@ -96,6 +101,8 @@ def judge_urls(
     steps: int | None = None,
     damping: float = 0.85,
     margin: float = 2.0,
+    broadcast_hosts: int = 500_000,
+    salts: int = 64,
 ) -> DataFrame:
     """A verdict for every page: ``(key, host, path, rule, trust, distrust, verdict)``.
 
@@ -105,7 +112,8 @@ def judge_urls(
     those without ``://`` have an empty host and path, fit no rule and are
     allowed. Null HTML has no links; links within a host do not count.
     Repeated rows are judged one by one. An empty table gives an empty result; other
-    columns are not looked at.
+    columns are not looked at. A null key stays null. Hosts with a value are broadcast up to
+    ``broadcast_hosts`` of them; beyond, pages are joined with them on host and one of ``salts`` salts.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
@@ -118,9 +126,14 @@ def judge_urls(
     )
     total = counts.groupBy(F.col("walk").alias("_w")).agg(F.sum("n").alias("_n"))
     seeds = counts.join(total, F.col("walk") == F.col("_w")).select("walk", "host", (F.col("n") / F.col("_n")).alias("v"))
-    scores = propagate(host_links(rows), seeds, steps, damping)
+    scores = durable(propagate(host_links(rows), seeds, steps, damping))
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    out = judged.join(scores, "host", "left")
+    if scores.count() <= broadcast_hosts:
+        out = judged.join(F.broadcast(scores), "host", "left")
+    else:
+        salted = judged.withColumn("_salt", F.pmod(F.xxhash64("key", "path"), F.lit(salts)))
+        copied = scores.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        out = salted.join(copied, ["host", "_salt"], "left")
     method = F.when(distrust > margin * trust, "block").otherwise("allow")
     return out.select(F.col("key").alias(key), "host", "path", "rule", trust.alias("trust"), distrust.alias("distrust"), F.coalesce("said", method).alias("verdict"))
 
@@ -161,7 +174,8 @@ with u as (
   select walk, a, b, links / cast(sum(links) over (partition by walk, a) as double) as w from g
 {walk}
 ), t as (
-  select host, coalesce(sum(v) filter (walk = 0), 0.0) as trust, coalesce(sum(v) filter (walk = 1), 0.0) as distrust from r{steps} group by host
+  select host, coalesce(sum(v) filter (walk = 0), 0.0) as trust, coalesce(sum(v) filter (walk = 1), 0.0) as distrust
+  from (select walk, host, v / sum(v) over (partition by walk) as v from r{steps}) group by host
 )
 select page_id, s.host, s.path, s.rule,
        coalesce(said, case when coalesce(distrust, 0.0) > 2.0 * coalesce(trust, 0.0) then 'block' else 'allow' end) as verdict
