@@ -9,7 +9,8 @@ target.
 
 Running totals are taken in two levels, over buckets and then within a bucket,
 so a source or a moment that holds a large share of the rows is never one
-task: shuffle order and finish time are both cut into ``buckets`` ranges.
+task: shuffle order and finish time are both cut into ``buckets`` ranges, whose number
+follows that of the rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import WORD, durable
+from tracewright.llm.shared import WORD, durable, free_name
 
 #: Weights dealt to the sources in code point order, over and over.
 WEIGHTS = (5, 2, 1)
@@ -88,14 +89,14 @@ def mix_sources(
     share: float = 1.5,
     max_repeats: int = 2,
     seed: str = "mix",
-    buckets: int = 512,
+    buckets: int | None = None,
 ) -> DataFrame:
     """How often the mix takes each document.
 
     Returns ``(key, source, size, source_size, target, copies, taken)``, one row
     a document: ``copies`` between 0 and ``max_repeats``, ``taken = copies * size``. The
-    shuffle is by MD5 of key and seed, so reruns agree. Copies that finish
-    later than twice the time at which all targets are met are never taken.
+    shuffle is by MD5 of key and seed, so reruns agree. ``buckets`` (some 20,000 rows each,
+    at least 512) has no influence on the result.
     Rows with equal keys are shuffled next to each other and counted
     separately. Null texts have size 0 and are never taken; null source is a source of
     its own, last in order; rows with a null key are ignored. An empty table gives
@@ -103,6 +104,12 @@ def mix_sources(
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")).where(F.col("doc_id").isNotNull())
     rows = durable(rows)  # the texts are read once
+    return _mixed(rows, key, weights, share, max_repeats, seed, buckets)
+
+
+def _mixed(rows: DataFrame, key: str, weights, share: float, max_repeats: int, seed: str, buckets: int | None, *more: str) -> DataFrame:
+    """:func:`mix_sources` for ``(doc_id, source, size)``, and the columns ``more`` of ``rows``."""
+    buckets = buckets or max(512, rows.count() // 20_000)
     rows = rows.withColumn("_mix", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(seed))))
     rows = rows.withColumn("_slot", (F.conv(F.substring("_mix", 1, 7), 16, 10).cast("long") * F.lit(buckets / (1 << 28))).cast("int"))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_repeats)
@@ -113,11 +120,13 @@ def mix_sources(
 
     def finish(k: int | Column) -> Column:
         done = (F.col("_upto") + F.lit(k) * F.col("source_size")).cast("double") / F.when(F.col("target") > 0, F.col("target"))
-        return F.when((F.col("size") > 0) & (done <= 2.0), done)
+        return F.when(F.col("size") > 0, done)
 
     place = lambda f: F.struct(f.alias("_finish"), F.col("_mix"), F.col("doc_id"))
     copies = placed.select("doc_id", "_mix", "size", F.explode(F.array(*[finish(k) for k in range(max_repeats)])).alias("_finish")).where(F.col("_finish").isNotNull())
-    timed = copies.withColumn("_moment", F.floor(F.col("_finish") * buckets).cast("int"))
+    # Twice the time at which all targets are met leaves little to take; what finishes later lies in ever wider ranges.
+    late = 2 * buckets + F.floor(F.log2(F.col("_finish") / 2) * (buckets / 8))
+    timed = copies.withColumn("_moment", F.when(F.col("_finish") <= 2, F.floor(F.col("_finish") * buckets)).otherwise(late).cast("int"))
     queue = _running(timed, _totals(timed, [], "_moment"), [], "_moment", [F.col("_finish"), F.col("_mix"), F.col("doc_id")], "_total")
     budget = targets.agg(F.sum("target")).first()[0]
     last = queue.where(F.col("_total") <= F.lit(budget or 0.0)).agg(F.max(place(F.col("_finish"))).alias("last")).first()["last"]
@@ -127,7 +136,28 @@ def mix_sources(
         cut = F.struct(F.lit(last["_finish"]).alias("_finish"), F.lit(last["_mix"]).alias("_mix"), F.lit(last["doc_id"]).cast(rows.schema["doc_id"].dataType).alias("doc_id"))
         count = sum((F.when(finish(k).isNotNull() & (place(finish(k)) <= cut), 1).otherwise(0) for k in range(max_repeats)), F.lit(0)).cast("long")
     out = placed.select("*", count.alias("copies"))
-    return out.select(F.col("doc_id").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("doc_id").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *more)
+
+
+def mixed_documents(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = 1.5, max_repeats: int = 2, seed: str = "mix", buckets: int | None = None
+) -> DataFrame:
+    """The documents that the mix takes, all columns, with ``size``, ``target`` (of the source), ``copies`` and ``taken``.
+
+    Where the documents have a column of such a name, underscores are added to the new one's.
+    Every row gets the copies of its own, also where keys repeat; otherwise rows are treated as
+    in :func:`mix_sources`.
+    """
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(source))  # tells apart rows under one key
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), mark.alias("_mark")).where(F.col("doc_id").isNotNull())
+    mix = _mixed(durable(rows), "doc_id", weights, share, max_repeats, seed, buckets, "_mark")
+    names = [f"_k{i}" for i in range(len(docs.columns))]
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)], F.col(key).alias("doc_id"), mark.alias("_mark"))
+    equal = Window.partitionBy("doc_id", "_mark")
+    number = lambda df, order: df.withColumn("_no", F.row_number().over(equal.orderBy(order)))
+    joined = number(inner, F.lit(0)).join(number(mix, F.desc("copies")), ["doc_id", "_mark", "_no"]).where(F.col("copies") > 0)
+    more = {c: free_name(c, docs.columns) for c in ("size", "target", "copies", "taken")}
+    return joined.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)], *[F.col(c).alias(n) for c, n in more.items()])
 
 
 ORACLE = r"""
@@ -158,7 +188,7 @@ with d as (
   select *, cast(upto + k * source_size as double) / target as finish
   from p, (values (0), (1)) v(k) where size > 0 and target > 0
 ), q as (
-  select *, sum(size) over (order by finish, mix, doc_id rows unbounded preceding) as total from c where finish <= 2.0
+  select *, sum(size) over (order by finish, mix, doc_id rows unbounded preceding) as total from c
 ), g as (
   select doc_id, count(*) as copies from q where total <= (select sum(target) from t) group by doc_id
 )
