@@ -4,7 +4,8 @@ Lines are parsed down a tree of fixed depth: the number of tokens, then the lead
 tokens; tokens with a digit are variable fields (``<*>``) from the start. In a leaf
 that enough documents reach, a token is constant at its place if enough documents have
 it there, and a variable field otherwise. Constants and fields make the line's
-template. A template that occurs in ``min_docs`` documents or more is
+template; it needs constants for ``constant_share`` of the tokens without digits, so that prose with a common
+beginning is none. A template that occurs in ``min_docs`` documents or more is
 boilerplate, and its lines are dropped everywhere but in the document with the smallest key.
 
 Documents are counted exactly, for leaves and for every token at its place in a leaf, by their
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.shared import durable, map_arrow
+from tracewright.llm.shared import durable, free_name, map_arrow
 from tracewright.llm.tokens import Words, mix, slices, word_hashes, words_of
 
 _U = np.uint64
@@ -151,7 +152,8 @@ def _parse(lead: int, leaves: bytes, tokens: bytes, constant_share: float):
                 constant = (x.masked != _FIELD) & _bit(tokens, place)
                 upto = np.concatenate([[0], np.cumsum(constant)])
                 count = upto[x.first[1:]] - upto[x.first[:-1]]
-                some = np.flatnonzero(alive & (count > 0) & (count / x.size >= constant_share))
+                words = np.add.reduceat((x.masked != _FIELD).astype(np.int64), x.first[:-1])
+                some = np.flatnonzero(alive & (count > 0) & (count >= constant_share * words))
                 content = np.bitwise_xor.reduceat(place, x.first[:-1])[some]
                 _, heads = np.unique(content, return_index=True)
                 fresh = np.zeros(len(some), bool)
@@ -165,8 +167,8 @@ def _parse(lead: int, leaves: bytes, tokens: bytes, constant_share: float):
                 )
                 doc = pa.array(x.doc[some])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(doc), part.column("mark").take(doc), pa.array(x.number[some]), pa.array(content.view(np.int64)), pa.array(x.size[some]), constants],
-                    names=["key", "mark", "line", "content", "size", "constants"],
+                    [part.column("key").take(doc), part.column("mark").take(doc), pa.array(x.number[some]), pa.array(content.view(np.int64)), pa.array(words[some]), constants],
+                    names=["key", "mark", "line", "content", "words", "constants"],
                 )
 
     return run
@@ -191,11 +193,12 @@ def dedup_lines(
     """The documents, all columns, with their boilerplate lines cut, and ``n_lines`` and ``n_dropped`` (before, and cut).
 
     Lines are separated by newlines, tokens by blanks; lines without tokens are never
-    cut, nor are those of whose tokens none or less than ``constant_share`` are constant. A
+    cut, nor are those of whose tokens without digits none or less than ``constant_share`` are constant. A
     template's lines stay in the document with the smallest key that has them, as often as
     they are there; rows with that key all keep them. Null texts stay null and
     have no lines; an empty text has one. Equal rows are cut alike. An empty table gives
-    an empty result. Other columns are passed on, whatever their names. ``bits`` sets the
+    an empty result. Other columns are passed on, whatever their names; where ``n_lines`` or ``n_dropped`` is
+    one of them, underscores are added to the new one. Rows with a null key are passed on uncut. ``bits`` sets the
     width of the bit tables, which has no influence on the result.
     """
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))  # tells apart texts under one key
@@ -205,12 +208,12 @@ def dedup_lines(
     constants = _frequent(map_arrow(plain, _tokens(lead, leaves), "h long"), min_docs)
     kind = rows.schema["key"].dataType.simpleString()
     parse = _parse(lead, leaves, _bits_of(constants, bits), constant_share)
-    lines = durable(map_arrow(rows, parse, f"key {kind}, mark long, line long, content long, size long, constants array<long>"))
+    lines = durable(map_arrow(rows, parse, f"key {kind}, mark long, line long, content long, words long, constants array<long>"))
     # A token that enough documents have at its place is in a leaf that they reach, so leaves need no join.
-    words = lines.select("content", "size", F.explode("constants").alias("h")).distinct().join(constants, "h")
-    parsed = words.groupBy("content").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.expr("bit_xor(h)").alias("template"))
-    parsed = durable(parsed.where(F.col("n") / F.col("size") >= constant_share).select("content", "template"))
-    found = durable(lines.drop("size", "constants").join(parsed, "content").drop("content"))
+    words = lines.select("content", "words", F.explode("constants").alias("h")).distinct().join(constants, "h")
+    parsed = words.groupBy("content").agg(F.count("*").alias("n"), F.max("words").alias("words"), F.expr("bit_xor(h)").alias("template"))
+    parsed = durable(parsed.where(F.col("n") >= constant_share * F.col("words")).select("content", "template"))
+    found = durable(lines.drop("words", "constants").join(parsed, "content").drop("content"))
     per_doc = found.select("template", "key", "mark").distinct()
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min("key").alias("head")).where(F.col("docs") >= min_docs)
     recurring = durable(recurring)  # so that both sides of the join are dealt anew, and a hot template can be split
@@ -226,4 +229,5 @@ def dedup_lines(
     )
     out = map_arrow(joined.select(body, "drop", *rest), _without, schema)
     back = [F.col("_text" if n == body else n).alias(c) for c, n in zip(docs.columns, names)]
-    return out.select(*back, F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+    fresh = [F.col(c).alias(free_name(n, docs.columns)) for c, n in (("_lines", "n_lines"), ("_dropped", "n_dropped"))]
+    return out.select(*back, *fresh)
