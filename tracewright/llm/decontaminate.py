@@ -8,9 +8,9 @@ bucket of patterns that end with the block; there the whole pattern is looked up
 and its words are compared byte by byte. The words of a batch are searched in
 many lanes at once, each moving by its own shifts.
 
-Patterns travel to the tasks in blocks of a bounded number of benchmark words
-(``block_words``); a larger benchmark takes more passes over the documents, whose
-findings are merged per document.
+Patterns are compiled on the driver and broadcast, in blocks of a bounded number of benchmark
+words (``block_words``), for which long items are cut into pieces that overlap by a window less a
+word. Each block is a pass over the rows, which carry the findings of those before.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.shared import map_arrow
+from tracewright.llm.shared import durable, map_arrow
 from tracewright.llm.tokens import SYMBOL_BYTES, covered, grams, ragged, slices, within, word_hashes, words_of
 
 _BITS = 18
@@ -127,9 +127,11 @@ def compile_patterns(items: list[tuple[str, str]], window: int) -> tuple[list[Pa
     return made, names
 
 
-def _searcher(items: list[tuple[str, str]], window: int):
+def _searcher(compiled):
+    """``compiled``: search tables and item ids, broadcast."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, names = compile_patterns(items, window)
+        tables, names = compiled.value
         for batch in batches:
             for part in slices(batch, "text"):
                 yield findings(part, tables, names)
@@ -137,10 +139,17 @@ def _searcher(items: list[tuple[str, str]], window: int):
     return search
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def findings(part: pa.RecordBatch, tables: list[Patterns], names: list[str]) -> pa.RecordBatch:
+    """Rows of ``(key, text, n_words, spans, items)`` with what the tables find added."""
     w = words_of(part.column("text"), SYMBOL_BYTES, True)
     h, n = word_hashes(w), part.num_rows
-    starts, lengths, docs, found = [], [], [], [set() for _ in range(n)]
+    before = part.column("spans").to_pylist()
+    known = [(int(lo) + s["start"], s["end"] - s["start"]) for lo, some in zip(w.first, before) for s in some]
+    starts, lengths = (np.array(x, np.int64) for x in (zip(*known) if known else ((), ())))
+    starts, lengths, found = [starts], [lengths], [set(x) for x in part.column("items").to_pylist()]
     for t in tables:
         at, which = t.search(w, h)
         doc = np.searchsorted(w.first, at, side="right") - 1
@@ -148,7 +157,7 @@ def findings(part: pa.RecordBatch, tables: list[Patterns], names: list[str]) ->
         lengths.append(np.full(len(at), t.m))
         for d, p in np.unique(np.stack([doc, which], 1), axis=0) if len(at) else ():
             found[d].update(names[i] for i in t.items[p])
-    hit = covered(len(h), np.concatenate(starts), np.concatenate(lengths)) if starts else np.zeros(len(h), bool)
+    hit = covered(len(h), np.concatenate(starts), np.concatenate(lengths))
     edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
     # Spans end with their text.
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -161,24 +170,38 @@ def findings(part: pa.RecordBatch, tables: list[Patterns], names: list[str]) ->
                 spans[d].append({"start": a - int(w.first[d]), "end": c - int(w.first[d])})
             a, d = c, d + 1
     return pa.RecordBatch.from_arrays(
-        [
-            part.column("key"),
-            pa.array(w.count, pa.int64()),
-            pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-            pa.array([sorted(f) for f in found], pa.list_(pa.string())),
-        ],
-        names=["key", "n_words", "spans", "items"],
+        [part.column("key"), part.column("text"), pa.array(w.count, pa.int64()), pa.array(spans, _SPANS), pa.array([sorted(f) for f in found], pa.list_(pa.string()))],
+        names=["key", "text", "n_words", "spans", "items"],
     )
 
 
-def _blocks(benchmark: DataFrame, item: str, item_text: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of about ``block_words`` words; one block at a time is on the driver."""
+def _cut(window: int, size: int):
+    """Items in pieces with ``size`` windows at most: their words with blanks between, and how many those are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"item": [], "text": [], "n": []}
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                w = words_of(pa.array([text.as_py()], pa.string()), SYMBOL_BYTES, True)
+                words = [bytes(w.data[a:b]) for a, b in zip(w.start, w.end)]
+                for lo in range(0, max(len(words) - window + 1, 1) if words else 0, size):
+                    some = words[lo : lo + size + window - 1]
+                    for c, v in zip(out, (item, b" ".join(some).decode(), len(some))):
+                        out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["item"], pa.string()), pa.array(out["text"], pa.string()), pa.array(out["n"], pa.int64())], names=list(out))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_words: int) -> Iterator:
+    """Compiled patterns of the benchmark's items, about ``block_words`` words each, broadcast; the driver holds one block at a time."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // (5 * block_words)))
+    pieces = durable(map_arrow(items, _cut(window, max(1, block_words // 8)), "item string, text string, n long"))
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_words))
     for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item", "text").collect()
-        yield [(r[0], r[1]) for r in mine]
+        mine = pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(compile_patterns([(r[0], r[1]) for r in mine], window))
 
 
 def find_contamination(
@@ -191,42 +214,27 @@ def find_contamination(
     window: int = 10,
     block_words: int = 200_000,
 ) -> DataFrame:
-    """Benchmark passages in documents: ``(key, n_words, spans, items)``, one row a document.
+    """Benchmark passages in documents: ``(key, n_words, spans, items)``, one row for each row.
 
     ``spans`` are the covered word ranges (end exclusive, merged), ``items`` the ids (as
     strings, sorted) of items with an occurring window. Words are runs of letters,
     digits and non-ASCII characters, A-Z lower-cased. Items shorter than
     ``window`` are one window; items and documents without words (null too) match
-    nothing. Repeated items all count. Rows with a null key are ignored. A
-    benchmark beyond ``block_words`` words is searched in blocks; then rows with
-    equal keys are reported once. Empty tables give empty, respectively clean results;
-    other columns are not looked at.
+    nothing. Repeated items all count, and so do repeated rows. Rows with a null key are ignored. A
+    benchmark beyond ``block_words`` words is searched in blocks, with the same
+    result. Empty tables give empty, respectively clean results; other columns are not looked at.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    parts = [map_arrow(rows, _searcher(mine, window), schema) for mine in _blocks(benchmark, item, item_text, block_words)]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("key", key)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    merged = found.groupBy("key").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    union = F.expr(
-        "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (a, s) -> "
-        "case when size(a) > 0 and s.start <= element_at(a, -1).end "
-        "then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))) "
-        "else concat(a, array(s)) end)"
-    )
-    return merged.withColumn("spans", union).withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("key").isNotNull())
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    out = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    for compiled in _blocks(benchmark, item, item_text, window, block_words):
+        out = map_arrow(out, _searcher(compiled), schema)
+    return out.select(F.col("key").alias(key), "n_words", "spans", "items")
 
 
-def _keeper(items: list[tuple[str, str]], window: int):
+def _keeper(compiled):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, _ = compile_patterns(items, window)
+        tables, _ = compiled.value
         for batch in batches:
             for part in slices(batch, "_text"):
                 w = words_of(part.column(0), SYMBOL_BYTES, True)
@@ -243,15 +251,16 @@ def _keeper(items: list[tuple[str, str]], window: int):
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = 200_000
 ) -> DataFrame:
-    """The documents, all columns, that hold no benchmark window; one pass over them a block, and no shuffle.
+    """The documents, all columns whatever their names, that hold no benchmark window; one pass over them a block, and no shuffle.
 
     Documents and items are read as in :func:`find_contamination`; documents with null or
-    empty texts stay.
+    empty texts stay, and equal rows stay or go together. An empty table gives an empty result, an empty
+    benchmark leaves all.
     """
     names = [f"_k{i}" for i in range(len(docs.columns))]
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    for mine in _blocks(benchmark, item, item_text, block_words):
-        rows = map_arrow(rows, _keeper(mine, window), rows.schema)
+    for compiled in _blocks(benchmark, item, item_text, window, block_words):
+        rows = map_arrow(rows, _keeper(compiled), rows.schema)
     return rows.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
