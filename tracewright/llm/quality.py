@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.shared import map_arrow
+from tracewright.llm.shared import free_name, map_arrow
 from tracewright.llm.tokens import slices, word_hashes, words_of
 
 STATS = (
@@ -123,7 +123,7 @@ def _lines(w, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all) of the documents, and their statistics under ``_s_`` names."""
+    """The columns ``keep`` (all) of the documents, and their statistics under ``_s_`` names, which columns kept must not have."""
     keep = docs.columns if keep is None else keep
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     fields = [rows.schema[i] for i in range(len(keep))] + [T.StructField(f"_s_{s}", T.DoubleType()) for s in STATS]
@@ -251,13 +251,15 @@ def fit_quality(
 ) -> Rules:
     """Fit on at most ``max_rows`` labelled rows, in the order of an MD5 of their keys, held-out rows left out.
 
-    Null labels and keys are left out; of several labels of a key the mean counts, rounded.
+    Null labels and keys are left out; of several labels of a key the mean counts, rounded, and of
+    several texts one (by a hash).
     """
     known = labels.select(F.col(label_key).alias("_key"), F.col(label).cast("double").alias("_label")).where(F.col("_key").isNotNull() & F.col("_label").isNotNull())
     known = known.where(~held_out(F.col("_key"))).groupBy("_key").agg(F.round(F.avg("_label")).alias("_label"))
     sample = known.orderBy(F.md5(F.col("_key").cast("string"))).limit(max_rows)
     # The sample is bounded by max_rows, whatever the table's size.
     rows = docs.join(F.broadcast(sample), docs[key] == sample["_key"]).select(docs[key].alias("_id"), docs[text].alias("_body"), "_label")
+    rows = rows.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_body").alias("h"), F.col("_body").alias("body"))).alias("x")).select("_id", "_label", F.col("x.body").alias("_body"))
     found = with_statistics(rows, "_body", ["_id", "_label"]).toPandas()
     found = found.sort_values(["_id", *[f"_s_{s}" for s in STATS]], kind="stable")
     return fit_rules(found[[f"_s_{s}" for s in STATS]].to_numpy(float), found["_label"].to_numpy(float))
@@ -272,15 +274,26 @@ def score_quality(
     ``threshold`` on. Null and empty texts are scored by their statistics, which are all 0.
     Without labels of both kinds the score is the labels' rate (0.5 without any).
     Repeated rows are scored alike. An empty table gives an empty result; columns other
-    than key and text are never inputs of the score.
+    than key and text are never inputs of the score. A null key is scored like any other, and is not held out.
     """
     rules = rules or fit_quality(docs, labels, key, text, **fit)
     keep = [key] if keep is None else keep
-    scored = with_statistics(docs, text, keep).withColumn("score", rules.score())
-    return scored.select(*keep, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    names = [f"_c{i}" for i in range(len(keep) + 1)]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([key, *keep], names)], F.col(text).alias("_text"))
+    scored = with_statistics(rows, "_text", names).withColumn("_score", rules.score())
+    out = [F.coalesce(held_out(F.col("_c0")), F.lit(False)), F.col("_score"), (F.col("_score") >= threshold).cast("int")]
+    fresh = [c.alias(free_name(n, keep)) for c, n in zip(out, ("held_out", "score", "predicted"))]
+    return scored.select(*[F.col(n).alias(c) for c, n in zip(keep, names[1:])], *fresh)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.7, **fit) -> DataFrame:
-    """The documents, all columns, whose predicted label is 1."""
+    """The documents, all columns whatever their names, whose predicted label is 1.
+
+    Null and empty texts are judged by their statistics, equal rows alike; an empty table
+    gives an empty result.
+    """
     rules = fit_quality(docs, labels, key, text, **fit)
-    return with_statistics(docs, text).where(rules.score() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    kept = with_statistics(rows, names[docs.columns.index(text)]).where(rules.score() >= threshold)
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
