@@ -17,7 +17,8 @@ is the sum of the logarithms of all its words' probabilities, each word hidden i
   the same parameters, trains on its own masked positions (a hash deals all positions to
   ``ceil(1 / mask)`` rounds, so that each is masked, and a target, in exactly one), and the
   parameters are averaged, weighted by positions. What a round gathers are parameters of a fixed size from every
-  partition, added up in Spark in slices.
+  partition, added up in Spark in slices. So parameters depend on how rows are dealt to partitions: the
+  same files read in the same way give the same scores, other layouts slightly different ones.
 * Parameters travel to the tasks with the function; they take about 0.5 MB.
 """
 
@@ -134,24 +135,36 @@ def _hidden(net: Network, context: np.ndarray) -> np.ndarray:
     return np.tanh(total + net.bias)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of rows less their maximum, in place, and their sums."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    return z, z.sum(1, keepdims=True)
+
+
+def _inner(net: Network, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the second softmax is over, for rows in the order of their groups, and where each group begins."""
+    at = np.searchsorted(g, np.arange(GROUPS + 1))
+    z = np.empty((len(h), GROUPS), np.float32)
+    for i in range(GROUPS):
+        if at[i] < at[i + 1]:
+            np.matmul(h[at[i] : at[i + 1]], net.inner[i], out=z[at[i] : at[i + 1]])
+    z += net.inner_bias[g]
+    return z, at
 
 
 def log_probabilities(net: Network, context: np.ndarray, classes: np.ndarray, step: int = 1 << 15) -> np.ndarray:
     out = np.empty(len(classes))
     for lo in range(0, len(classes), step):
-        c = classes[lo : lo + step]
-        h = _hidden(net, context[:, lo : lo + step])
-        g, k = c // GROUPS, c % GROUPS
-        score = _log_softmax(h @ net.group + net.group_bias)[np.arange(len(c)), g].astype(float)
-        order = np.argsort(g, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
-            if len(rows):
-                i = g[rows[0]]
-                score[rows] += _log_softmax(h[rows] @ net.inner[i] + net.inner_bias[i])[np.arange(len(rows)), k[rows]]
-        out[lo : lo + step] = score
+        order = np.argsort(classes[lo : lo + step], kind="stable")  # classes of a group follow each other
+        c = classes[lo : lo + step][order]
+        h = _hidden(net, context[:, lo : lo + step][:, order])
+        g, k, row = c // GROUPS, c % GROUPS, np.arange(len(c))
+        score = np.zeros(len(c))
+        for z, j in ((h @ net.group + net.group_bias, g), (_inner(net, h, g)[0], k)):
+            z -= z.max(1, keepdims=True)
+            score += z[row, j].astype(float) - np.log(np.exp(z).sum(1).astype(float))
+        out[lo : lo + step][order] = score
     return out
 
 
@@ -174,21 +187,25 @@ class Trainer:
 
     def step(self, context: np.ndarray, classes: np.ndarray) -> None:
         net, n = self.net, len(classes)
+        order = np.argsort(classes, kind="stable")  # rows of a group are then a slice
+        context, classes = context[:, order], classes[order]
         h = _hidden(net, context)
-        g, k = classes // GROUPS, classes % GROUPS
-        dz = np.exp(_log_softmax(h @ net.group + net.group_bias))
-        dz[np.arange(n), g] -= 1
-        dz /= n
+        g, k, row = classes // GROUPS, classes % GROUPS, np.arange(n)
+        dz, total = _exp(h @ net.group + net.group_bias)
+        dz /= total * n
+        dz[row, g] -= np.float32(1 / n)
         dh = dz @ net.group.T
+        d, at = _inner(net, h, g)
+        d, total = _exp(d)
+        d /= total * n
+        d[row, k] -= np.float32(1 / n)
         d_inner, d_inner_bias = np.zeros_like(net.inner), np.zeros_like(net.inner_bias)
-        order = np.argsort(g, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
-            i = g[rows[0]]
-            d = np.exp(_log_softmax(h[rows] @ net.inner[i] + net.inner_bias[i]))
-            d[np.arange(len(rows)), k[rows]] -= 1
-            d /= n
-            dh[rows] += d @ net.inner[i].T
-            d_inner[i], d_inner_bias[i] = h[rows].T @ d, d.sum(0)
+        for i in range(GROUPS):
+            some = slice(at[i], at[i + 1])
+            if at[i] < at[i + 1]:
+                dh[some] += d[some] @ net.inner[i].T
+                np.matmul(h[some].T, d[some], out=d_inner[i])
+                d_inner_bias[i] = d[some].sum(0)
         self._move("inner", d_inner)
         self._move("inner_bias", d_inner_bias)
         self._move("group", h.T @ dz)
