@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.session import ship_package
+from tracewright.session import durable, ensure_checkpoint_dir, ship_package  # noqa: F401 - for the operators
 
 #: The whitespace that all word and text contracts share.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
-
-    The folder comes from ``spark.checkpoint.dir``; only where the session has
-    none (tests, notebooks) a temporary one is set.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-"))
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores behind it while a column has it (in any case)."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def text_of(column: str = "text") -> Column:
