@@ -4,6 +4,11 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run`
 it as Parquet, into the shared folder that the cluster names for checkpoints, and
 reads it again as the next stage's documents. All but the last return the columns of
 ``documents``.
+
+Null and empty texts are judged by their statistics as all others, and are otherwise passed on; the
+mix takes none without words. Equal rows are treated alike: near dedup keeps rows with one ``doc_id`` together,
+and the mix counts each of its own. Rows with a null ``doc_id`` go in the last stage. An empty table
+gives an empty result, after every stage. Other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +33,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without boilerplate lines; those that consisted of nothing else go."""
     cut = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_dropped") > 0) & ~F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.where(~emptied | F.col("text").isNull()).withColumn("n_chars", n_chars).select(*docs.columns)
+    dropped = F.col(cut.columns[-1]) > 0
+    emptied = dropped & ~F.regexp_like(F.col("text"), F.lit(r"[^\x20\x09-\x0D]"))
+    n_chars = F.when(dropped, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.where(~emptied | F.col("text").isNull()).withColumn("n_chars", n_chars).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +51,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with ``size``, ``target`` (of the source), ``copies`` and ``taken``."""
-    mix = mixing.mix_sources(docs).where(F.col("copies") > 0).select(F.col("doc_id").alias("_id"), "size", "target", "copies", "taken")
-    return docs.join(mix, F.col("doc_id") == F.col("_id")).drop("_id")
+    return mixing.mixed_documents(docs)
 
 
 STAGES = [
