@@ -115,20 +115,27 @@ def _plausible(text: Column) -> dict[str, Column]:
 def entities(text: Column) -> dict[str, Column]:
     """Kind to array of ``(start, end, m)``: matches of the pattern that pass the kind's test."""
     none, plausible = F.array().cast(_PLACES), _plausible(text)
-    return {k: F.when(plausible[k], F.filter(located(text, PATTERNS[k]), lambda p, k=k: TESTS[k](p["m"]))).otherwise(none) for k in KINDS}
+
+    def passing(kind: str):
+        return lambda p: TESTS[kind](p["m"])
+
+    return {k: F.when(plausible[k], F.filter(located(text, PATTERNS[k]), passing(k))).otherwise(none) for k in KINDS}
 
 
 def without_entities(text: Column) -> Column:
     """The text with blanks in place of entities, so that places stay as they are."""
-    out = text
-    for kind in KINDS:
 
-        def kept(p: Column, kind: str = kind) -> Column:
+    def blanked(kind: str):
+        def kept(p: Column) -> Column:
             blanks = F.when(TESTS[kind](p["m"]), F.repeat(F.lit(" "), F.length(p["m"]))).otherwise(p["m"])
             return F.concat(p["gap"], F.coalesce(blanks, F.lit("")))
 
-        out = F.get(F.transform(F.array(out), lambda t: F.when(_plausible(t)[kind], F.array_join(F.transform(_parts(t, PATTERNS[kind]), kept), "")).otherwise(t)), F.lit(0))
-    return out
+        return lambda t: F.when(_plausible(t)[kind], F.array_join(F.transform(_parts(t, PATTERNS[kind]), kept), "")).otherwise(t)
+
+    out = F.array(text)
+    for kind in KINDS:
+        out = F.transform(out, blanked(kind))
+    return F.get(out, F.lit(0))
 
 
 def disclosing_terms(found: DataFrame, disclosure: float, support: int, z: float) -> DataFrame:
@@ -273,7 +280,7 @@ with d as (
 ), named as (
   select *, ['email', 'ip', 'card', 'phone', 'term'][no + 1] || ':' || s || ':' || e as x from spans
 )
-select cast(d.doc_id as bigint) as doc_id, {', '.join(f'count_if(no = {no}) as n_{k}' for no, k in enumerate(KINDS))},
+select cast(d.doc_id as bigint) as doc_id, {', '.join(f'count(*) filter (no = {no}) as n_{k}' for no, k in enumerate(KINDS))},
        sha256(coalesce(string_agg(x, ',' order by no, s) filter (no < 4), '')) as base_sha256, coalesce(string_agg(x, ',' order by no, s), '') as spans
 from d left join named using (doc_id) group by d.doc_id
 """
