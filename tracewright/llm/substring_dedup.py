@@ -265,9 +265,9 @@ def _send_passages(window: int, anchor_blocks: int, blocks: int):
                 mine = np.flatnonzero(shared & (first == np.arange(len(first))))
                 whole = grams(p.hashes, window)[p.start[mine]]
                 block = _block(np.where(heavy[mine], whole, p.anchor[mine]), blocks)
-                # A passage is a run of phrases that follow each other in one block.
+                # A passage is a run of phrases of a document that follow each other in one block.
                 fresh = np.ones(len(mine), bool)
-                fresh[1:] = (np.diff(p.start[mine]) != 1) | (block[1:] != block[:-1])
+                fresh[1:] = (np.diff(p.start[mine]) != 1) | (block[1:] != block[:-1]) | (np.diff(p.doc[mine]) != 0)
                 head = np.flatnonzero(fresh)
                 size = np.diff(np.append(head, len(mine))) + window - 1
                 begin, doc = p.start[mine[head]], p.doc[mine[head]]
