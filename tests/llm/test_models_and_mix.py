@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -34,7 +35,7 @@ def test_targets(spark, seed):
 
 
 def test_mix(spark):
-    texts = [t for t in corpus(400, 8) if t is None or len(t) < 10_000]
+    texts = [t if t is None or len(t) < 10_000 else "word " * 400 for t in corpus(400, 8)]
     df = frame(spark, texts)
     got = mixing.mix_sources(df, buckets=16).collect()
     sizes = {}
@@ -58,6 +59,50 @@ def test_mix_edges(spark):
     assert len(twice) == 2 and all(r.taken <= 4 for r in twice)
 
 
+def brute_mix(rows, share=1.5):
+    """Copies by ``(source, id)``: every copy in the order of its finish time, up to the budget."""
+    sizes = {}
+    for i, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    target, queue = brute_targets(sizes, share), []
+    for s in sizes:
+        upto = 0
+        for m, i, n in sorted((hashlib.md5(f"{i}:mix".encode()).hexdigest(), i, n) for i, x, n in rows if x == s):
+            upto += n
+            queue += [((upto + k * sizes[s]) / target[s], m, i, n) for k in range(2) if n and target[s]]
+    taken, total = {}, 0
+    for _, _, i, n in sorted(queue):
+        total += n
+        if total > sum(target.values()) + 1e-6:
+            break
+        taken[i] = taken.get(i, 0) + n
+    return taken
+
+
+def test_mix_with_a_document_larger_than_its_sources_target(spark):
+    """Copies that finish very late are queued like all others."""
+    rng = random.Random(4)
+    texts = ["w " * rng.randint(1, 30) for _ in range(200)] + ["w " * 4000, "w " * 90, "w " * 700]
+    docs = frame(spark, texts).drop("source").withColumn("source", F.expr("case when doc_id < 150 then 'a' when doc_id < 199 then 'b' when doc_id = 200 then 'c' else 'd' end"))
+    rows = [(r.doc_id, r.source, len(words(r.text))) for r in docs.collect()]
+    for buckets in (None, 16):
+        got = {r.doc_id: r.taken for r in mixing.mix_sources(docs, buckets=buckets).collect() if r.taken}
+        assert got == brute_mix(rows)
+
+
+def test_mixed_documents_keep_their_rows(spark):
+    """Repeated rows get a copy count each, and columns of the same names stay."""
+    texts = ["a b c", "a b c", "a b c", "d e", None, "f g h i"]
+    docs = frame(spark, texts, [3, 3, 3, 3, 5, 6]).withColumn("taken", F.lit("mine")).withColumnRenamed("n", "size")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == [*docs.columns, "size_", "target", "copies", "taken_"]
+    rows = got.collect()
+    want = mixing.mix_sources(docs).where("copies > 0").collect()
+    assert sorted((r.doc_id, r.size_, r.copies, r.taken_) for r in rows) == sorted((r.doc_id, r["size"], r.copies, r.taken) for r in want)
+    assert all(r.size_ == len(words(r.text)) and r.taken == "mine" for r in rows)
+    assert mixing.mixed_documents(empty(spark)).count() == 0
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
@@ -103,6 +148,31 @@ def test_quality_edges(spark):
     assert quality.fit_quality(docs, null).rules == []
 
 
+def test_compiled_rules_are_the_fitted_ones(spark):
+    """The column expression gives what the rules give, row by row in plain Python, with ties and clashing names."""
+    docs, labels = labelled(spark, 500)
+    docs = docs.unionByName(docs.where("doc_id < 3")).unionByName(frame(spark, [None, ""], [None, 900]))
+    rules = quality.fit_quality(docs, labels)
+    assert len(rules.rules) > 3
+    import pyarrow as pa
+
+    texts = docs.select("doc_id", "text").collect()
+    stats = quality.statistics(pa.array([r.text for r in texts], pa.string()))
+    want = []
+    for r, x in zip(texts, stats):
+        total = rules.bias
+        for rule, weight in zip(rules.rules, rules.weights):
+            if all((x[quality.STATS.index(s)] > at) == above for s, above, at in rule):
+                total += weight
+        want.append((str(r.doc_id), 1 / (1 + np.exp(-total))))
+    named = docs.withColumnRenamed("key", "score").withColumnRenamed("n", "_s_log_words")
+    got = quality.score_quality(named, labels, rules=rules, keep=["doc_id", "score", "_s_log_words"])
+    assert got.columns == ["doc_id", "score", "_s_log_words", "held_out", "score_", "predicted"]
+    have = sorted((str(r.doc_id), r.score_) for r in got.collect())
+    assert [k for k, _ in have] == [k for k, _ in sorted(want)] and [v for _, v in have] == pytest.approx([v for _, v in sorted(want)], abs=1e-12)
+    assert quality.keep_quality(named, labels).columns == named.columns
+
+
 def test_statistics_are_plain():
     import pyarrow as pa
 
