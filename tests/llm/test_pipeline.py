@@ -2,6 +2,7 @@
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import words
@@ -77,3 +78,39 @@ def test_mix(stages):
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.taken) for r in got) == [(r.doc_id, r.taken) for r in stages[-1][1]]
+
+
+def odd_documents(spark, sf):
+    """The documents with repeated rows, nulls in every column, a very long text and columns of names that operators use."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    schema = docs.schema
+    first = docs.orderBy("doc_id").limit(40)
+    repeated = first.unionByName(first)
+    odd = [(None, None, None, None, None), (9001, None, "en", None, None), (9002, "", None, "web", 0), (9003, "word and so on. " * 20_000, "en", "web", 300_000), (None, "no id but a text of some words", "en", "web", 30)]
+    rows = docs.unionByName(repeated).unionByName(spark.createDataFrame(odd, schema))
+    extra = ["size", "target", "copies", "taken", "n_lines", "n_dropped", "_s_upper", "_text", "key", "uid", "score", "_mark"]
+    return rows.selectExpr("*", *[f"cast(doc_id % 7 as string) as {c}" for c in extra])
+
+
+def test_odd_rows_and_columns(spark, tmp_path):
+    docs = odd_documents(spark, SF)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[: len(docs.columns)] == docs.columns and (name == "mixing" or len(out.columns) == len(docs.columns))
+        out.write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        counts = lambda df: {r.k: r.n for r in df.selectExpr("coalesce(doc_id, -1) as k").groupBy("k").agg(F.count("*").alias("n")).collect()}
+        before, now = counts(docs), counts(after)
+        assert all(n <= before[k] for k, n in now.items()), name
+        assert after.where("size is distinct from cast(doc_id % 7 as string)").count() == 0
+        docs = after
+    assert docs.columns[-4:] == ["size_", "target_", "copies_", "taken_"]
+    rows = docs.collect()
+    assert rows and all(r.size_ == len(words(r.text)) and r.taken_ == r.size_ * r.copies_ and r.doc_id is not None for r in rows)
+
+
+def test_no_documents(spark):
+    docs = odd_documents(spark, SF).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
