@@ -57,10 +57,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """``(v, root)`` for every vertex of ``links (a long, b long)`` that is not the smallest of its component."""
-    n = parallelism(links.sparkSession)
+    """``(v, root)`` for every vertex of ``links (a long, b long)`` that is not the smallest of its component.
+
+    Links are read twice, so they had better be checkpointed.
+    """
+    # A task holds some million vertices at most.
+    n = max(parallelism(links.sparkSession), links.count() >> 20)
     schema = "v long, root long, changed boolean"
-    tree = map_arrow(links.where(F.col("a") != F.col("b")), _contract, schema)
+    # In no more parts than later on, as a vertex of very many links has one for each part.
+    tree = map_arrow(links.where(F.col("a") != F.col("b")).coalesce(n), _contract, schema)
     for _ in range(rounds):
         met = durable(map_arrow(tree.select("v", "root").repartition(n, "v"), _contract, schema))
         parent = met.select(F.col("v").alias("p"), F.col("root").alias("up"))

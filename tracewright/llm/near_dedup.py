@@ -8,18 +8,25 @@ after that works on one representative a class.
   or two sketch positions (1.25 = 1/0.8 in the mean), and the sketch's tokens there name the
   children it goes to. So two sets with similarity *s* share ``(1.25 s)^depth`` nodes in
   the mean: pairs at 0.8 keep up with the branching, others die out.
-* *Small nodes* are compared exhaustively on sketches; *large nodes* branch further, for
-  ``deeper`` rounds. A node that is still large then holds sets that agree on every
-  token chosen so far; its members are all linked to its smallest one, so none is
-  lost. Nodes of different trees with the same members are compared once.
-* *Full sets*: the linked sets form loose clusters. In each cluster every pair is
-  compared on full sets, in blocks of a bounded number of shingles, a task seeing two
-  blocks at a time; a true pair is confirmed there even where the trees linked it
-  only by way of others. Blocks return a spanning forest of the confirmed links,
-  whose components are the result.
-
-With 12 trees of depth 3, a pair at similarity 0.8 is in no common node with a
-probability of about 4e-6 (0.357 for each tree), and less if more similar.
+* *Small nodes* are compared exhaustively on sketches. Nodes of different trees with the
+  same members are compared once.
+* *Large nodes* are first measured against a few of their members, the *pivots*. Sketches
+  that agree with a pivot which many agree with are settled: they, and all whose sketches
+  can agree with theirs by the triangle inequality, are linked to that pivot. So a large
+  group of near copies costs one comparison with each pivot. Only the others branch further,
+  twice over, for ``deeper`` rounds; a node that is large to the end has all members linked.
+* *Full sets*: links on sketches make loose clusters. A cluster of a bounded weight is
+  compared exhaustively. A larger one is measured against pivots, too, now
+  on full sets, which confirms most members. *Open* are those that no pivot confirms, and
+  those near a pivot whose component they are not in; by the triangle inequality all
+  links that are still missing have an open end, so open members are compared with all
+  others in blocks, a task seeing two blocks at a time. Blocks return a spanning forest of
+  the confirmed links, whose components are the result.
+
+A pair at similarity 0.8 shares no node of depth 3 with a probability of 0.357 for a tree; over
+all 12 trees, which read the same sketch, that is about 3e-5, and 1e-5 are lost to the limit on
+sketches. A pair that only shares large nodes in which no pivot settles it is lost with
+about 1e-3. More similar pairs are lost more rarely.
 """
 
 from __future__ import annotations
@@ -34,13 +41,18 @@ from pyspark.sql import functions as F
 from tracewright.llm.components import connected, forest
 from tracewright.llm.packs import ROW_BITS, pack_documents, unpack
 from tracewright.llm.shared import durable, map_arrow, parallelism
-from tracewright.llm.tokens import BLANK_BYTES, grams, mix, within, word_hashes, words_of
+from tracewright.llm.tokens import BLANK_BYTES, grams, mix, word_hashes, words_of
 
 _U = np.uint64
 SKETCH = 128
 #: Sketches agree here or above for pairs that matter: 0.8 is over four standard deviations away.
 LOOSE = 0.64
 _STEP = 3
+PIVOTS = 8
+#: What a set weighs in a block beside its shingles, so that blocks of short texts are bounded as well.
+SET_WEIGHT = 128
+#: Full sets of pivots travel to the tasks up to so many bytes, and are joined by a shuffle beyond.
+BROADCAST_BYTES = 64 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +132,7 @@ def descend(sketch: np.ndarray, row: np.ndarray, node: np.ndarray, levels: int)
     return row, node
 
 
-def _nodes(batch_sketch, uid, row, node) -> pa.RecordBatch:
+def _nodes(uid, row, node) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(node.view(np.int64))], names=["uid", "node"])
 
 
@@ -137,17 +149,20 @@ def _roots(trees: int):
             uid, sketch = batch.column(0).to_numpy(), _matrix(batch.column(1))
             for t in range(trees):
                 row, node = descend(sketch, np.arange(len(uid)), np.full(len(uid), mix(np.array([t + 1], np.uint64))[0]), _STEP)
-                yield _nodes(sketch, uid, row, node)
+                yield _nodes(uid, row, node)
 
     return run
 
 
 def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two independent subtrees below each node."""
     for batch in batches:
         if batch.num_rows:
             uid, node = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            row, node = descend(_matrix(batch.column(2)), np.arange(len(uid)), node, _STEP)
-            yield _nodes(None, uid, row, node)
+            sketch = _matrix(batch.column(2))
+            for t in (1, 2):
+                row, below = descend(sketch, np.arange(len(uid)), mix(node + _U(t)), _STEP)
+                yield _nodes(uid, row, below)
 
 
 def _links(a, b) -> pa.RecordBatch:
@@ -176,22 +191,50 @@ def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield _links(np.concatenate(out_a), np.concatenate(out_b))
 
 
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows are parts of large nodes, with the node's pivots; returns which pivots each member agrees with, and may be near to."""
+    least = int(np.ceil(LOOSE * SKETCH))
+    for batch in batches:
+        for node, members, pivots in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            s, p = (np.frombuffer(b"".join(m["sketch"] for m in x), np.uint16).reshape(-1, SKETCH) for x in (members, pivots))
+            same = np.stack([(s == q).sum(1) for q in p], 1)
+            bit = 1 << np.array([x["slot"] for x in pivots], np.int64)
+            # Where two sketches agree in `least` places each with a third, they do in this many.
+            near = same >= 2 * least - SKETCH
+            uid = pa.array([m["uid"] for m in members], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([node] * len(s), pa.int64()), uid, pa.array((same >= least) @ bit, pa.int32()), pa.array(near @ bit, pa.int32())], names=["node", "uid", "agrees", "near"]
+            )
+
+
+def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows are members, the pivots that they may be near to, as bits, and the pivots by slot; returns a forest."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        uid, near = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        slots = np.array(batch.column(2).to_pylist(), np.int64).reshape(-1, PIVOTS)
+        row, slot = np.nonzero((near[:, None] >> np.arange(PIVOTS)) & 1)
+        a, b = uid[row], slots[row, slot]
+        if (a != b).any():
+            yield _links(*forest(a, b))
+
+
 def _wanted_sets(k: int):
-    """Rows are packs with their wanted documents: one row for each pair of blocks that a document is in."""
+    """Rows are packs with their wanted documents: one row for each tile of blocks that a document is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
-                at = [w["uid"] & ((1 << ROW_BITS) - 1) for w in wanted]
-                values, bounds = shingle_sets(unpack(body.as_py()).column("text").take(pa.array(at)), k)
-                out = {c: [] for c in ("cluster", "x", "y", "uid", "block", "values")}
+                values, bounds = _sets_in(body, [w["uid"] for w in wanted], k)
+                out = {c: [] for c in _TILE}
                 size = 0
                 for d, w in enumerate(wanted):
                     body_bytes = values[bounds[d] : bounds[d + 1]].tobytes()
-                    mine, blocks = w["block"], w["blocks"]
-                    for other in range(blocks):
-                        x, y = min(mine, other), max(mine, other)
-                        for name, v in zip(out, (w["cluster"], x, y, w["uid"], mine, body_bytes)):
+                    tiles = {(x, w["block"]): False for x in range(w["opens"])}
+                    tiles |= {(w["open"], y): True for y in range(w["blocks"])} if w["open"] is not None else {}
+                    for (x, y), left in tiles.items():
+                        for name, v in zip(out, (w["cluster"], x, y, w["uid"], left, y == w["block"], body_bytes)):
                             out[name].append(v)
                         size += len(body_bytes)
                         if size > 8 << 20:
@@ -203,36 +246,80 @@ def _wanted_sets(k: int):
     return run
 
 
+#: A tile is an open block and a block of a cluster; a set may be on either side, or both.
+_TILE = {"cluster": pa.int64(), "x": pa.int32(), "y": pa.int32(), "uid": pa.int64(), "left": pa.bool_(), "right": pa.bool_(), "values": pa.binary()}
+
+
 def _set_rows(out: dict) -> pa.RecordBatch:
-    kinds = {"cluster": pa.int64(), "x": pa.int32(), "y": pa.int32(), "uid": pa.int64(), "block": pa.int32(), "values": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in out.items()], names=list(out))
+    return pa.RecordBatch.from_arrays([pa.array(v, _TILE[c]) for c, v in out.items()], names=list(out))
+
+
+def _sets_in(body, uids: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
+    at = [u & ((1 << ROW_BITS) - 1) for u in uids]
+    return shingle_sets(unpack(body.as_py()).column("text").take(pa.array(at, pa.int64())), k)
+
+
+def _full_sets(k: int):
+    """Rows are packs with their wanted documents; returns their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+                uids = [w["uid"] for w in wanted]
+                for lo in range(0, len(uids), 512):
+                    values, bounds = _sets_in(body, uids[lo : lo + 512], k)
+                    sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                    some = [pa.array([w["cluster"] for w in wanted[lo : lo + 512]], pa.int64()), pa.array(uids[lo : lo + 512], pa.int64()), pa.array(sets, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(some, names=["cluster", "uid", "values"])
+
+    return run
+
+
+def _meet(percent: int):
+    """Rows are sets, and the pivots of their cluster; returns the pairs that are near, and if they are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for uid, values, pivots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                mine = np.frombuffer(values.as_py(), np.uint64)
+                for p in pivots:
+                    its = np.frombuffer(p["values"], np.uint64)
+                    if p["pivot"] == uid or 100 * min(len(mine), len(its)) < (2 * percent - 100) * max(len(mine), len(its)):
+                        continue
+                    both = int((its[np.minimum(np.searchsorted(its, mine), len(its) - 1)] == mine).sum())
+                    union = len(mine) + len(its) - both
+                    if 100 * both >= (2 * percent - 100) * union:
+                        out.append((uid, p["pivot"], 100 * both >= percent * union))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_()))], names=["uid", "pivot", "similar"])
+
+    return run
 
 
 def _confirm(percent: int):
-    """Rows are pairs of blocks with their sets; returns a forest of the pairs that are similar."""
+    """Rows are tiles with their sets; returns a forest of the pairs that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for members in batch.column(0):
                 members = members.as_py()
                 uid = np.array([m["uid"] for m in members], np.int64)
-                block = np.array([m["block"] for m in members])
-                sets = [np.frombuffer(m["values"], np.uint64) for m in members]
-                a, b = similar_pairs(sets, block, x, y, percent)
+                left, right = (np.array([m[c] for m in members], bool) for c in ("left", "right"))
+                a, b = similar_pairs([np.frombuffer(m["values"], np.uint64) for m in members], left, right, percent)
                 if len(a):
                     yield _links(*forest(uid[a], uid[b]))
 
     return run
 
 
-def similar_pairs(sets: list[np.ndarray], block: np.ndarray, x: int, y: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs, one in block ``x`` and one in ``y``, with ``100 |a & b| >= percent |a | b|``."""
-    left = np.flatnonzero(block == x)
-    right = left if x == y else np.flatnonzero(block == y)
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs, one marked ``left`` and one ``right``, with ``100 |a & b| >= percent |a | b|``."""
+    left, right = np.flatnonzero(left), np.flatnonzero(right)
     n = np.array([len(s) for s in sets], np.int64)
     if not len(left) or not len(right):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.zeros((len(left), len(right)), np.float64)
+    both = np.zeros((len(left), len(right)), np.float32)  # counts below 1 << 24 are exact
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
     order = np.argsort(values, kind="stable")
@@ -254,12 +341,33 @@ def similar_pairs(sets: list[np.ndarray], block: np.ndarray, x: int, y: int, per
             m[place[k, o[mine]], t[mine]] = 1
             side.append(m)
         both += side[0] @ side[1].T
-    union = n[left][:, None] + n[right][None, :] - both
-    ok = 100 * both >= percent * union
-    if x == y:
-        ok = np.triu(ok, 1)
-    i, j = np.nonzero(ok)
-    return left[i], right[j]
+    found = []
+    for lo in range(0, len(left), 256):
+        common, mine = both[lo : lo + 256].astype(np.int64), left[lo : lo + 256]
+        ok = 100 * common >= percent * (n[mine][:, None] + n[right][None, :] - common)
+        i, j = np.nonzero(ok & (mine[:, None] != right[None, :]))
+        found.append((mine[i], right[j]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _settled(large: DataFrame, reps: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Large nodes, as ``(uid, node, members)``, against their pivots: links, and ``(uid, node)`` of members that no pivot of note agrees with."""
+    held = large.select("uid", "node", "members").join(reps.select("uid", "sketch"), "uid")
+    drawn = F.xxhash64("uid", "node")
+    pivots = large.groupBy("node", F.pmod(drawn, F.lit(PIVOTS)).cast("int").alias("slot"))
+    pivots = pivots.agg(F.min_by("uid", drawn).alias("uid")).join(reps.select("uid", "sketch"), "uid")
+    pivots = durable(pivots.groupBy("node").agg(F.collect_list(F.struct("slot", "uid", "sketch")).alias("pivots")))  # PIVOTS at most
+    part = F.pmod(F.xxhash64("uid"), F.ceil(F.col("members") / small))
+    parts = held.groupBy("node", part.alias("part")).agg(F.collect_list(F.struct("uid", "sketch")).alias("held"))
+    seen = durable(map_arrow(parts.join(pivots, "node").select("node", "held", "pivots"), _cover, "node long, uid long, agrees int, near int"))
+    agree = [F.sum(F.shiftright("agrees", i).bitwiseAND(1)) for i in range(PIVOTS)]
+    note = sum((F.when(c * 2 >= small, 1 << i).otherwise(0) for i, c in enumerate(agree)), F.lit(0)).cast("int")
+    by_slot = F.transform(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda i: F.element_at(F.map_from_arrays(F.col("pivots.slot"), F.col("pivots.uid")), i))
+    noted = durable(seen.groupBy("node").agg(note.alias("note")).join(pivots, "node").select("node", "note", F.transform(by_slot, lambda u: F.coalesce(u, F.lit(0))).alias("slots")))
+    seen = seen.join(noted, "node")
+    near = F.col("near").bitwiseAND(F.col("note"))
+    links = durable(map_arrow(seen.select("uid", near.alias("near"), "slots").where("near <> 0"), _to_pivots, "a long, b long"))
+    return links, seen.where(F.col("agrees").bitwiseAND(F.col("note")) == 0).select("uid", "node")
 
 
 def _candidates(reps: DataFrame, trees: int, small: int, deeper: int) -> DataFrame:
@@ -271,21 +379,82 @@ def _candidates(reps: DataFrame, trees: int, small: int, deeper: int) -> DataFra
             F.count("*").alias("members"), F.min("uid").alias("head"), F.bit_xor(F.xxhash64("uid")).alias("m1"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("m2")
         )
         counts = durable(counts.where(F.col("members") > 1))
+        shared = durable(nodes.join(counts.select("node", "members", "head"), "node"))  # most nodes have one member
         few = counts.where(F.col("members") <= small).groupBy("members", "m1", "m2").agg(F.min("node").alias("node")).select("node")
-        full = nodes.join(few, "node").join(reps.select("uid", "sketch"), "uid")
+        full = shared.select("uid", "node").join(few, "node").join(reps.select("uid", "sketch"), "uid")
         groups = full.groupBy("node").agg(F.collect_list(F.struct("uid", "sketch")).alias("members")).select("members")
         found = durable(map_arrow(groups, _compare_nodes, "a long, b long"))
         links = found if links is None else links.unionByName(found)
-        large = counts.where(F.col("members") > small).select("node", "head")
+        large = shared.where(F.col("members") > small)
         if not large.take(1):
             break
         if k < deeper:
-            more = nodes.join(large.select("node"), "node").select("uid", "node").join(reps.select("uid", "sketch"), "uid")
-            nodes = durable(map_arrow(more.select("uid", "node", "sketch"), _deeper, "uid long, node long"))
+            near, rest = _settled(large, reps, small)
+            links, rest = links.unionByName(near), durable(rest)
+            left = durable(rest.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1))
+            again = rest.join(left.where(F.col("members") <= small).select("node"), "node").select("uid", "node")
+            more = rest.join(left.where(F.col("members") > small).select("node"), "node").join(reps.select("uid", "sketch"), "uid")
+            nodes = durable(map_arrow(more.select("uid", "node", "sketch"), _deeper, "uid long, node long").unionByName(again))
         else:
-            star = nodes.join(large, "node").where(F.col("uid") != F.col("head")).select(F.col("uid").alias("a"), F.col("head").alias("b"))
+            star = large.where(F.col("uid") != F.col("head")).select(F.col("uid").alias("a"), F.col("head").alias("b"))
             links = links.unionByName(star.distinct())
-    return links
+    return durable(links)
+
+
+def _by_pack(packs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """``(body, wanted)``: the packs of the rows' ``uid``, each with its rows."""
+    wanted = rows.groupBy(F.shiftright("uid", ROW_BITS).alias("pack")).agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    return packs.join(wanted, "pack").select("body", "wanted")
+
+
+def _measured(sets: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """``(uid, pivot, similar)``: members of clusters, as ``(cluster, uid, values)``, and the chosen of their cluster that they are near to."""
+    pivots = durable(sets.select("uid", "values").join(chosen.select("cluster", F.col("pivot").alias("uid")), "uid"))
+    size = pivots.agg(F.sum(F.length("values"))).first()[0] or 0
+    pivots = pivots.groupBy("cluster").agg(F.collect_list(F.struct(F.col("uid").alias("pivot"), "values")).alias("pivots"))  # a few a cluster
+    if size <= BROADCAST_BYTES:
+        pivots = F.broadcast(pivots)
+    return durable(map_arrow(sets.join(pivots, "cluster").select("uid", "values", "pivots"), _meet(percent), "uid long, pivot long, similar boolean"))
+
+
+def _confirmed(packs: DataFrame, members: DataFrame, k: int, percent: int, block: int, rounds: int, pivots: int) -> DataFrame:
+    """Links whose components are those of all similar pairs within the clusters of ``members (uid, cluster, n)``."""
+    weigh = lambda rows: rows.groupBy("cluster").agg(F.sum(F.col("n") + SET_WEIGHT).alias("weight")).where(F.col("weight") > block).select("cluster")
+    live = durable(weigh(members))
+    opened, sure = members.withColumn("open", F.lit(True)), None
+    if live.take(1):
+        held = durable(members.join(live, "cluster"))
+        sets = durable(map_arrow(_by_pack(packs, held, "uid", "cluster"), _full_sets(k), "cluster long, uid long, values binary"))
+        bare, seen = held, None
+        for r in range(rounds):
+            drawn = F.xxhash64("uid", F.lit(r))
+            chosen = bare.join(live, "cluster").groupBy("cluster", F.pmod(drawn, F.lit(pivots)).alias("slot")).agg(F.min_by("uid", drawn).alias("pivot"))
+            chosen = durable(chosen.select("cluster", "pivot"))
+            new = _measured(sets, chosen, percent)
+            seen = new if seen is None else seen.unionByName(new)
+            met = new.where("similar").select("uid").unionByName(chosen.select(F.col("pivot").alias("uid"))).distinct()
+            bare = durable(bare.join(met, "uid", "left_anti"))
+            live = durable(weigh(bare))
+            if not live.take(1):
+                break
+        sure = seen.where("similar").select(F.col("uid").alias("a"), F.col("pivot").alias("b"))
+        of = durable(connected(sure))
+        root = lambda c, name: of.select(F.col("v").alias(c), F.col("root").alias(name))
+        edge = seen.where(~F.col("similar")).join(root("uid", "mine"), "uid", "left").join(root("pivot", "its"), "pivot", "left")
+        edge = edge.where(F.coalesce("mine", "uid") != F.coalesce("its", "pivot")).select("uid")
+        settled = held.select("uid").join(bare.select("uid").unionByName(edge).distinct(), "uid", "left_anti").select("uid", F.lit(False).alias("said"))
+        opened = members.join(settled, "uid", "left").withColumn("open", F.coalesce("said", F.lit(True)))
+    opened = durable(opened.select("uid", "cluster", "n", "open"))
+    weight = F.col("n") + SET_WEIGHT
+    count = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / block).cast("int")
+    blocks = opened.groupBy("cluster").agg(count(F.sum(weight)).alias("blocks"), count(F.sum(F.when(F.col("open"), weight))).alias("opens")).where(F.col("opens") > 0)
+    place = lambda salt, c: F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(c)).cast("int")
+    dealt = opened.join(blocks, "cluster").select("uid", "cluster", "opens", "blocks", place(0, "blocks").alias("block"), F.when(F.col("open"), place(1, "opens")).alias("open"))
+    bodies = _by_pack(packs, dealt, "uid", "cluster", "block", "blocks", "open", "opens")
+    shipped = map_arrow(bodies, _wanted_sets(k), "cluster long, x int, y int, uid long, left boolean, right boolean, values binary")
+    tiles = shipped.groupBy("cluster", "x", "y").agg(F.collect_list(F.struct("uid", "left", "right", "values")).alias("members")).select("members")
+    found = durable(map_arrow(tiles, _confirm(percent), "a long, b long"))
+    return found if sure is None else found.unionByName(sure)
 
 
 def find_near_duplicates(
@@ -297,7 +466,9 @@ def find_near_duplicates(
     trees: int = 12,
     small: int = 512,
     deeper: int = 3,
-    block_shingles: int = 1 << 16,
+    block_shingles: int = 1 << 19,
+    pivots: int = 4,
+    rounds: int = 6,
 ) -> DataFrame:
     """``(key, n_shingles, component_id, kept)`` for every document.
 
@@ -322,13 +493,7 @@ def find_near_duplicates(
     cluster = connected(_candidates(reps, trees, small, deeper))
     root = cluster.select("root").distinct().select(F.col("root").alias("uid"), F.col("root").alias("cluster"))
     members = durable(cluster.select(F.col("v").alias("uid"), F.col("root").alias("cluster")).unionByName(root).join(reps.select("uid", "n"), "uid"))
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    wanted = dealt.groupBy(F.shiftright("uid", ROW_BITS).alias("pack")).agg(F.collect_list(F.struct("uid", "cluster", "block", "blocks")).alias("wanted"))
-    bodies = packs.join(wanted, "pack").select("body", "wanted")
-    shipped = map_arrow(bodies, _wanted_sets(shingle), "cluster long, x int, y int, uid long, block int, values binary")
-    pairs = shipped.groupBy("cluster", "x", "y").agg(F.collect_list(F.struct("uid", "block", "values")).alias("members")).select("x", "y", "members")
-    links = connected(durable(map_arrow(pairs, _confirm(percent), "a long, b long")))
+    links = connected(_confirmed(packs, members, shingle, percent, block_shingles, rounds, pivots))
     labelled = reps.select("uid", *sets, "least").join(links.select(F.col("v").alias("uid"), "root"), "uid", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "uid"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
