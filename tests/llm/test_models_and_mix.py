@@ -236,7 +236,8 @@ def test_scores(spark):
     better = sum(got[i].log_likelihood > got[600 + i].log_likelihood for i in range(50))
     assert better >= 47
     assert (got[650].n_tokens, got[650].log_likelihood, got[650].mean_log_likelihood) == (0, 0.0, None) and got[652].n_tokens == 1
-    brute_one(got[0], texts[0], model)
+    for i in range(0, 600, 20):
+        brute_one(got[i], texts[i], model)
 
 
 def brute_one(row, text, model):

@@ -84,6 +84,7 @@ ORACLES = {
     "op4_pii": pii.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
 }

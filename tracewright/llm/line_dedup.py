@@ -231,3 +231,35 @@ def dedup_lines(
     back = [F.col("_text" if n == body else n).alias(c) for c, n in zip(docs.columns, names)]
     fresh = [F.col(c).alias(free_name(n, docs.columns)) for c, n in (("_lines", "n_lines"), ("_dropped", "n_dropped"))]
     return out.select(*back, *fresh)
+
+
+ORACLE = r"""
+with d as (
+  select doc_id, text, string_split(text, chr(10)) as ls from documents where doc_id is not null
+), l as (
+  select doc_id, unnest(ls) as line, unnest(range(0, len(ls))) as no from d
+), w as (
+  select doc_id, no, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: case when regexp_matches(x, '[0-9]') then null else x end) as w from l
+), leafed as materialized (
+  select doc_id, no, w, len(w)::varchar || ':' || coalesce(w[1], '0') || ' ' || coalesce(w[2], '0') as leaf from w where len(w) > 0
+), tokens as materialized (
+  select doc_id, no, leaf, unnest(w) as token, unnest(range(0, len(w))) as place from leafed
+), constants as materialized (
+  select leaf, place, token from tokens where token is not null group by all having count(distinct doc_id) >= 8
+), forms as (
+  select doc_id, no, leaf, count(token) as words, count(c) as n, string_agg(coalesce(c, '0'), ' ' order by place) as form
+  from (select t.*, c.token as c from tokens t left join constants c on t.leaf = c.leaf and t.place = c.place and t.token = c.token) group by all
+), templates as materialized (
+  select * from forms where n > 0 and n >= 0.6::double * words
+), recurring as (
+  select leaf, form, min(doc_id) as head from templates group by all having count(distinct doc_id) >= 8
+), gone as materialized (
+  select doc_id, no from templates join recurring using (leaf, form) where doc_id <> head
+), kept as (
+  select doc_id, string_agg(line, chr(10) order by no) as t from l anti join gone using (doc_id, no) group by doc_id
+), lost as (
+  select doc_id, count(*) as n from gone group by doc_id
+)
+select cast(d.doc_id as bigint) as doc_id, coalesce(len(ls), 0) as n_lines, coalesce(lost.n, 0) as n_dropped, sha256(coalesce(kept.t, '')) as kept_sha256
+from d left join kept using (doc_id) left join lost using (doc_id)
+"""
