@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tracewright", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC time and adaptive execution.
+    """A session with UTC time and adaptive execution, whose checkpoints go when nothing refers to them.
 
     ``master`` and resources are left to the deployment unless given; settings are
     keywords with ``__`` for dots.
@@ -20,6 +20,7 @@ def build_session(app: str = "tracewright", master: str | None = None, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = b.master(master)
