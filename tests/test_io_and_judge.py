@@ -86,6 +86,7 @@ def test_resume_and_stream(spark, tmp_path):
     assert got() == {("1", 1, 1, True), ("2", 1, 3, False), ("3", 1, 1, True)}
     judge.resume(spark, rows, journal, model, valid, retry_failures=True)
     assert got() == {("1", 1, 1, True), ("2", 2, 3, False), ("3", 1, 1, True)}
+    assert judge.progress_of(spark, journal, 6, 30.0) == {"done": 3, "failed": 1, "percent": 50, "eta": 30}
     with pytest.raises(ValueError, match="outside the input"):
         judge.resume(spark, rows.limit(1), journal, model, valid)
     with pytest.raises(ValueError, match="without settings"):

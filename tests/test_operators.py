@@ -173,6 +173,9 @@ def test_checks_of_rows(spark):
         validate.same_run({"a": 1}, {"a": 1, "b": 2})
     with pytest.raises(Exception, match="row breaks label"):
         validate.sft_rows(spark.sql("select array(named_struct('role', 'user', 'content', 'q')) as messages, 't' as target, 's' as source_id, int(null) as label"), "v").collect()
+    with pytest.raises(ValueError, match="name"):
+        validate.refuse_leaks(rows)
+    assert validate.refuse_leaks(validate.prompt_columns(rows.withColumn("id", F.lit(1)))).columns == ["id"]
     assert [r.k for r in validate.unique_keys(rows.withColumnRenamed("name", "k"), ["k"]).collect()] == ["a", "b"]
 
 
@@ -184,3 +187,18 @@ def test_small_functions(spark):
     assert tuple(got) == ("12", "x", None)
     with pytest.raises(Exception, match="no transcript in: Tell me"):
         row.select(tx.transcript(F.col("m"), required=True)).collect()
+
+
+def test_user_turns_are_searched_together(spark):
+    """A transcript may be in any user message, and parts of messages count."""
+    from tracewright.functions import records
+    from tracewright.functions import text as tx
+
+    record = '{"messages": [{"role": "user", "content": "Judge this."}, {"role": "assistant", "content": "Transcript: no"}, {"role": "user", "content": [{"type": "text", "text": "Transcript:"}, {"type": "text", "text": "so it is"}]}]}'
+    row = spark.createDataFrame([(record,)], "r string").select(F.parse_json("r").alias("r"))
+    got = row.select(records.user_text(F.col("r")).alias("m")).select("m", tx.transcript(F.col("m")).alias("t")).first()
+    assert tuple(got) == ("Judge this.\n\nTranscript:\nso it is", "so it is")
+    with pytest.raises(Exception, match="none of source_id"):
+        row.select(records.required_alias(F.col("r"), "source_id")).collect()
+    with pytest.raises(Exception, match="cannot tell the source"):
+        row.select(records.sampled_source_id(F.col("r"))).collect()

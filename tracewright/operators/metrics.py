@@ -120,6 +120,12 @@ def hard_negative_summary(rows: DataFrame, gold: str = "gold", pred: str = "pred
     )
 
 
+def distinct_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, rows, known, different)``: all rows, those with a value, and different values, of each column, in one pass over long rows."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
+    return long.groupBy("column").agg(F.count("*").alias("rows"), F.count("v").alias("known"), F.count_distinct("v").alias("different"))
+
+
 def patterns(rows: DataFrame, components: tuple[str, ...], prefix: str = "", seen: str | None = None) -> DataFrame:
     """``(pattern, n)``, e.g. ``1011``, most frequent first; ties by pattern, or by first appearance in the order of ``seen``."""
     p = F.concat(*[F.col(prefix + c).cast("string") for c in components])

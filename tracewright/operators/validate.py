@@ -73,6 +73,11 @@ def first_media(own: Column, fallback: Column) -> Column:
     return F.nullif(F.get(F.when(F.size(own) > 0, own).otherwise(fallback), F.lit(0)), F.lit(""))
 
 
+def filled(columns: list[str]) -> dict[str, Column]:
+    """Rules for :func:`violations` and :func:`require`: the columns are set, and not blank as text."""
+    return {f"has_{c}": F.col(c).isNotNull() & (tx.strip(F.col(c).cast("string")) != "") for c in columns}
+
+
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``(rule, rows)``: how many rows break each rule; a rule that is null is broken."""
     counts = rows.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(n) for n, ok in rules.items()])
@@ -166,6 +171,13 @@ def prompt_columns(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c in PROMPT_COLUMNS])
 
 
+def refuse_leaks(rows: DataFrame) -> DataFrame:
+    """The rows, unchanged; raises if they have a column that a prompt must not see."""
+    if leaks := [c for c in rows.columns if c not in PROMPT_COLUMNS]:
+        raise ValueError(f"not for a prompt: {leaks}")
+    return rows
+
+
 def same_run(old: dict, new: dict) -> None:
     """Refuse to resume where the settings of a run have changed."""
     wrong = sorted(k for k in {*old, *new} if old.get(k) != new.get(k))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import records
 from tracewright.functions import text as tx
 from tracewright.functions.judge_json import COMPONENTS
-from tracewright.operators import labels, rewards, select, validate
+from tracewright.operators import labels, metrics, rewards, select, validate
 from tracewright.plans.traj import CLASSIFIED_SQL, LABELS_SQL, PARSED_SQL, TRAJ_SQL, component_labels, tables, trajectories
 
 #: A record for each document, in one of twelve shapes; ``{t}`` is its text as JSON.
@@ -127,6 +127,17 @@ def reward_plugins(spark, sf_dir):
     return rewards.rewarded(rows, ["accuracy", "format"]).select("raw_index", "accuracy", "format")
 
 
+def distinct_ids(spark, sf_dir):
+    t = trajectories(spark, sf_dir)
+    return metrics.distinct_counts(t, ["raw_index", "source_id", "finish_reason"])
+
+
+def required_fields(spark, sf_dir):
+    t = trajectories(spark, sf_dir)
+    blank = t.withColumn("finish_reason", F.when(F.col("raw_index") % 5 == 0, F.lit(" \t")).otherwise(F.col("finish_reason")))
+    return validate.violations(blank, validate.filled(["source_id", "finish_reason", "score"])).select("rule", F.col("rows").alias("n"))
+
+
 def gold_join(spark, sf_dir):
     """Every document's label, for those that have one; the others are not asked for."""
     from tracewright.operators import joins
@@ -138,7 +149,7 @@ def gold_join(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (response_resolution, alias_fields, sampled_sources, transcript_extract, pool_reasons, label_problems, cluster_sample_by_split, sft_audit, reward_plugins, gold_join)
+    for f in (response_resolution, alias_fields, sampled_sources, transcript_extract, pool_reasons, label_problems, cluster_sample_by_split, sft_audit, reward_plugins, distinct_ids, required_fields, gold_join)
 }
 
 _STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -179,5 +190,9 @@ ORACLES = {
     "reward_plugins": f"""with {PARSED_SQL}, x as (select *, lower(answer) as a from parsed) select raw_index,
  case when (a = 'sarcasm' and gold = 1) or (a = 'non-sarcasm' and gold = 0) then 1.0::double else 0.0::double end as accuracy,
  case when text_evidence is not null and audio_evidence is not null and visual_evidence is not null and integration is not null and a in ('sarcasm', 'non-sarcasm') then 1.0::double else 0.0::double end as format from x""",
+    "distinct_ids": f"""with {TRAJ_SQL} select 'raw_index' as "column", count(*) as "rows", count(raw_index) as known, count(distinct raw_index) as different from traj
+ union all select 'source_id', count(*), count(source_id), count(distinct source_id) from traj union all select 'finish_reason', count(*), count(finish_reason), count(distinct finish_reason) from traj""",
+    "required_fields": f"""with {TRAJ_SQL} select 'has_source_id' as rule, cast(0 as bigint) as n union all select 'has_finish_reason', count(*) filter (raw_index % 5 = 0 or finish_reason is null) from traj
+ union all select 'has_score', count(*) filter (score is null) from traj""",
     "gold_join": "select doc_id, lang, quality from documents join labels using (doc_id)",
 }

@@ -79,7 +79,8 @@ def sft_chat(spark, sf_dir):
     messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
     c = spark.table("conversations").groupBy("conv_id").agg(messages.alias("m"))
     out = c.select("conv_id", validate.sft_row(F.col("m"), F.lit("TARGET")).alias("m"))
-    return out.select("conv_id", F.size("m").cast("long").alias("turns"), F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("="), F.length(x["content"]).cast("string"))), ";").alias("shape"))
+    whole = F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit("="), x["content"])), ";")
+    return out.select("conv_id", F.size("m").cast("long").alias("turns"), F.sha2(whole, 256).alias("digest"))
 
 
 def preview(spark, sf_dir):
@@ -152,8 +153,8 @@ ORACLES = {
  case doc_id % 3 when 1 then 'id' || doc_id else 'v' || doc_id || '.x' end as no_hashes from documents""",
     "last_assistant": "select conv_id, arg_max(text, turn) filter (role = 'assistant') as assistant, arg_max(text, turn) filter (role = 'user') as \"user\" from conversations group by 1",
     "sft_chat": """with r as (select *, turn = max(turn) over (partition by conv_id) as last from conversations),
- x as (select conv_id, turn, case when last and role = 'assistant' then 'assistant=6' else role || '=' || length(text) || case when last then ';assistant=6' else '' end end as s, case when last and role <> 'assistant' then 2 else 1 end as k from r)
- select conv_id, cast(sum(k) as bigint) as turns, string_agg(s, ';' order by turn) as shape from x group by 1""",
+ x as (select conv_id, turn, case when last and role = 'assistant' then 'assistant=TARGET' else role || '=' || text || case when last then ';assistant=TARGET' else '' end end as s, case when last and role <> 'assistant' then 2 else 1 end as k from r)
+ select conv_id, cast(sum(k) as bigint) as turns, sha256(string_agg(s, ';' order by turn)) as digest from x group by 1""",
     "preview": "select doc_id, case when length(text) > 70 then substr(replace(text, chr(10), ' '), 1, 67) || '...' else replace(text, chr(10), ' ') end as preview from documents",
     "method_family": "select doc_id, case doc_id % 4 when 0 then 'sft' when 1 then 'grpo' when 2 then 'grporm' end as family, case when doc_id % 4 < 3 then lang end as method from documents",
     "frame_indices": """with d as (select doc_id, cast(n_chars % 200 + 1 as integer) as total, doc_id % 40 / 4.0::double as duration from documents),

@@ -15,10 +15,11 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.numeric import progress
 from tracewright.operators.joins import pending
 from tracewright.session import ship_package
 from tracewright.operators.validate import same_run
-from tracewright.sources.io import _fs, done_ids, read_stats, write_jsonl, write_stats
+from tracewright.sources.io import _fs, done_ids, read_jsonl, read_stats, write_jsonl, write_stats
 
 Model = Callable[[list[str]], list[str]]
 JOURNAL = "judge_id string, raw_output string, parse_ok boolean, attempts int, failure string"
@@ -133,6 +134,14 @@ def judge_stream(spark: SparkSession, source: str, schema: str, journal: str, ch
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def progress_of(spark: SparkSession, journal: str, total: int, elapsed: float) -> dict:
+    """How far a run is, from its journal: rows done and failed, whole percent and seconds left (null before the first row)."""
+    rows = read_jsonl(spark, journal, JOURNAL, "resume").where(F.col("judge_id").isNotNull())
+    by_id = rows.groupBy("judge_id").agg(F.max("parse_ok").alias("ok"))
+    state = by_id.agg(F.count("*").alias("done"), F.count_if(~F.col("ok")).alias("failed"))
+    return state.select("*", progress(F.col("done"), F.lit(total), F.lit(elapsed)).alias("p")).select("done", "failed", "p.*").first().asDict()
+
+
 def completeness(files: set[str], rows: int | None, expected: int) -> str:
     """``complete``, ``partial``, ``legacy`` (scores without predictions) or ``absent`` for a checkpoint's outputs."""
     if not files:
