@@ -130,22 +130,24 @@ def brute_terms(texts, disclosure=0.6, support=5, z=3.0):
 
 
 @pytest.mark.parametrize("broadcast_terms", [200_000, 1])
-def test_disclosing_terms(spark, broadcast_terms):
+def test_disclosing_terms(spark, broadcast_terms, monkeypatch):
     """Terms of all kinds, glued to their entity or far from it, wherever they occur; ties and chance do not tell."""
     rng = random.Random(5)
-    words = ["the", "river", "boats", "by", "slow", "Été", "𝄞x"]
+    words = ["the", "river", "boats", "by", "slow", "Été", "𝄞x", "sincerelyx", "$1|(\\E"]
     texts = [None, "", "Mailto: nothing here"]
     for i in range(400):
         t = [rng.choice(words) for _ in range(rng.randint(3, 12))]
         if i % 12 == 0:
-            t += [f"mailto:u{i}@x.org", *[rng.choice(words) for _ in range(6)], "Sincerely"]
+            t += [f"mailto:u{i}@x.org", *[rng.choice(words) for _ in range(6)], rng.choice(["Sincerely", "sincerely"]), "[x]*\\Ey\\Q|"]
         if i % 15 == 0:
             t += ["call", f"+1 (988) 555-{2000 + i}", "card", "4041894974608795", "at", f"10.0.0.{i % 250}"]
         if i in (0, 12, 24):
             t.append("rare")
         texts.append(rng.choice([" ", "\n"]).join(t))
     told, want = brute_terms(texts)
-    assert {"mailto:", "sincerely", "call", "card"} <= told and "rare" not in told and "the" not in told
+    if broadcast_terms == 1:
+        monkeypatch.setattr(pii, "BROADCAST_CHARS", 0)
+    assert {"mailto:", "sincerely", "call", "card", "[x]*\\ey\\q|"} <= told and "rare" not in told and "the" not in told
     got = {r.doc_id: r for r in pii.find_private(frame(spark, texts), broadcast_terms=broadcast_terms).collect()}
     assert [[(p.start, p.end) for p in got[i].term] for i in range(len(texts))] == want
 

@@ -34,18 +34,21 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 #: Single digits match, too; they fail the test of lengths.
 CARD = r"[0-9](?:[\x20-]?+[0-9])*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+#: Patterns of texts' disclosing terms travel to the tasks up to so many characters, and are joined by a shuffle beyond.
+BROADCAST_CHARS = 32 << 20
 PATTERNS = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE)))
 
 _PLACE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("m", T.StringType())])
 _PLACES = T.ArrayType(_PLACE)
 
 
-def _parts(text: Column, pattern: str) -> Column:
+def _parts(text: Column, pattern: str | Column) -> Column:
     """The text as an array of ``(gap, m)``: what stands before each match, and the match; null behind the last one."""
-    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """All matches, leftmost and non-overlapping: array of ``(start, end, m)`` in code points.
 
     Places are added up in two levels, as every step copies the array that it extends.
@@ -138,6 +141,12 @@ def without_entities(text: Column) -> Column:
     return F.get(out, F.lit(0))
 
 
+def whole_words(words: Column) -> Column:
+    """A pattern for any of the words, as written, between blanks or ends."""
+    quoted = F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.concat(F.lit(f"(?<!{WORD[:-1]})(?:"), F.array_join(quoted, "|"), F.lit(f")(?!{WORD[:-1]})"))
+
+
 def disclosing_terms(found: DataFrame, disclosure: float, support: int, z: float) -> DataFrame:
     """``term`` of all that disclose an entity of some kind, for ``found (bare, and an array for each kind)``."""
     total = found.agg(F.count("*").alias("n"), *[F.count_if(F.size(k) > 0).alias(k) for k in KINDS]).first()
@@ -174,17 +183,20 @@ def find_private(
     found = durable(found.select(F.monotonically_increasing_id().alias("row"), "key", *KINDS, bare.alias("bare")))
     terms = durable(disclosing_terms(found, disclosure, support, z))
     blocks = -(-terms.count() // broadcast_terms)
-    out = found
+    out = found.drop("bare")
     if blocks:
-        present = found.select("row", F.explode(F.array_distinct(F.split(F.lower("bare"), BLANK + "+"))).alias("term"))
+        words = found.select("row", F.explode(F.array_distinct(F.split("bare", BLANK + "+"))).alias("word")).withColumn("term", F.lower("word"))
         block = F.pmod(F.xxhash64("term"), F.lit(blocks))
-        met = [present.join(F.broadcast(terms.where(block == b)), "term") for b in range(blocks)]
-        held = reduce(DataFrame.unionByName, met).groupBy("row").agg(F.collect_set("term").alias("held"))
-        out = found.join(held, "row", "left")
-        mine = F.filter(located(F.col("bare"), WORD), lambda p: F.array_contains(F.col("held"), F.lower(p["m"])))
+        met = [words.join(F.broadcast(terms.where(block == b)), "term").select("row", "word") for b in range(blocks)]
+        held = durable(reduce(DataFrame.unionByName, met).groupBy("row").agg(whole_words(F.collect_set("word")).alias("pattern")))
+        if (held.agg(F.sum(F.length("pattern"))).first()[0] or 0) <= BROADCAST_CHARS:
+            held = F.broadcast(held)
+        # Only texts with such a word are cut at it.
+        places = found.select("row", "bare").join(held, "row").select("row", located(F.col("bare"), F.col("pattern")).alias("term"))
+        out = out.join(places, "row", "left")
     bare = lambda c: F.transform(c, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    term = F.when(F.col("held").isNotNull(), bare(mine)).otherwise(none) if blocks else none
+    term = F.coalesce(bare(F.col("term")), none) if blocks else none
     return out.select(F.col("key").alias(key), *[bare(F.col(k)).alias(k) for k in KINDS], term.alias("term"))
 
 
