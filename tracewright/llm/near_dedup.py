@@ -375,12 +375,11 @@ def _candidates(reps: DataFrame, trees: int, small: int, deeper: int) -> DataFra
     nodes = map_arrow(reps.select("uid", "sketch"), _roots(trees), "uid long, node long")
     links = None
     for k in range(deeper + 1):
-        counts = nodes.groupBy("node").agg(
-            F.count("*").alias("members"), F.min("uid").alias("head"), F.bit_xor(F.xxhash64("uid")).alias("m1"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("m2")
-        )
-        counts = durable(counts.where(F.col("members") > 1))
-        shared = durable(nodes.join(counts.select("node", "members", "head"), "node"))  # most nodes have one member
-        few = counts.where(F.col("members") <= small).groupBy("members", "m1", "m2").agg(F.min("node").alias("node")).select("node")
+        counts = durable(nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"))  # most nodes have one member
+        shared = durable(nodes.join(counts, "node"))
+        same = [F.bit_xor(F.xxhash64("uid", F.lit(salt))).alias(f"m{salt}") for salt in (1, 2)]
+        few = shared.where(F.col("members") <= small).groupBy("node", "members").agg(*same)
+        few = few.groupBy("members", "m1", "m2").agg(F.min("node").alias("node")).select("node")
         full = shared.select("uid", "node").join(few, "node").join(reps.select("uid", "sketch"), "uid")
         groups = full.groupBy("node").agg(F.collect_list(F.struct("uid", "sketch")).alias("members")).select("members")
         found = durable(map_arrow(groups, _compare_nodes, "a long, b long"))
@@ -396,7 +395,8 @@ def _candidates(reps: DataFrame, trees: int, small: int, deeper: int) -> DataFra
             more = rest.join(left.where(F.col("members") > small).select("node"), "node").join(reps.select("uid", "sketch"), "uid")
             nodes = durable(map_arrow(more.select("uid", "node", "sketch"), _deeper, "uid long, node long").unionByName(again))
         else:
-            star = large.where(F.col("uid") != F.col("head")).select(F.col("uid").alias("a"), F.col("head").alias("b"))
+            star = large.join(large.groupBy("node").agg(F.min("uid").alias("head")), "node").where(F.col("uid") != F.col("head"))
+            star = star.select(F.col("uid").alias("a"), F.col("head").alias("b"))
             links = links.unionByName(star.distinct())
     return durable(links)
 
