@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, near_dedup, pii, quality, substring_dedup, url_filter
+from tracewright.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, near_dedup, pii, quality, substring_dedup, token_counts, url_filter
 from tracewright.llm.shared import table
 
 
@@ -66,6 +66,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "within")
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_exact_dedup": op2_exact_dedup,
@@ -77,6 +84,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op11_token_counts": op11_token_counts,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
