@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, exact_dedup, line_dedup, lm_score, mixing, near_dedup, periodic_runs, pii, quality, substring_dedup, token_counts, url_filter
+from tracewright.llm import conversation_repair, decontaminate, exact_dedup, line_dedup, lm_score, mixing, near_dedup, periodic_runs, pii, quality, substring_dedup, token_counts, url_filter
 from tracewright.llm.shared import table
 
 
@@ -73,6 +73,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "within")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audit_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest_runs(table(spark, sf_dir, "documents"), plant=True).withColumnRenamed("key", "doc_id")
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
     "op11_token_counts": op11_token_counts,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
@@ -100,5 +105,6 @@ ORACLES = {
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
     "op9_near_dedup": near_dedup.ORACLE,
+    "op12_conversation_repair": conversation_repair.ORACLE,
     "op13_periodic_runs": periodic_runs.ORACLE,
 }
