@@ -45,6 +45,22 @@ def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+#: So many keys are sent to a larger side: a few MB.
+SENT_KEYS = 200_000
+
+
+def pending_from(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """The same, where much more is done than there are rows to look at.
+
+    The number of keys is counted first. A bounded number is sent to the done side, which then moves only what it has of
+    them; beyond that both sides are shuffled.
+    """
+    keys = rows.select(key).distinct()
+    if keys.limit(SENT_KEYS + 1).count() <= SENT_KEYS:
+        done = done.select(key).join(F.broadcast(keys), key, "left_semi")
+    return pending(rows, done, key)
+
+
 def align(gold: DataFrame, predictions: DataFrame, key: str = "source_id", index: str = "row_index") -> tuple[DataFrame, str]:
     """Pairs of rows, and how they were paired: by key, or by position.
 

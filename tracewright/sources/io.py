@@ -164,6 +164,19 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def key_sum(value: Column) -> Column:
+    """An order-free digest of a multiset, as an aggregate: the exact sum of the values' hashes; nulls do not count."""
+    return F.sum(F.when(value.isNotNull(), F.xxhash64(value)).cast("decimal(28,0)"))
+
+
+def multiset_digest(rows: DataFrame) -> str:
+    """A digest of all rows, with how often each comes, in any order: the number of rows, and sums of two hashes of each."""
+    body = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    hashes = rows.select(F.xxhash64(body).alias("a"), F.xxhash64(F.lit("second"), body).alias("b"))
+    facts = hashes.agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in "ab"]).first()
+    return hashlib.sha256(f"{facts['n']}:{facts['a']}:{facts['b']}".encode()).hexdigest()
+
+
 # --- writing --------------------------------------------------------------------
 
 
@@ -200,8 +213,20 @@ def write_stats(spark: SparkSession, stats: dict, path: str) -> None:
 
 def read_stats(spark: SparkSession, path: str) -> dict | None:
     """What :func:`write_stats` has written; null if nothing."""
+    text = read_small(spark, path)
+    return None if text is None else json.loads(text)
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, read by the driver from any file system that Spark reaches; null if it is not there."""
     fs, at = _fs(spark, path)
-    return json.loads(spark.read.text(path, wholetext=True).first()[0]) if fs.exists(at(path)) else None
+    if not fs.exists(at(path)):
+        return None
+    stream = fs.open(at(path))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def publish(spark: SparkSession, outputs: dict[str, DataFrame], path: str, overwrite: bool = False) -> dict[str, str]:
@@ -218,8 +243,7 @@ def publish(spark: SparkSession, outputs: dict[str, DataFrame], path: str, overw
     run, digests = uuid.uuid4().hex, {}
     for name, rows in outputs.items():
         rows.write.parquet(f"{path}/{run}/{name}")
-        facts = spark.read.parquet(f"{path}/{run}/{name}").select(F.xxhash64(F.to_json(F.struct("*"))).alias("h")).agg(F.count("*").alias("n"), F.bit_xor("h").alias("x")).first()
-        digests[name] = hashlib.sha256(f"{facts['n']}:{facts['x']}".encode()).hexdigest()
+        digests[name] = multiset_digest(spark.read.parquet(f"{path}/{run}/{name}"))
     write_stats(spark, {"run": run, "outputs": digests}, f"{path}/manifest.json")
     if old:
         fs.delete(at(f"{path}/{old['run']}"), True)
