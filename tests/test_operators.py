@@ -1,10 +1,12 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import numeric
-from tracewright.operators import joins, metrics, rewards, select, validate
+from tracewright.operators import joins, metrics, packing, rewards, select, validate
+from tracewright.streaming import judge
 
 
 def test_best_of_n_ties_and_nulls(spark):
@@ -26,8 +28,43 @@ def test_fixed_groups_raise(spark):
         select.fixed_groups(rows, "i", 4, ["sig"]).collect()
 
 
-def test_pack_groups():
-    assert select.pack_groups([("a", 3), ("b", 3), ("c", 9), ("d", 1)], 6) == [("a", 0), ("b", 0), ("c", 1), ("d", 2)]
+def packed_by_a_loop(sizes, most):
+    out, batch, used = [], 0, 0
+    for n in sizes:
+        if used and used + n > most:
+            batch, used = batch + 1, 0
+        out.append(batch)
+        used += n
+    return out
+
+
+def test_pack_groups(spark):
+    got = lambda sizes, most: [r.batch for r in packing.pack_groups(spark.createDataFrame(list(enumerate(sizes)), "g int, n int"), ["g"], "n", most).orderBy("g").collect()]
+    assert got([3, 3, 9, 1], 6) == [0, 0, 1, 2] and got([], 5) == [] and got([7], 3) == [0] and got([1] * 10, 1) == list(range(10))
+    rng = random.Random(1)
+    sizes = [rng.choice([1, 1, 2, 3, 8, 30]) for _ in range(80)]
+    assert got(sizes, 9) == packed_by_a_loop(sizes, 9)
+    with pytest.raises(Exception, match="row breaks size"):
+        got([1, 0], 5)
+
+
+def test_pack_many_groups(spark):
+    """A hundred thousand groups, as a loop packs them; nothing goes through the driver."""
+    groups = spark.range(100_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(20)) + F.when(F.col("id") % 997 == 0, 3_000).otherwise(1)).alias("n"))
+    rows = packing.pack_groups(groups, ["id"], "n", 2_000).orderBy("id").collect()
+    assert [r.batch for r in rows] == packed_by_a_loop([r.n for r in rows], 2_000)
+
+
+def test_packed_rows_are_judged_in_whole_batches(spark):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("judge_id"), F.col("id").cast("string").alias("prompt"), F.when(F.col("id") < 50, F.floor(F.col("id") / 7)).alias("source_id"), "id")
+    packed = packing.pack_rows(rows, "source_id", "id", 16)
+    calls = judge.judge(packed, lambda prompts: [" ".join(sorted(prompts)) for _ in prompts], bool, whole="batch", carried="batch long").collect()
+    by_batch = {}
+    for r in packed.collect():
+        by_batch.setdefault(r.batch, []).append(r.judge_id)
+    assert len(calls) == 60 and {r.raw_output for r in calls} == {" ".join(sorted(x)) for x in by_batch.values()}
+    assert [len(by_batch[b]) for b in sorted(by_batch)] == [14, 14, 14, 8, 10]
+
 
 
 def test_samples(spark):

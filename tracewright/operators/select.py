@@ -1,4 +1,4 @@
-"""Choosing rows of groups: best, diverse, sampled; grouping by position and packing."""
+"""Choosing rows of groups: best, diverse, sampled; grouping by position."""
 
 from __future__ import annotations
 
@@ -92,20 +92,5 @@ def first_seen(rows: DataFrame, group: str, order: str, name: str = "group_order
     return rows.join(rows.groupBy(group).agg(F.min(order).alias(name)), group)
 
 
-def pack_groups(sizes: list[tuple[str, int]], most: int) -> list[tuple[str, int]]:
-    """``(group, batch)``: whole groups in order, a new batch where the next group would not fit.
-
-    A group beyond ``most`` is a batch of its own. ``sizes`` is the group table of one
-    batch run, not of all rows.
-    """
-    out, batch, used = [], 0, 0
-    for group, n in sizes:
-        if used and used + n > most:
-            batch, used = batch + 1, 0
-        out.append((group, batch))
-        used += n
-    return out
-
-
 def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.orderBy(order).limit(n)

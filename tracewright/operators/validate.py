@@ -109,18 +109,24 @@ def unique_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.unionByName(guard.where(F.col("_g").isNotNull()).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
 
 
-def with_ordinal(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """Number rows 0, 1, ... in order. Ranges are sorted apart and offset by the sizes of those before.
+def with_ordinal(rows: DataFrame, order: list, name: str, totals: dict[str, str] | None = None) -> DataFrame:
+    """Number rows 0, 1, ... in order; ``totals`` adds running sums, ``{name: column}``, of the rows so far and their own.
 
+    Ranges are sorted apart and offset by the sizes of those before.
     Ranges are written before they are counted: were one computed again after an executor is lost,
     rows on its border could count in two.
     """
     n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = durable(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy("_part").orderBy(*order)
-    return ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.row_number().over(inside) - 1).drop("_part", "_start")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = {"_start": F.count("*"), **{f"_start_{k}": F.sum(c) for k, c in (totals or {}).items()}}
+    starts = ranged.groupBy("_part").agg(*[s.alias(k) for k, s in sums.items()])
+    starts = starts.select("_part", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k) for k in sums])
+    out = ranged.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.row_number().over(inside) - 1)
+    for k, c in (totals or {}).items():
+        out = out.withColumn(k, F.col(f"_start_{k}") + F.sum(c).over(inside))
+    return out.drop("_part", *sums)
 
 
 def length_reason(tokens: Column, reserve: int, limit: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as tx
-from tracewright.operators import joins, metrics, select, validate
+from tracewright.operators import joins, metrics, packing, select, validate
 from tracewright.plans.traj import CLASSIFIED_SQL, TRAJ_SQL, component_labels, tables, trajectories
 from tracewright.sources.io import chunk_ids
 
@@ -147,8 +147,15 @@ def first_seen(spark, sf_dir):
 
 def packed_batches(spark, sf_dir):
     tables(spark, sf_dir, "documents")
-    sizes = spark.table("documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("o")).orderBy("o").collect()
-    return spark.createDataFrame(select.pack_groups([(r[0], r[1]) for r in sizes], 64), "source string, batch long")
+    sizes = spark.table("documents").groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("o"))
+    return packing.pack_groups(sizes, ["o"], "n", 64).select("source", "batch")
+
+
+def packed_conversations(spark, sf_dir):
+    """Whole conversations in calls of 24 turns, as a judge gets them."""
+    tables(spark, sf_dir, "conversations")
+    rows = spark.table("conversations").select("conv_id", "turn", (F.col("conv_id") * 10_000 + F.col("turn")).alias("row_index"))
+    return packing.pack_rows(rows, "conv_id", "row_index", 24).select("conv_id", "turn", "batch")
 
 
 def balanced_sample(spark, sf_dir):
@@ -187,7 +194,7 @@ QUERIES = {
     for f in (
         reject_reason_counts, best_of_n, diverse_n, sft_variants, candidates_per_source, sources_without_candidate, retention, finish_reason_filter,
         judge_pool, ordinal_ids, left_join_reject, coverage_missing, resume_anti, last_wins, align_positional, align_by_key, paired_join, listed_rows,
-        dereference, fixed_groups, first_seen, packed_batches, balanced_sample, cluster_sample, disjoint_sample, first_rows, chunk_counts, norm_dedup,
+        dereference, fixed_groups, first_seen, packed_batches, packed_conversations, balanced_sample, cluster_sample, disjoint_sample, first_rows, chunk_counts, norm_dedup,
     )
 }
 
@@ -220,6 +227,11 @@ with recursive g as (select source, count(*) as n, row_number() over (order by m
 r as (select source, n, no, cast(0 as bigint) as batch, n as used from g where no = 1
  union all select g.source, g.n, g.no, case when r.used + g.n > 64 then r.batch + 1 else r.batch end, case when r.used + g.n > 64 then g.n else r.used + g.n end from r join g on g.no = r.no + 1)
 select source, batch from r""",
+    "packed_conversations": """
+with recursive g as (select conv_id, count(*) as n, row_number() over (order by min(conv_id * 10000 + turn), conv_id) as no from conversations group by 1),
+r as (select conv_id, no, cast(0 as bigint) as batch, n as used from g where no = 1
+ union all select g.conv_id, g.no, case when r.used + g.n > 24 then r.batch + 1 else r.batch end, case when r.used + g.n > 24 then g.n else r.used + g.n end from r join g on g.no = r.no + 1)
+select conv_id, turn, batch from conversations join r using (conv_id)""",
     "balanced_sample": f"with {TRAJ_SQL} select raw_index, gold from traj qualify row_number() over (partition by gold order by md5(raw_index || ':42'), raw_index) <= 20",
     "cluster_sample": f"with {TRAJ_SQL}, c as (select distinct source_id from traj order by md5(source_id || ':42'), source_id limit 10) select raw_index, source_id from traj where source_id in (select source_id from c) qualify row_number() over (partition by source_id order by md5(raw_index || ':42'), raw_index) <= 2",
     "disjoint_sample": f"""with {CLASSIFIED_SQL}, k as (select raw_index, source_id, prediction = gold as ok from cl where prediction is not null),

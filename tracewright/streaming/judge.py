@@ -113,7 +113,7 @@ def judge(rows: DataFrame, model: Model, valid, batch: int = 64, attempts: int =
     ship_package(rows.sparkSession)
     names = tuple(c.split()[0] for c in carried.split(", ") if c)
     by = whole or together
-    wanted = rows.select(F.col("judge_id").cast("string").alias("judge_id"), "prompt", *([by] if by else []), *names)
+    wanted = rows.select(F.col("judge_id").cast("string").alias("judge_id"), "prompt", *dict.fromkeys([*([by] if by else []), *names]))
     if by:
         wanted = wanted.repartition(by).sortWithinPartitions(by, "judge_id")
     return wanted.mapInPandas(judged(model, valid, batch, attempts, together, whole, names), f"{JOURNAL}, {carried}" if carried else JOURNAL)
