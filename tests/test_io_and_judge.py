@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.operators import validate
+from tracewright.sources import chunks as chunks_of
 from tracewright.sources import io
 from tracewright.streaming import judge
 
@@ -46,12 +48,73 @@ def test_publish_and_chunks(spark, tmp_path):
     assert io.published(spark, path, "scored").count() == 700 and len([p for p in (tmp_path / "out").iterdir() if p.is_dir()]) == 1
     with pytest.raises(FileNotFoundError):
         io.published(spark, path, "other")
-    chunks = io.chunk_ids(rows)
+    chunks = chunks_of.chunk_ids(rows)
     done = chunks.where("row_index < 650")
-    assert [tuple(r) for r in io.missing_chunks(chunks, done).collect()] == [(2, 100, 50)]
+    assert [tuple(r) for r in chunks_of.missing_chunks(chunks, done).collect()] == [(2, 100, 50)]
     with pytest.raises(ValueError):
-        io.merge_chunks(chunks, done)
-    assert io.merge_chunks(chunks, chunks).count() == 700
+        chunks_of.merge_chunks(chunks, done)
+    assert chunks_of.merge_chunks(chunks, chunks).count() == 700
+
+
+def test_chunk_runner(spark, tmp_path):
+    """A second run does only what is missing or short; a failing job keeps the jobs before it."""
+    rows = spark.range(700).select(F.col("id").alias("row_index"), F.concat(F.lit("p"), "id").alias("prompt"))
+    path, log = str(tmp_path / "out"), str(tmp_path / "log")
+
+    def work(fail=-1):
+        def infer(frames):
+            for f in frames:
+                with open(log, "a") as out:
+                    out.writelines(f"{i}\n" for i in f["row_index"])
+                if (f["chunk_id"] == fail).any():
+                    raise RuntimeError("out of memory")
+                yield f.assign(response="r" + f["prompt"])[["row_index", "response", "chunk_id"]]
+
+        return lambda some: some.mapInPandas(infer, "row_index long, response string, chunk_id int")
+
+    def logged():
+        with open(log) as f:
+            out = sorted(int(x) for x in f)
+        open(log, "w").close()
+        return out
+
+    with pytest.raises(Exception, match="out of memory"):
+        chunks_of.run_chunks(spark, rows, path, work(fail=4), size=100, chunks_per_job=2)
+    logged()
+    with pytest.raises(ValueError, match="incomplete"):
+        chunks_of.merged(spark, rows, path, size=100)
+    assert chunks_of.run_chunks(spark, rows, path, work(), size=100, chunks_per_job=2) == [4, 5, 6] and logged() == list(range(400, 700))
+    assert chunks_of.run_chunks(spark, rows, path, work(), size=100) == [] and logged() == []
+    kept = {p.name: [f.name for f in p.iterdir()] for p in (tmp_path / "out").glob("chunk_id=[1456]")}
+    # One chunk is short, one is gone: these two are written again, and no others.
+    short = spark.read.parquet(f"{path}/chunk_id=2").limit(40).toPandas()
+    spark.createDataFrame(short).coalesce(1).write.mode("overwrite").parquet(f"{path}/chunk_id=2")
+    import shutil
+
+    shutil.rmtree(tmp_path / "out" / "chunk_id=3")
+    assert chunks_of.run_chunks(spark, rows, path, work(), size=100) == [2, 3] and logged() == list(range(200, 400))
+    assert kept == {p.name: [f.name for f in p.iterdir()] for p in (tmp_path / "out").glob("chunk_id=[1456]")}
+    assert [(r.row_index, r.response) for r in chunks_of.merged(spark, rows, path, size=100).collect()] == [(i, f"rp{i}") for i in range(700)]
+    with pytest.raises(ValueError, match="incomplete"):
+        chunks_of.run_chunks(spark, rows, str(tmp_path / "other"), lambda some: some.where("row_index <> 5"), size=100)
+
+
+def test_statistics_are_counted_while_writing(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "finish_reason").when(F.col("id") % 5 == 0, "odd").alias("reject_reason"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    scanned = rows.mapInPandas(count, rows.schema)
+    kept, facts = io.watch(scanned, rows=F.count("*"), **io.reason_counts(F.col("reject_reason"), validate.REASONS))
+    digests = io.publish(spark, {"kept": kept.where("reject_reason is null").select("id")}, str(tmp_path / "out"), watched={"kept": facts})
+    assert seen.value == 1000  # one scan for the rows, their digest and the counts
+    stats = io.statistics(spark, str(tmp_path / "out"))["kept"]
+    assert stats == {"rows": 1000, "finish_reason": 334, "malformed_structure": 0, "unparseable_answer": 0, "invalid_gold": 0, "wrong_prediction": 0, "accepted": 533, "other": 133}
+    assert digests["kept"] == io.multiset_digest(io.published(spark, str(tmp_path / "out"), "kept"))
 
 
 def test_metrics_files(spark, tmp_path):

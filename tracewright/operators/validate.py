@@ -27,6 +27,10 @@ def finished(reason: Column, lenient: bool = False) -> Column:
     return reason.isNull() | F.lower(tx.strip(reason)).isin("stop", "eos", "eos_token")
 
 
+#: What :func:`reject_reason` can say.
+REASONS = ("finish_reason", "malformed_structure", "unparseable_answer", "invalid_gold", "wrong_prediction")
+
+
 def reject_reason(gold: Column, finish: Column, parsed: Column, prediction: Column) -> Column:
     """The first failing check, null for usable trajectories."""
     complete = F.lit(True)

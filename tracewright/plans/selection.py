@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as tx
 from tracewright.operators import joins, metrics, packing, select, validate
 from tracewright.plans.traj import CLASSIFIED_SQL, TRAJ_SQL, component_labels, tables, trajectories
-from tracewright.sources.io import chunk_ids
+from tracewright.sources.chunks import chunk_ids
 
 
 def _classified(spark, sf_dir):

@@ -6,7 +6,7 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,14 +169,6 @@ def key_sum(value: Column) -> Column:
     return F.sum(F.when(value.isNotNull(), F.xxhash64(value)).cast("decimal(28,0)"))
 
 
-def multiset_digest(rows: DataFrame) -> str:
-    """A digest of all rows, with how often each comes, in any order: the number of rows, and sums of two hashes of each."""
-    body = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-    hashes = rows.select(F.xxhash64(body).alias("a"), F.xxhash64(F.lit("second"), body).alias("b"))
-    facts = hashes.agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in "ab"]).first()
-    return hashlib.sha256(f"{facts['n']}:{facts['a']}:{facts['b']}".encode()).hexdigest()
-
-
 # --- writing --------------------------------------------------------------------
 
 
@@ -229,10 +221,42 @@ def read_small(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def publish(spark: SparkSession, outputs: dict[str, DataFrame], path: str, overwrite: bool = False) -> dict[str, str]:
+def watch(rows: DataFrame, /, **aggregates: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and aggregates over them that are there once the rows have been written: counted on the way, without a scan of their own.
+
+    Filters behind do not change what is counted, as with rows that are rejected and not written.
+    """
+    seen = Observation()
+    return rows.observe(seen, *[c.alias(n) for n, c in aggregates.items()]), seen
+
+
+def reason_counts(reason: Column, reasons: tuple[str, ...]) -> dict[str, Column]:
+    """Aggregates for :func:`watch`: how many rows have each reason, none, and one that is not listed."""
+    counts = {r: F.count_if(reason == r) for r in reasons}
+    return counts | {"accepted": F.count_if(reason.isNull()), "other": F.count_if(~reason.isin(*reasons))}
+
+
+def _digest_of(rows: DataFrame) -> dict[str, Column]:
+    """Aggregates for a digest of all rows, with how often each comes, in any order: their number, and exact sums of two hashes of each."""
+    body = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    hashes = {"_a": F.xxhash64(body), "_b": F.xxhash64(F.lit("second"), body)}
+    return {"_n": F.count("*"), **{k: F.sum(h.cast("decimal(28,0)")) for k, h in hashes.items()}}
+
+
+def _digest(facts: dict) -> str:
+    return hashlib.sha256(f"{facts['_n']}:{facts['_a']}:{facts['_b']}".encode()).hexdigest()
+
+
+def multiset_digest(rows: DataFrame) -> str:
+    """A digest of all rows, with how often each comes, in any order."""
+    return _digest(rows.agg(*[c.alias(n) for n, c in _digest_of(rows).items()]).first().asDict())
+
+
+def publish(spark: SparkSession, outputs: dict[str, DataFrame], path: str, overwrite: bool = False, watched: dict[str, Observation] | None = None) -> dict[str, str]:
     """Write all outputs to a folder of their own, then make the manifest point there; published outputs are only replaced on demand.
 
-    Returns, and writes to the manifest, a content digest of each output (independent of row order). Readers
+    Returns, and writes to the manifest, a content digest of each output (independent of row order), taken while it is written. What
+    outputs :func:`watch` goes to the manifest as well, see :func:`statistics`. Readers
     (:func:`published`) see the old outputs until the manifest is renamed over the old one, then all new ones; the folder
     before is deleted after that.
     """
@@ -242,36 +266,26 @@ def publish(spark: SparkSession, outputs: dict[str, DataFrame], path: str, overw
         raise FileExistsError(path)
     run, digests = uuid.uuid4().hex, {}
     for name, rows in outputs.items():
+        rows, facts = watch(rows, **_digest_of(rows))
         rows.write.parquet(f"{path}/{run}/{name}")
-        digests[name] = multiset_digest(spark.read.parquet(f"{path}/{run}/{name}"))
-    write_stats(spark, {"run": run, "outputs": digests}, f"{path}/manifest.json")
+        digests[name] = _digest(facts.get)
+    write_stats(spark, {"run": run, "outputs": digests, "statistics": {n: o.get for n, o in (watched or {}).items()}}, f"{path}/manifest.json")
     if old:
         fs.delete(at(f"{path}/{old['run']}"), True)
     return digests
 
 
+def statistics(spark: SparkSession, path: str) -> dict[str, dict]:
+    """What was counted while the published outputs were written."""
+    manifest = read_stats(spark, f"{path}/manifest.json")
+    if not manifest:
+        raise FileNotFoundError(path)
+    return manifest["statistics"]
+
+
 def published(spark: SparkSession, path: str, name: str) -> DataFrame:
     """An output of :func:`publish`."""
     manifest = read_stats(spark, f"{path}/manifest.json")
     if not manifest or name not in manifest["outputs"]:
         raise FileNotFoundError(f"{path}: {name}")
     return spark.read.parquet(f"{path}/{manifest['run']}/{name}")
-
-
-def chunk_ids(rows: DataFrame, index: str = "row_index", size: int = 300) -> DataFrame:
-    """Rows with ``chunk_id``: ``size`` consecutive positions each."""
-    return rows.withColumn("chunk_id", F.floor(F.col(index) / size))
-
-
-def missing_chunks(rows: DataFrame, done: DataFrame) -> DataFrame:
-    """Chunks that are absent or incomplete in ``done``: ``(chunk_id, expected, have)``."""
-    want = rows.groupBy("chunk_id").agg(F.count("*").alias("expected"))
-    have = done.groupBy("chunk_id").agg(F.count("*").alias("have"))
-    return want.join(have, "chunk_id", "left").select("chunk_id", "expected", F.coalesce("have", F.lit(0)).alias("have")).where("have <> expected")
-
-
-def merge_chunks(rows: DataFrame, done: DataFrame) -> DataFrame:
-    """All chunks in order; raises if one is incomplete."""
-    if bad := missing_chunks(rows, done).limit(5).collect():
-        raise ValueError(f"incomplete chunks: {[tuple(r) for r in bad]}")
-    return done.orderBy("chunk_id", "row_index")
