@@ -1,4 +1,5 @@
 import re
+from pathlib import PurePosixPath
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -44,6 +45,40 @@ def test_lenient_tag_random(spark, texts):
     assert values(spark, texts, lambda c: tx.tag(c, "a")) == [lenient(t, "a") for t in texts]
 
 
+PARTS = [f"<{s}>" for s in tx.SECTIONS] + [f"</{s}>" for s in tx.SECTIONS] + ["<ANSWER>", "</Answer>", "<answer", "answer>", "/answer>", "<", ">", "x", " ", "\n", "　", "é", "<think>", "K", "\x1c"]
+
+
+def all_sections(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "_tags int, response string").withColumn("_CHUNKS", F.lit(1))
+    return [tuple(r.parsed) for r in tx.with_sections(rows).orderBy("_tags").collect()]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14).map("".join), min_size=60, max_size=120))
+def test_sections_random(spark, texts):
+    assert all_sections(spark, texts) == [tuple(lenient(t, s) for s in tx.SECTIONS) for t in texts]
+
+
+def test_sections(spark):
+    whole = "".join(f"<{s}> {s} 1 </{s}>" for s in tx.SECTIONS)
+    texts = [whole, whole[::-1], whole + whole, whole.upper(), whole.replace("1", "<answer>"), "<" * 200_000 + whole + "<" * 200_000, "a<" * 100_000, "answer>", "", "<integration><answer>x</answer></integration>"]
+    assert all_sections(spark, texts) == [tuple(lenient(t, s) for s in tx.SECTIONS) for t in texts]
+    assert all_sections(spark, [None]) == [(None,) * 5]
+
+
+def test_filters_pass_below_the_sections(spark):
+    rows = spark.createDataFrame([(1, "<answer>x</answer>", "stop")], "id int, response string, finish string")
+    plan = tx.with_sections(rows).where("finish = 'stop' and parsed.answer = 'x'")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)[0], plan.rsplit("Generate", 1)[1]
+    assert "parsed" in above or "_found" in above
+    assert "finish" in below and "Filter" in below and plan.count("regexp_extract_all") == 1
+
+
+def test_blanks_are_those_of_python(spark):
+    every = [c for c in map(chr, range(1, 0x10000)) if not "\ud800" <= c <= "\udfff"]
+    assert values(spark, [f"{c}x{c}" for c in every], tx.strip) == [f"{c}x{c}".strip() for c in every]
+
+
 def test_strict_tag_reasons(spark):
     texts = ["<a>x</a>", "x", "<a>x", "<a>x</a></a>", "</a><a>", "<a> \n </a>", "<A>x</A>"]
     want = [None, "a_open_count_0", "a_close_count_0", "a_close_count_2", "a_not_parseable", "a_empty", "a_open_count_0"]
@@ -58,6 +93,8 @@ def test_answer_errors(spark):
 def test_paths(spark):
     paths = ["/a/b.mp4", "b", "/a/b.tar.gz", "/a/.mp4", "a/b/", "x.wav"]
     assert values(spark, paths, tx.path_stem) == ["b", "b", "b.tar", ".mp4", "b", "x"]
+    odd = ["a.", "..a", "a..", "a.b.", "..a.b", ".a.b", "a..b", "a...b", "x/a.b/", ".a"]
+    assert values(spark, odd, tx.path_stem) == [PurePosixPath(p).stem for p in odd]
 
 
 def test_template(spark):

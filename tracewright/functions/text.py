@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The sections that a response must have, in order.
 SECTIONS = ("text_evidence", "audio_evidence", "visual_evidence", "integration", "answer")
 REASONING = SECTIONS[:4]
 
-#: What Python's str.strip() and \s take for blank.
+#: What Python's str.strip() and \s take for blank, as a class and as characters.
 _SPACE = r"(?U)[\s\x1c-\x1f]"
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without blanks of any script at both ends."""
-    return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def collapse(c: Column) -> Column:
@@ -40,9 +41,52 @@ def tag(text: Column, name: str) -> Column:
     return F.when((F.size(found) == 1) & (body != ""), body)
 
 
-def sections(text: Column) -> Column:
-    """All sections as a struct; each null unless it occurs exactly once and is not blank."""
-    return F.struct(*[tag(text, s).alias(s) for s in SECTIONS])
+_TAGS = "|".join(SECTIONS)
+#: Text up to and with the next opening or closing tag of a section, in any case, or up to the end. It never goes back over what it has read.
+_CHUNK = rf"(?i)[^<]*+(?:<(?!/?(?:{_TAGS})>)[^<]*+)*+(?:</?(?:{_TAGS})>|\z)"
+
+
+def with_sections(rows: DataFrame, response: str = "response", name: str = "parsed") -> DataFrame:
+    """The rows with a struct of all sections, each as :func:`tag` reads it, from one pass over the response.
+
+    The response is cut behind every tag once; sections are then found among the tags by their places. Each of the two
+    steps is a generator of one row, which the optimizer takes as it is: it neither copies the steps into later uses nor into
+    filters, while filters on other columns pass below them.
+    """
+    chunks, tags, found = (_unused(n, rows.columns) for n in ("_chunks", "_tags", "_found"))
+    out = rows.withColumn(chunks, F.explode(F.array(F.regexp_extract_all(F.col(response), F.lit(_CHUNK), F.lit(0)))))
+    # The tag at the end of a chunk, as "answer>" or "/answer>"; what follows the last tag has none.
+    out = out.withColumn(tags, F.transform(chunks, lambda c: F.when(c.contains("<"), F.lower(F.substring_index(c, "<", -1))).otherwise("")))
+    bodies = F.transform(F.array(*[F.lit(s) for s in SECTIONS]), lambda s: _body(s, F.col(tags), F.col(chunks)))
+    out = out.withColumn(found, F.explode(F.array(bodies)))
+    parsed = F.struct(*[F.get(found, F.lit(i)).alias(s) for i, s in enumerate(SECTIONS)])
+    return out.withColumn(name, parsed).drop(chunks, tags, found)
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _body(section: Column, tags: Column, chunks: Column) -> Column:
+    """The body of a section that opens and closes once: what lies between its first opening tag and the next closing one."""
+    opening, closing = F.concat(section, F.lit(">")), F.concat(F.lit("/"), section, F.lit(">"))
+    behind = lambda a, i: F.slice(a, i + 1, F.size(a))
+
+    def cut(first, rest, last):
+        more = behind(rest, last)
+        again = (F.array_position(more, opening) > 0) & (F.array_position(behind(more, F.array_position(more, opening)), closing) > 0)
+        whole = F.array_join(F.slice(chunks, first + 1, last.cast("int")), "")
+        body = strip(F.left(whole, F.length(whole) - F.length(closing) - 1))
+        return F.when((first > 0) & (last > 0) & ~again, F.nullif(body, F.lit("")))
+
+    return _let(F.array_position(tags, opening), lambda first: _let(behind(tags, first), lambda rest: _let(F.array_position(rest, closing), lambda last: cut(first, rest, last))))
 
 
 def strict_tag_error(text: Column, names: tuple[str, ...] = SECTIONS) -> Column:
@@ -222,8 +266,8 @@ def preview(text: Column, limit: int = 70) -> Column:
 
 
 def path_stem(path: Column) -> Column:
-    """The last component without its last suffix; a leading dot is no suffix."""
-    return F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?/*$", 1)
+    """The last component without its last suffix; a dot that begins or ends it begins no suffix."""
+    return F.regexp_extract(path, r"([^/]+?)(\.[^./]+)?/*$", 1)
 
 
 def numeric_id(value: Column) -> Column:

@@ -10,14 +10,8 @@ from tracewright.session import durable
 
 
 def parse_trajectories(rows: DataFrame, response: str = "response") -> DataFrame:
-    """The rows with a struct ``parsed`` of their sections and the label ``prediction``.
-
-    Sections are read once for each row. The optimizer would copy the patterns into every later use of a section, and
-    into filters; it leaves alone what depends on the place of a row, so reading is tied to a test of it that always holds.
-    """
-    always = F.monotonically_increasing_id() >= 0
-    out = rows.withColumn("parsed", F.when(always, tx.sections(F.col(response))))
-    return out.withColumn("prediction", F.when(always, tx.answer_label(F.col("parsed.answer"), "lenient")))
+    """The rows with a struct ``parsed`` of their sections, read in one pass, and the label ``prediction``."""
+    return tx.with_sections(rows, response).withColumn("prediction", tx.answer_label(F.col("parsed.answer"), "lenient"))
 
 
 def finished(reason: Column, lenient: bool = False) -> Column:

@@ -148,7 +148,7 @@ ORACLES = {
     "reasoning_rebuild": f"with {CLASSIFIED_SQL} select raw_index, reasoning from cl",
     "canonical_target": f"with {CLASSIFIED_SQL} select raw_index, target from usable",
     "completeness": f"with {TRAJ_SQL} select raw_index, contains(response, '</text_evidence>') and contains(response, '</audio_evidence>') and contains(response, '</visual_evidence>') and contains(response, '</integration>') and contains(response, '</answer>') as complete from traj",
-    "path_stem": "select page_id, regexp_extract(regexp_extract(url, '^[^?#]*'), '([^/]+?)(\\.[^./]*)?/*$', 1) as stem from pages",
+    "path_stem": "select page_id, regexp_extract(regexp_extract(url, '^[^?#]*'), '([^/]+?)(\\.[^./]+)?/*$', 1) as stem from pages",
     "source_id_recover": """select doc_id, case doc_id % 3 when 0 then md5(cast(doc_id as varchar)) when 1 then 'id' || doc_id else 'v' || doc_id || '.x' end as plain,
  case doc_id % 3 when 1 then 'id' || doc_id else 'v' || doc_id || '.x' end as no_hashes from documents""",
     "last_assistant": "select conv_id, arg_max(text, turn) filter (role = 'assistant') as assistant, arg_max(text, turn) filter (role = 'user') as \"user\" from conversations group by 1",
