@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import corpus, empty, frame, lower, words
-from tracewright.llm import exact_dedup, near_dedup, substring_dedup, tokens
+from tracewright.llm import components, exact_dedup, near_dedup, substring_dedup, tokens
 from tracewright.llm.components import connected, forest
 
 
@@ -247,7 +247,9 @@ def test_near_edges(spark):
         near_dedup.find_near_duplicates(empty(spark), percent=70)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bits", [20, 6])
+def test_components(spark, bits, monkeypatch):
+    monkeypatch.setattr(components, "TASK_BITS", bits)
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 400, 350), rng.integers(0, 400, 350)
     links = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)] + [(i, i + 1) for i in range(1000, 1100)], "a long, b long").repartition(5)

@@ -4,7 +4,8 @@ A round has two steps. Every partition of links is contracted by a union-find of
 own, so that each vertex there has one link, to the smallest vertex it reaches; then
 links are dealt by their larger end, where a vertex meets the parents that other
 partitions found for it. After that, parents are replaced by their own parents
-(one join, whose large side may be split). It ends when nothing changes any more.
+(one join, whose large side may be split). It ends when nothing changes any more. Links that
+fit into one partition need no round.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from tracewright.llm.shared import durable, map_arrow, parallelism
 
 
+#: A task contracts two to this power links at most, 16 MB.
+TASK_BITS = 20
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(vertex, root)`` for every vertex but the roots; roots are the smallest of their tree."""
     ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -61,11 +66,14 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Links are read twice, so they had better be checkpointed.
     """
-    # A task holds some million vertices at most.
-    n = max(parallelism(links.sparkSession), links.count() >> 20)
+    count = links.count()
     schema = "v long, root long, changed boolean"
-    # In no more parts than later on, as a vertex of very many links has one for each part.
-    tree = map_arrow(links.where(F.col("a") != F.col("b")).coalesce(n), _contract, schema)
+    # A task holds a million links at most, and no task is begun for fewer: a vertex of very many links has one for each part.
+    parts = (count >> TASK_BITS) + 1
+    tree = map_arrow(links.where(F.col("a") != F.col("b")).coalesce(parts), _contract, schema)
+    if parts == 1:
+        return durable(tree.select("v", "root"))
+    n = max(parallelism(links.sparkSession), parts)
     for _ in range(rounds):
         met = durable(map_arrow(tree.select("v", "root").repartition(n, "v"), _contract, schema))
         parent = met.select(F.col("v").alias("p"), F.col("root").alias("up"))
