@@ -83,10 +83,18 @@ class Patterns:
             ok = left < right
             less[ok] = self.whole[mid[ok]] < whole[ok]
             left, right = np.where(ok & less, mid + 1, left), np.where(ok & ~less, mid, right)
-        hit = left < hi
-        hit[hit] = self.whole[left[hit]] == whole[hit]
-        at, which = at[hit], left[hit]
-        return self.confirmed(w, at, which)
+        # Patterns of one hash follow each other; all of them are compared.
+        places, patterns = [], []
+        while len(at):
+            hit = left < hi
+            hit[hit] = self.whole[left[hit]] == whole[hit]
+            at, left, hi, whole = at[hit], left[hit], hi[hit], whole[hit]
+            places.append(at)
+            patterns.append(left)
+            left = left + 1
+        at, which = np.concatenate(places), np.concatenate(patterns)
+        order = np.argsort(at, kind="stable")
+        return self.confirmed(w, at[order], which[order])
 
     def confirmed(self, w, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the places and patterns those whose words are the same bytes."""
@@ -204,6 +212,24 @@ def _blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_
         yield benchmark.sparkSession.sparkContext.broadcast(compile_patterns([(r[0], r[1]) for r in mine], window))
 
 
+#: Blocks whose tables executors hold at a time.
+AT_ONCE = 4
+
+
+def _in_turn(rows: DataFrame, blocks: Iterator, step) -> DataFrame:
+    """``step(rows, compiled)`` for each block. After a few blocks what there is is written, and their tables leave the executors."""
+    held: list = []
+    for compiled in blocks:
+        if len(held) == AT_ONCE:
+            rows = durable(rows)
+            for old in held:
+                old.unpersist()
+            held = []
+        rows = step(rows, compiled)
+        held.append(compiled)
+    return rows
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -227,8 +253,7 @@ def find_contamination(
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("key").isNotNull())
     schema = f"key {rows.schema['key'].dataType.simpleString()}, text string, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     out = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for compiled in _blocks(benchmark, item, item_text, window, block_words):
-        out = map_arrow(out, _searcher(compiled), schema)
+    out = _in_turn(out, _blocks(benchmark, item, item_text, window, block_words), lambda rows, compiled: map_arrow(rows, _searcher(compiled), schema))
     return out.select(F.col("key").alias(key), "n_words", "spans", "items")
 
 
@@ -259,8 +284,8 @@ def decontaminate(
     """
     names = [f"_k{i}" for i in range(len(docs.columns))]
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    for compiled in _blocks(benchmark, item, item_text, window, block_words):
-        rows = map_arrow(rows, _keeper(compiled), rows.schema)
+    kind = rows.schema
+    rows = _in_turn(rows, _blocks(benchmark, item, item_text, window, block_words), lambda some, compiled: map_arrow(some, _keeper(compiled), kind))
     return rows.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 

@@ -246,7 +246,7 @@ def _trainer(net: Network, table: np.ndarray, share: int, shares: int, rate: flo
                     trainer.step(context[:, some], classes[some])
                 done += len(chosen)
         if done:
-            flat, me = trainer.net.flat().astype(np.float32), TaskContext.get().partitionId()
+            flat, me = trainer.net.flat().astype(np.float32).astype(float) * done, TaskContext.get().partitionId()
             parts = [flat[i : i + _SLICE].tobytes() for i in range(0, len(flat), _SLICE)]
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
@@ -256,17 +256,43 @@ def _trainer(net: Network, table: np.ndarray, share: int, shares: int, rate: flo
     return run
 
 
-def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted sums of each slice, in the order of partitions."""
-    rows: dict[int, list] = {}
+#: So many partitions' slices are added one after another, on each of two levels.
+FAN_IN = 1024
+SLICES = "part int, who long, n long, body binary"
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of consecutive rows with one part and ``who``, whose bodies are weighted already; only the running sum is held."""
+    now, total, weight = None, None, 0
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "who", "n", "body"])
+
     for x in batches:
-        for part, who, n, body in zip(*(x.column(i).to_pylist() for i in range(4))):
-            rows.setdefault(part, []).append((who, n, body))
-    for part, some in rows.items():
-        total, weight = 0.0, 0
-        for _, n, body in sorted(some, key=lambda r: r[0]):
-            total, weight = total + n * np.frombuffer(body, np.float32).astype(float), weight + n
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["part", "body"])
+        for part, who, n, body in zip(*(x.column(i) for i in range(4))):
+            key, values = (part.as_py(), who.as_py()), np.frombuffer(body.as_py(), float)
+            if key != now:
+                if now is not None:
+                    yield row()
+                now, total, weight = key, np.zeros(len(values)), 0
+            total, weight = total + values, weight + n.as_py()
+    if now is not None:
+        yield row()
+
+
+def add_slices(sent: DataFrame) -> DataFrame:
+    """``(part, who, n, body)``: the sums of each slice over all partitions (``who``), in their order.
+
+    Partitions are added in groups of :data:`FAN_IN`, then those groups: one row of each slice is left for up to a million partitions.
+    A group's slices stream through one task, which holds the running sum alone.
+    """
+    n = parallelism(sent.sparkSession)
+    for _ in range(2):
+        # By group first, then in the order of those who sent: sums do not depend on how rows arrive.
+        grouped = sent.withColumn("group", F.floor(F.col("who") / FAN_IN))
+        dealt = grouped.repartition(n, "part", "group").sortWithinPartitions("part", "group", "who")
+        sent = map_arrow(dealt.select("part", F.col("group").alias("who"), "n", "body"), _add, SLICES)
+    return sent
 
 
 def train(
@@ -281,10 +307,13 @@ def train(
     net = fresh(by_class, hidden, seed)
     rounds = math.ceil(1 / mask)
     for r in range(rounds):
-        sent = map_arrow(rows, _trainer(net, table, r, rounds, rate, batch_size), "part int, who long, n long, body binary")
-        mean = map_arrow(sent.repartition(parallelism(docs.sparkSession), "part"), _average, "part int, body binary").collect()  # one network
-        if mean:
-            net = net.like(np.concatenate([np.frombuffer(x["body"], np.float32) for x in sorted(mean, key=lambda x: x["part"])]))
+        sent = map_arrow(rows, _trainer(net, table, r, rounds, rate, batch_size), SLICES)
+        sums: dict[int, list] = {}  # one network
+        for x in sorted(add_slices(sent).collect(), key=lambda x: (x["part"], x["who"])):
+            sums.setdefault(x["part"], []).append((np.frombuffer(x["body"], float), x["n"]))
+        if sums:
+            mean = [sum(b for b, _ in some) / sum(n for _, n in some) for some in sums.values()]
+            net = net.like(np.concatenate(mean).astype(np.float32))
     return net, table
 
 
