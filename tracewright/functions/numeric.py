@@ -18,9 +18,11 @@ def linear_factor(step: int, total: int, zero: float, full: float) -> float:
     return min(1.0, max(0.0, (step / total - zero) / (full - zero)))
 
 
-def linear_factor_col(step: Column, total: int, zero: float, full: float) -> Column:
-    linear_factor(0, total, zero, full)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (step / F.lit(float(total)) - F.lit(zero)) / F.lit(full - zero)))
+def linear_factor_col(step: Column, total: int | Column, zero: float, full: float) -> Column:
+    """The same for columns; ``total`` may be a number or a column."""
+    linear_factor(0, 1 if isinstance(total, Column) else total, zero, full)
+    of = total.cast("double") if isinstance(total, Column) else F.lit(float(total))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (step / of - F.lit(zero)) / F.lit(full - zero)))
 
 
 def phase(factor: Column) -> Column:

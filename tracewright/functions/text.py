@@ -219,7 +219,7 @@ def fill(template: Column, values: dict[str, Column], required: bool = False) ->
 
 def transcript_line(message: Column) -> Column:
     """The rest of the first line that starts a transcript, unquoted; null without one."""
-    found = F.regexp_extract(message, r"""(?is)(?:transcript|utterance|text)\s*:\s*["']?(.+?)["']?(?:\n|\z)""", 1)
+    found = F.regexp_extract(message, r"""(?isU)(?:transcript|utterance|text)\s*:\s*["']?(.+?)["']?(?:\n|\z)""", 1)
     return F.nullif(strip(found), F.lit(""))
 
 
@@ -240,7 +240,7 @@ def transcript(message: Column, *direct: Column, required: bool = False) -> Colu
     Null without any, or an error with ``required``.
     """
     filled = lambda c: F.nullif(strip(c), F.lit(""))
-    tries = [*[filled(c) for c in direct], *[filled(F.regexp_extract(message, "(?is)" + p, 1)) for p in TRANSCRIPTS]]
+    tries = [*[filled(c) for c in direct], *[filled(F.regexp_extract(message, "(?isU)" + p, 1)) for p in TRANSCRIPTS]]
     if required:
         tries.append(F.raise_error(F.concat(F.lit("no transcript in: "), preview(F.coalesce(message, F.lit(""))))).cast("string"))
     return F.coalesce(*tries)

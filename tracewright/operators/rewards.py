@@ -34,6 +34,22 @@ def needs_judge(parsed: Column, gold: Column) -> Column:
     return (accuracy_reward(parsed, gold) == 1.0) & tx.reasoning(parsed).isNotNull()
 
 
+def input_error(transcript: Column, audio: Column, video: Column) -> Column:
+    """What a completion's input lacks for a judge, null if nothing: a transcript that is not blank, and names of an audio and a video file (lists)."""
+    first = lambda files: F.nullif(tx.strip(F.get(files, F.lit(0))), F.lit(""))
+    return (
+        F.when(F.coalesce(tx.strip(transcript), F.lit("")) == "", "missing_transcript")
+        .when(first(audio).isNull(), "missing_audio")
+        .when(first(video).isNull(), "missing_video")
+    )
+
+
+def require_inputs(rows: DataFrame, transcript: str = "transcript", audio: str = "audios", video: str = "videos") -> DataFrame:
+    """The rows, unchanged; one whose input is not complete raises when it is read, whether its reward needs a judge or not."""
+    error = input_error(F.col(transcript), F.col(audio), F.col(video))
+    return rows.where(F.when(error.isNull(), True).otherwise(F.raise_error(F.concat(F.lit("input of a completion: "), error)).cast("boolean")))
+
+
 def gated_reward(parsed: Column, gold: Column, raw: Column) -> Column:
     """The raw grounding score of correct, complete completions, 0 for others; raises where a needed score is missing."""
     score = F.when(raw.isNull(), F.raise_error(F.lit("no judgement for a completion that needs one")).cast("double")).otherwise(raw)
@@ -103,9 +119,9 @@ def total_reward(accuracy: Column, form: Column, grounding: Column, weights: dic
     return accuracy * weights["accuracy"] + form * weights["format"] + grounding * weights["grounding"]
 
 
-def logged_steps(rows: DataFrame, every: int, step: str = "step", phase: str = "phase") -> DataFrame:
-    """Snapshots worth keeping: the first, each change of phase, and every ``every``-th step. One run's steps."""
-    w = Window.partitionBy(F.lit(0)).orderBy(step)
+def logged_steps(rows: DataFrame, every: int, run: str, step: str = "step", phase: str = "phase") -> DataFrame:
+    """Snapshots worth keeping of each run: the first, each change of phase, and every ``every``-th step."""
+    w = Window.partitionBy(run).orderBy(step)
     before = F.lag(phase).over(w)
     return rows.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col(phase)) | (F.col(step) % every == 0)).drop("_b")
 

@@ -86,6 +86,24 @@ def judge_verdicts(spark, sf_dir):
     return d.groupBy(F.col("v.verdict").alias("verdict"), F.col("v.issue").alias("issue"), F.col("v.evidence").alias("evidence"), F.col("v.parse_ok").alias("parse_ok")).agg(F.count("*").alias("n"))
 
 
+#: Verdicts in 6 x 4 x 3 x 2 x 3 shapes, by digits of the document's length: the word, quotes as in JSON or as in Python, what stands around, an issue, and evidence.
+_VARIED = """
+select doc_id, case p when 0 then body when 1 then concat('So:', chr(10), '```json', chr(10), body, chr(10), '```') else concat('Well. ', body, ' That is all.') end as raw from (
+ select *, concat('{', qs, 'verdict', qs, ': ', qs, word, qs, case when i = 1 then concat(', ', qs, 'issue', qs, ': ', qs, 'hallucination ', qs) else '' end,
+  case e when 1 then concat(', ', qs, 'evidence', qs, ': ', qs, source, ' in ', lang, qs) when 2 then concat(', ', qs, 'evidence', qs, case when q = 3 then ': None' else ': null' end) else '' end, '}') as body from (
+ select doc_id, coalesce(source, 'none') as source, coalesce(lang, 'none') as lang, cast(floor(n_chars / 6) as bigint) % 4 as q, cast(floor(n_chars / 24) as bigint) % 3 as p,
+  cast(floor(n_chars / 72) as bigint) % 2 as i, cast(floor(n_chars / 144) as bigint) % 3 as e, case when cast(floor(n_chars / 6) as bigint) % 4 = 3 then chr(39) else '"' end as qs,
+  case n_chars % 6 when 0 then 'SUPPORTED' when 1 then 'supported' when 2 then ' Unsupported ' when 3 then 'UNSUPPORTED' when 4 then 'Maybe' else 'NONE' end as word from documents) a) b
+"""
+
+
+def varied_verdicts(spark, sf_dir):
+    """Verdicts in hundreds of shapes, with names from their documents."""
+    tables(spark, sf_dir, "documents")
+    read = judge_json.verdict_udf(drift=True)(F.col("raw"))
+    return spark.sql(_VARIED).select("doc_id", read.alias("v")).select("doc_id", "v.verdict", "v.issue", "v.evidence", "v.parse_ok")
+
+
 def first_finite(spark, sf_dir):
     k = F.col("doc_id")
     a = F.when(k % 3 == 0, F.lit("NaN")).when(k % 3 == 1, F.lit("x")).otherwise((k % 10).cast("string"))
@@ -106,7 +124,7 @@ def payload_size(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (gold_labels, media_checks, length_guard, media_fallback, kept_and_rejected, invariants, quality_scores, judge_verdicts, first_finite, progress, payload_size)
+    for f in (gold_labels, media_checks, length_guard, media_fallback, kept_and_rejected, invariants, quality_scores, judge_verdicts, varied_verdicts, first_finite, progress, payload_size)
 }
 
 _BAD = "doc_id % 7 in (3, 4, 5)"
@@ -123,6 +141,9 @@ ORACLES = {
  case doc_id % 7 when 3 then 'unfinished_thinking' when 4 then 'invalid_json' when 5 then 'invalid_text_value' end as error from documents""",
     "judge_verdicts": """with k as (select doc_id % 7 as k from documents) select case when k in (0, 2, 5) then 'SUPPORTED' when k in (1, 3, 4) then 'UNSUPPORTED' end as verdict,
  case k when 0 then 'NONE' when 1 then 'MISATTRIBUTION' when 2 then 'NONE' when 4 then 'HALLUCINATED_CUE' when 5 then 'NONE' end as issue, case when k = 0 then 'e' end as evidence, k <> 6 as parse_ok, count(*) as n from k group by all""",
+    "varied_verdicts": """with k as (select doc_id, n_chars % 6 as w, n_chars // 72 % 2 = 1 as named, n_chars // 144 % 3 as e, coalesce(source, 'none') || ' in ' || coalesce(lang, 'none') as said from documents),
+ v as (select *, case when w < 2 then 'SUPPORTED' when w < 5 or named then 'UNSUPPORTED' end as verdict from k)
+ select doc_id, verdict, case when w = 4 then 'MAYBE' when named then 'HALLUCINATED_CUE' when verdict is not null then 'NONE' end as issue, case when verdict is not null and e = 1 then said end as evidence, verdict is not null as parse_ok from v""",
     "first_finite": "select doc_id, cast(case when doc_id % 3 = 2 then doc_id % 10 when doc_id % 2 = 1 then doc_id % 7 else -1 end as double) as value from documents",
     "progress": "select doc_id, cast(floor(doc_id % 50 * 100 / 50) as bigint) as percent, case when doc_id % 50 > 0 then cast(floor((50 - doc_id % 50) * (n_chars % 1000) / cast(doc_id % 50 as double)) as bigint) end as eta from documents",
     "payload_size": """select doc_id, concat('{"TRANSCRIPT":"', lang, '","CANDIDATE_SECTIONS":{"text":"', source, '","audio":"', source, '","visual":"', source, '"}}') as payload from documents""",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.numeric import grounding, linear_factor, linear_factor_col, phase
 from tracewright.operators import rewards, validate
-from tracewright.plans.traj import CLASSIFIED_SQL, LABELS_SQL, component_labels, trajectories
+from tracewright.plans.traj import CLASSIFIED_SQL, LABELS_SQL, component_labels, tables, trajectories
 
 
 def _rows(spark, sf_dir):
@@ -61,13 +62,26 @@ def trust_stats(spark, sf_dir):
 
 
 def schedule(spark, sf_dir):
-    steps = spark.range(0, 842).select(F.col("id").alias("step"))
-    factor = linear_factor_col(F.col("step"), 841, 0.1, 0.4)
-    out = steps.select("step", F.round(factor, 6).alias("factor"), phase(factor).alias("phase"))
-    return rewards.logged_steps(out, 25)
+    """Each user's events as the steps of a run: its factor by the step's share of the run, and the steps that are logged."""
+    tables(spark, sf_dir, "events")
+    run = Window.partitionBy("user_id")
+    steps = spark.table("events").select("user_id", (F.row_number().over(run.orderBy("event_id")) - 1).alias("step"), F.count("*").over(run).alias("total"))
+    factor = linear_factor_col(F.col("step"), F.col("total"), 0.1, 0.4)
+    out = steps.select("user_id", "step", F.round(factor, 6).alias("factor"), phase(factor).alias("phase"))
+    return rewards.logged_steps(out, 25, "user_id")
 
 
-QUERIES = {f.__name__: f for f in (reward_accuracy, reward_format, reward_gated, reward_linear, reward_total, reward_trust, trust_stats, schedule)}
+def reward_inputs(spark, sf_dir):
+    """What inputs lack, where transcripts, audio and video names are missing or blank in some."""
+    tables(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    transcript = F.when(k % 7 == 0, F.lit(" \u3000")).when(k % 11 != 0, F.col("text"))
+    audio = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 5 == 1, F.array(F.lit(""))).otherwise(F.array("source"))
+    video = F.when(k % 3 > 0, F.array("lang"))
+    return spark.table("documents").select("doc_id", rewards.input_error(transcript, audio, video).alias("error"))
+
+
+QUERIES = {f.__name__: f for f in (reward_accuracy, reward_format, reward_gated, reward_linear, reward_total, reward_trust, trust_stats, schedule, reward_inputs)}
 
 _ROWS = f"""{CLASSIFIED_SQL}, {LABELS_SQL}, rw as (select raw_index, gold, reasoning, (lab.text + audio + visual) / 3.0::double as raw,
  case when lower(answer) = 'sarcasm' and gold = 1 or lower(answer) = 'non-sarcasm' and gold = 0 then 1.0::double else 0.0::double end as acc,
@@ -87,7 +101,9 @@ ORACLES = {
     "trust_stats": f"""with {_TRUST} select count(*) as groups, count(*) filter (group_type = 'all_wrong') as n_all_wrong, count(*) filter (group_type = 'all_correct') as n_all_correct,
  count(*) filter (group_type = 'trusted') as n_trusted, count(*) filter (group_type = 'untrusted') as n_untrusted, count(*) filter (group_type = 'unscorable') as n_unscorable,
  round(count(*) filter (group_type = 'trusted') / cast(count(*) as double), 6) as trusted_rate, round(min(delta), 6) as min_delta, round(avg(delta), 6) as mean_delta, round(max(delta), 6) as max_delta from t""",
-    "schedule": """with s as (select range as step, greatest(0.0::double, least(1.0::double, (range / 841.0::double - 0.1::double) / (0.4::double - 0.1::double))) as f from range(0, 842)),
- p as (select step, round(f, 6) as factor, case when f = 0 then 'zero' when f = 1 then 'full' else 'ramp' end as phase from s)
- select * from p qualify lag(phase) over (order by step) is distinct from phase or step % 25 = 0""",
+    "schedule": """with e as (select user_id, cast(row_number() over (partition by user_id order by event_id) - 1 as integer) as step, count(*) over (partition by user_id) as total from events),
+ s as (select user_id, step, greatest(0.0::double, least(1.0::double, (step / total::double - 0.1::double) / (0.4::double - 0.1::double))) as f from e),
+ p as (select user_id, step, round(f, 6) as factor, case when f = 0 then 'zero' when f = 1 then 'full' else 'ramp' end as phase from s)
+ select * from p qualify lag(phase) over (partition by user_id order by step) is distinct from phase or step % 25 = 0""",
+    "reward_inputs": """select doc_id, case when doc_id % 7 = 0 or doc_id % 11 = 0 or trim(text) = '' then 'missing_transcript' when doc_id % 5 < 2 then 'missing_audio' when doc_id % 3 = 0 then 'missing_video' end as error from documents""",
 }

@@ -50,8 +50,12 @@ def done_ids(spark: SparkSession, path: str, key: str = "judge_id", failed_too:
 def read_pool(spark: SparkSession, path: str, schema: str, required: tuple[str, ...], key: str = "judge_id") -> DataFrame:
     """A pool of candidates: required fields set and not blank, keys unique, at least one row."""
     rows = read_jsonl(spark, path, schema)
-    facts = rows.agg(F.count("*").alias("n"), F.count_distinct(key).alias("k"), *[F.count_if(F.col(c).isNull() | (F.btrim(F.col(c).cast("string")) == "")).alias(c) for c in required]).first()
-    wrong = [c for c in required if facts[c]]
+    # Counted by key first: partial counts move, and the number of keys is the number of groups.
+    blank = [F.count_if(F.col(c).isNull() | (F.btrim(F.col(c).cast("string")) == "")).alias(f"blank{i}") for i, c in enumerate(required)]
+    by_key = rows.groupBy(key).agg(F.count("*").alias("rows"), *blank)
+    sums = [F.coalesce(F.sum(f"blank{i}"), F.lit(0)).alias(f"blank{i}") for i in range(len(required))]
+    facts = by_key.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.count(key).alias("k"), *sums).first()
+    wrong = [c for i, c in enumerate(required) if facts[f"blank{i}"]]
     if not facts["n"] or facts["n"] != facts["k"] or wrong:
         raise ValueError(f"{facts['n']} rows, {facts['k']} keys, blank: {wrong}")
     return rows
