@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import corpus, empty, frame, words
+from tests.llm.helpers import LONG, corpus, empty, frame, words
 from tracewright.llm import lm_score, mixing, quality
 
 # --- mixing -----------------------------------------------------------------------------
@@ -262,6 +262,17 @@ def test_scores_of_nothing(spark):
     assert lm_score.score_documents(frame(spark, [None, ""])).where("log_likelihood = 0").count() == 2
 
 
+def test_scores_of_odd_rows(spark):
+    """Null and repeated keys, equal texts and a very long one."""
+    texts = ["a b c", "a b c", None, LONG, "a b c", ""]
+    rows = lm_score.score_documents(frame(spark, texts, [7, 7, None, 4, None, 5])).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_tokens) for r in rows if r.doc_id is not None) == [(False, 4, 30_000), (False, 5, 0), (False, 7, 3), (False, 7, 3)]
+    assert sorted(r.n_tokens for r in rows if r.doc_id is None) == [0, 3]
+    assert len({round(r.log_likelihood, 6) for r in rows if r.n_tokens == 3}) == 1
+    long = next(r for r in rows if r.n_tokens == 30_000)
+    assert long.mean_log_likelihood == pytest.approx(long.log_likelihood / 30_000) and long.log_likelihood < 0
+
+
 def test_scores_tell_words_of_a_class_apart(spark, monkeypatch):
     """Words add log P(word | class) by exact counts, at hand or joined; unseen words get less than any seen one."""
     import pyarrow as pa

@@ -17,4 +17,4 @@ def test_query_equals_oracle(spark, con, name):
 
 
 def test_all_are_there():
-    assert {q.split("_")[0] for q in catalog.QUERIES} == {f"op{n}" for n in range(1, 14)}
+    assert {q.split("_")[0] for q in catalog.QUERIES if q.startswith("op")} == {f"op{n}" for n in range(1, 14)}

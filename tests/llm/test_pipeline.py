@@ -80,6 +80,24 @@ def test_run(spark, stages):
     assert sorted((r.doc_id, r.taken) for r in got) == [(r.doc_id, r.taken) for r in stages[-1][1]]
 
 
+def test_stages_that_have_been_read_go(spark, monkeypatch):
+    """The mix is what stays; a run that fails leaves nothing."""
+    from pathlib import Path
+
+    top = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    folders = lambda: {p for p in top.glob("pipeline-*/*") if p.is_dir()}
+    before = folders()
+    same = [(n, lambda s, d, f: d.where("doc_id < 9")) for n, _ in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", same)
+    assert corpus_pipeline.run(spark, SF).count() == 9
+    assert [p.name for p in folders() - before] == ["4-mixing"]
+    before = folders()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*same[:2], ("bad", lambda s, d, f: d.where("no_such_column = 1"))])
+    with pytest.raises(Exception, match="no_such_column"):
+        corpus_pipeline.run(spark, SF)
+    assert folders() == before
+
+
 def odd_documents(spark, sf):
     """The documents with repeated rows, nulls in every column, a very long text and columns of names that operators use."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -1,6 +1,7 @@
 """Sums and tables that must not grow with partitions or blocks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ def test_slices_of_many_partitions(spark, monkeypatch, fan_in):
 
 def test_one_slice_is_held(monkeypatch):
     """Ten thousand slices stream through one running sum."""
-    import pyarrow as pa
-
     seen = []
 
     def batches():
@@ -47,11 +46,13 @@ def test_one_slice_is_held(monkeypatch):
 def test_all_patterns_of_one_hash(monkeypatch):
     """Were all hashes of patterns equal, every pattern would still be found."""
     words = [[b"a", b"b"], [b"c", b"d"], [b"e", b"f"]]
-    hashes = np.array([word_hashes(words_of(__import__("pyarrow").array([b" ".join(p).decode()]), SYMBOL_BYTES, True)) for p in words])
+    hashes = np.array([word_hashes(words_of(pa.array([b" ".join(p).decode()]), SYMBOL_BYTES, True)) for p in words])
     monkeypatch.setattr(decontaminate, "grams_rows", lambda h: np.zeros(len(h), np.uint64))
     monkeypatch.setattr(decontaminate, "grams", lambda h, k: np.zeros(max(len(h) - k + 1, 0), np.uint64))
     patterns = decontaminate.Patterns(2, hashes, words, [[0], [1], [2]])
-    w = words_of(__import__("pyarrow").array(["x a b c d", "e f a b"]), SYMBOL_BYTES, True)
+    w = words_of(pa.array(["x a b c d", "e f a b"]), SYMBOL_BYTES, True)
+    nothing = words_of(pa.array(["a", "b", None]), SYMBOL_BYTES, True)  # windows only across texts
+    assert [len(x) for x in patterns.search(nothing, word_hashes(nothing))] == [0, 0]
     at, which = patterns.search(w, word_hashes(w))
     assert [(int(p), patterns.items[i]) for p, i in zip(at, which)] == [(1, [0]), (3, [1]), (5, [2]), (7, [0])]
 

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import corpus, empty, frame, lower
+from tests.llm.helpers import LONG, corpus, empty, frame, lower
 from tracewright.llm import decontaminate, line_dedup, pii, url_filter
 from tracewright.llm.pii import KINDS
 
@@ -62,6 +62,14 @@ def test_contamination_edges(spark):
     assert decontaminate.decontaminate(empty(spark), one).count() == 0
 
 
+def test_contamination_of_a_very_long_text(spark):
+    bench = spark.createDataFrame([("a", "one two three four five six seven eight nine ten"), ("w", "word word word")], "item_id string, text string")
+    passage = " one two three four five six seven eight nine ten "
+    texts = [LONG, LONG + passage + LONG, passage + "word " * 2]
+    got = {r.doc_id: r for r in decontaminate.find_contamination(frame(spark, texts), bench).collect()}
+    assert {i: (r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) for i, r in got.items()} == {0: (30_000, 30_000, ["w"]), 1: (60_010, 60_010, ["a", "w"]), 2: (12, 10, ["a"])}
+
+
 def test_repeated_rows_are_searched_one_by_one_whatever_the_blocks(spark):
     words = [f"w{i}" for i in range(400)]
     bench = spark.createDataFrame([("long", " ".join(words)), ("b", " ".join(words[100:130]))], "item_id string, text string")
@@ -217,6 +225,14 @@ def test_urls(spark):
     assert url_filter.judge_urls(rows.limit(0)).count() == 0
 
 
+def test_odd_pages(spark):
+    """Null and repeated keys, repeated rows, a very long URL and very long HTML."""
+    long = "http://a.example.org/es/" + "x" * 300_000
+    rows = [(None, long, None), (None, None, None), (1, "https://q.com/de/1", "<a href='http://z.net/'>" * 20_000), (1, "https://q.com/de/1", "<a href='http://z.net/'>" * 20_000), (1, "http://z.net/", "")]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.host, len(r.path), r.verdict) for r in got) == [(0, "", 0, "allow"), (0, "a.example.org", 300_004, "block"), (1, "q.com", 5, "block"), (1, "q.com", 5, "block"), (1, "z.net", 1, "allow")]
+
+
 def brute_walks(edges, trust, block, steps=8, d=0.85):
     def walk(links, seed):
         total = sum(seed.values())

@@ -36,6 +36,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def linked_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of ``op5`` on pages that link to each other's hosts, eight steps: here the walks decide."""
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    return url_filter.judge_urls(spark.sql(url_filter.LINKED), steps=8).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -95,12 +101,14 @@ QUERIES = {
     "op11_token_counts": op11_token_counts,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
+    "linked_urls": linked_urls,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_pii": pii.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "linked_urls": url_filter.ORACLE_LINKED,
     "op6_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,

@@ -84,7 +84,7 @@ class Patterns:
             less[ok] = self.whole[mid[ok]] < whole[ok]
             left, right = np.where(ok & less, mid + 1, left), np.where(ok & ~less, mid, right)
         # Patterns of one hash follow each other; all of them are compared.
-        places, patterns = [], []
+        places, patterns = [at[:0]], [lo[:0]]
         while len(at):
             hit = left < hi
             hit[hit] = self.whole[left[hit]] == whole[hit]

@@ -408,7 +408,8 @@ def score_documents(
     any. Null and empty texts have no words and a sum of 0. Repeated rows are
     scored alike. The model is trained on all documents unless given, and words are counted
     in them unless ``counts`` (see :func:`count_words`) are given. An empty
-    table gives an empty result; other columns are not looked at.
+    table gives an empty result; other columns are not looked at. A null key stays null, and
+    its row is scored like all others.
     """
     net, table = model or train(docs, text, **options)
     counts = count_words(docs, text) if counts is None else counts

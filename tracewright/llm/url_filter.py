@@ -138,7 +138,12 @@ def judge_urls(
     return out.select(F.col("key").alias(key), "host", "path", "rule", trust.alias("trust"), distrust.alias("distrust"), F.coalesce("said", method).alias("verdict"))
 
 
-def oracle(steps: int = 8) -> str:
+#: Pages with one more link each, to another page of the table: links between hosts, which the bundled pages lack.
+LINKED = """select p.page_id, p.url, concat(coalesce(p.html, ''), ' <a href="', coalesce(q.url, ''), '">') as html
+ from pages p left join (select url, row_number() over (order by page_id) - 1 as place from pages) q on q.place = (p.page_id * 7 + 3) % (select count(*) from pages)"""
+
+
+def oracle(steps: int = 8, pages: str = "pages") -> str:
     walk = "\n".join(
         f"""), r{k + 1} as materialized (
   select walk, host, sum(v) as v from (
@@ -150,7 +155,7 @@ def oracle(steps: int = 8) -> str:
     return rf"""
 with u as (
   select page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') as host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from {pages}
 ), j as (
   select page_id, host, path, case
     when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
@@ -184,3 +189,4 @@ from s left join t on s.host = t.host
 
 
 ORACLE = oracle()
+ORACLE_LINKED = oracle(8, f"({LINKED}) as linked")
