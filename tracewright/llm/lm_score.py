@@ -105,15 +105,6 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> _U(48)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            total += np.bincount(_counter(word_hashes(words_of(part.column("text")))), minlength=COUNTERS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
-
-
 def _contexts(w, classes: np.ndarray) -> np.ndarray:
     """Classes at the four places around each word."""
     n = len(classes)
@@ -179,8 +170,12 @@ class Trainer:
     def _move(self, name: str, gradient: np.ndarray, rows=None) -> None:
         a, s = getattr(self.net, name), self.seen[self.net.NAMES.index(name)]
         if rows is None:
-            s += gradient**2
-            a -= self.rate * gradient / np.sqrt(s)
+            step = gradient * gradient
+            s += step
+            np.sqrt(s, out=step)
+            np.divide(gradient, step, out=step)
+            step *= self.rate
+            a -= step
         else:
             s[rows] += gradient**2
             a[rows] -= self.rate * gradient / np.sqrt(s[rows])
@@ -296,13 +291,14 @@ def add_slices(sent: DataFrame) -> DataFrame:
 
 
 def train(
-    docs: DataFrame, text: str = "text", hidden: int = 24, mask: float = 0.5, rate: float = 0.3, batch_size: int = 1024, seed: int = 11
+    docs: DataFrame, text: str = "text", hidden: int = 24, mask: float = 0.5, rate: float = 0.3, batch_size: int = 1024, seed: int = 11, counts: DataFrame | None = None
 ) -> tuple[Network, np.ndarray]:
-    """The network and the table of classes, from all positions of all documents."""
+    """The network and the table of classes, from all positions of all documents; ``counts`` are those of :func:`count_words`, if they are there."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    counts = map_arrow(rows, _count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
+    counts = count_words(docs, text) if counts is None else counts
+    by_counter = counts.groupBy(F.shiftrightunsigned("h", 64 - COUNTERS.bit_length() + 1).alias("counter")).agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
     counters = np.zeros(COUNTERS, np.int64)
-    counters[counts["counter"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    counters[by_counter["counter"].to_numpy(np.int64)] = by_counter["n"].to_numpy(np.int64)
     table, by_class = class_table(counters)
     net = fresh(by_class, hidden, seed)
     rounds = math.ceil(1 / mask)
@@ -411,8 +407,8 @@ def score_documents(
     table gives an empty result; other columns are not looked at. A null key stays null, and
     its row is scored like all others.
     """
-    net, table = model or train(docs, text, **options)
     counts = count_words(docs, text) if counts is None else counts
+    net, table = model or train(docs, text, counts=counts, **options)
     inside = word_model(counts, table)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
