@@ -4,8 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import connect, same
 from tracewright.functions import numeric
 from tracewright.operators import joins, metrics, packing, rewards, select, validate
+from tracewright.plans import selection
 from tracewright.streaming import judge
 
 
@@ -28,6 +30,17 @@ def test_fixed_groups_raise(spark):
         select.fixed_groups(rows, "i", 4, ["sig"]).collect()
 
 
+def test_fixed_groups_keep_short_and_mixed_ones(spark, tmp_path):
+    """13 documents, one without an id: the query gives the short groups that its SQL has."""
+    ids = spark.range(13).select(F.when(F.col("id") < 12, F.col("id")).alias("doc_id"))
+    ids.select("doc_id", F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("select 3L as doc_id, 1 as quality, 0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    same(spark, connect(str(tmp_path)), selection.fixed_groups, selection.ORACLES["fixed_groups"], str(tmp_path))
+    rows = spark.range(10).select(F.col("id").alias("i"), (F.col("id") == 5).alias("sig"))
+    out = select.fixed_groups(rows, "i", 4, ["sig"], strict=False).select("group_id", "whole").distinct().collect()
+    assert sorted(map(tuple, out)) == [(0, True), (1, False), (2, False)]
+
+
 def packed_by_a_loop(sizes, most):
     out, batch, used = [], 0, 0
     for n in sizes:

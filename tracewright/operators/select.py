@@ -79,12 +79,18 @@ def disjoint_sample(rows: DataFrame, group: str, key: str, correct: str, n: int,
     return first.unionByName(one_each(others, "wrong"))
 
 
-def fixed_groups(rows: DataFrame, index: str, size: int, signature: list[str]) -> DataFrame:
-    """Rows with ``group_id``, ``size`` contiguous rows each; raises on reading where a group is short or mixed."""
+def fixed_groups(rows: DataFrame, index: str, size: int, signature: list[str], strict: bool = True) -> DataFrame:
+    """Rows with ``group_id``, ``size`` contiguous rows each; raises on reading where a group is short or mixed.
+
+    Without ``strict`` such groups stay, and ``whole`` tells them apart. Rows without an index are a group of their own.
+    """
     out = rows.withColumn("group_id", F.floor(F.col(index) / size))
-    facts = out.groupBy("group_id").agg(F.count("*").alias("_n"), F.count_distinct(F.struct(*signature)).alias("_k"))
-    ok = F.when((F.col("_n") == size) & (F.col("_k") == 1), True).otherwise(F.raise_error(F.lit("incomplete or mixed group")).cast("boolean"))
-    return out.join(facts.where(ok), "group_id").drop("_n", "_k")
+    facts = out.groupBy(F.col("group_id").alias("_id")).agg(F.count("*").alias("_n"), F.count_distinct(F.struct(*signature)).alias("_k"))
+    whole = (F.col("_n") == size) & (F.col("_k") == 1)
+    if strict:
+        facts = facts.where(F.when(whole, True).otherwise(F.raise_error(F.lit("incomplete or mixed group")).cast("boolean")))
+        return out.join(facts.select("_id"), F.col("group_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return out.join(facts.select("_id", whole.alias("whole")), F.col("group_id").eqNullSafe(F.col("_id"))).drop("_id")
 
 
 def first_seen(rows: DataFrame, group: str, order: str, name: str = "group_order") -> DataFrame:
