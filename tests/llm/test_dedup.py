@@ -215,6 +215,39 @@ def test_near_large_groups_are_settled_by_pivots(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_near_sketches_are_moved_once_however_many_rounds(spark):
+    """Large nodes need several rounds; representatives are read twice for the roots of the trees, and once for all rounds."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, near_dedup.SKETCH).astype(np.uint16)
+    rows, read = [], spark.sparkContext.accumulator(0)
+    for uid in range(400):
+        s = base.copy() if uid < 200 else rng.integers(0, 1 << 16, near_dedup.SKETCH).astype(np.uint16)
+        s[rng.integers(0, near_dedup.SKETCH, 6)] = uid
+        rows.append((uid, bytearray(s.tobytes())))
+
+    def counted(batches):
+        for x in batches:
+            read.add(x.num_rows)
+            yield x
+
+    reps = spark.createDataFrame(rows, "uid long, sketch binary").repartition(3).mapInArrow(counted, "uid long, sketch binary")
+    links = near_dedup._candidates(reps, 12, 32, 2).select(F.col("a").cast("long"), F.col("b").cast("long"))
+    a, b = (np.array(c) for c in zip(*links.collect()))
+    v, root = components.forest(a, b)
+    assert sorted(v) == list(range(1, 200)) and set(root) == {0}
+    assert read.value == 3 * len(rows)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 17])
+def test_near_packs_stay_where_few_rows_are_wanted(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "BROADCAST_WANTED", most)
+    packs = spark.createDataFrame([(p, b"x%d" % p) for p in range(4)], "pack long, body binary")
+    rows = spark.createDataFrame([(p << near_dedup.ROW_BITS | r, r) for p in (1, 3) for r in range(p)], "uid long, cluster long")
+    out = near_dedup._by_pack(packs, rows, "uid", "cluster")
+    assert sorted((bytes(r.body), sorted(w.uid & 0xFFFF for w in r.wanted)) for r in out.collect()) == [(b"x1", [0]), (b"x3", [0, 1, 2])]
+    assert ("ResolvedHint" in out._jdf.queryExecution().analyzed().toString()) == (most > 0)
+
+
 def test_near_recall_at_the_threshold(spark):
     """Planted pairs at similarities of 0.80 to 0.82, each of its own words, and some a little below."""
     rng, texts = np.random.default_rng(3), []

@@ -53,6 +53,8 @@ PIVOTS = 8
 SET_WEIGHT = 128
 #: Full sets of pivots travel to the tasks up to so many bytes, and are joined by a shuffle beyond.
 BROADCAST_BYTES = 64 << 20
+#: So many wanted rows at most, of 100 bytes or less, travel to the packs; for more, packs are shuffled.
+BROADCAST_WANTED = 1 << 17
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,12 +352,12 @@ def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, p
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def _settled(large: DataFrame, reps: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+def _settled(large: DataFrame, sketched: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """Large nodes, as ``(uid, node, members)``, against their pivots: links, and ``(uid, node)`` of members that no pivot of note agrees with."""
-    held = large.select("uid", "node", "members").join(reps.select("uid", "sketch"), "uid")
+    held = large.select("uid", "node", "members").join(sketched, "uid")
     drawn = F.xxhash64("uid", "node")
     pivots = large.groupBy("node", F.pmod(drawn, F.lit(PIVOTS)).cast("int").alias("slot"))
-    pivots = pivots.agg(F.min_by("uid", drawn).alias("uid")).join(reps.select("uid", "sketch"), "uid")
+    pivots = pivots.agg(F.min_by("uid", drawn).alias("uid")).join(sketched, "uid")
     pivots = durable(pivots.groupBy("node").agg(F.collect_list(F.struct("slot", "uid", "sketch")).alias("pivots")))  # PIVOTS at most
     part = F.pmod(F.xxhash64("uid"), F.ceil(F.col("members") / small))
     parts = held.groupBy("node", part.alias("part")).agg(F.collect_list(F.struct("uid", "sketch")).alias("held"))
@@ -373,26 +375,30 @@ def _settled(large: DataFrame, reps: DataFrame, small: int) -> tuple[DataFrame,
 def _candidates(reps: DataFrame, trees: int, small: int, deeper: int) -> DataFrame:
     """Links ``(a, b)`` such that similar representatives are in one component."""
     nodes = map_arrow(reps.select("uid", "sketch"), _roots(trees), "uid long, node long")
-    links = None
+    links = sketched = None
     for k in range(deeper + 1):
         counts = durable(nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"))  # most nodes have one member
         shared = durable(nodes.join(counts, "node"))
         same = [F.bit_xor(F.xxhash64("uid", F.lit(salt))).alias(f"m{salt}") for salt in (1, 2)]
         few = shared.where(F.col("members") <= small).groupBy("node", "members").agg(*same)
         few = few.groupBy("members", "m1", "m2").agg(F.min("node").alias("node")).select("node")
-        full = shared.select("uid", "node").join(few, "node").join(reps.select("uid", "sketch"), "uid")
-        groups = full.groupBy("node").agg(F.collect_list(F.struct("uid", "sketch")).alias("members")).select("members")
+        full, large = shared.select("uid", "node").join(few, "node"), shared.where(F.col("members") > small)
+        if sketched is None:
+            # Sketches of what shares a node are fetched once, for all rounds; those of the others stay where they are.
+            full = durable(full)
+            met = full.select("uid").unionByName(large.select("uid")).distinct()
+            sketched = durable(reps.select("uid", "sketch").join(met, "uid", "left_semi"))
+        groups = full.join(sketched, "uid").groupBy("node").agg(F.collect_list(F.struct("uid", "sketch")).alias("members")).select("members")
         found = durable(map_arrow(groups, _compare_nodes, "a long, b long"))
         links = found if links is None else links.unionByName(found)
-        large = shared.where(F.col("members") > small)
         if not large.take(1):
             break
         if k < deeper:
-            near, rest = _settled(large, reps, small)
+            near, rest = _settled(large, sketched, small)
             links, rest = links.unionByName(near), durable(rest)
             left = durable(rest.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > 1))
             again = rest.join(left.where(F.col("members") <= small).select("node"), "node").select("uid", "node")
-            more = rest.join(left.where(F.col("members") > small).select("node"), "node").join(reps.select("uid", "sketch"), "uid")
+            more = rest.join(left.where(F.col("members") > small).select("node"), "node").join(sketched, "uid")
             nodes = durable(map_arrow(more.select("uid", "node", "sketch"), _deeper, "uid long, node long").unionByName(again))
         else:
             star = large.join(large.groupBy("node").agg(F.min("uid").alias("head")), "node").where(F.col("uid") != F.col("head"))
@@ -403,7 +409,9 @@ def _candidates(reps: DataFrame, trees: int, small: int, deeper: int) -> DataFra
 
 def _by_pack(packs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     """``(body, wanted)``: the packs of the rows' ``uid``, each with its rows."""
-    wanted = rows.groupBy(F.shiftright("uid", ROW_BITS).alias("pack")).agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    wanted = durable(rows.groupBy(F.shiftright("uid", ROW_BITS).alias("pack")).agg(F.collect_list(F.struct(*columns)).alias("wanted")))
+    if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_WANTED:
+        wanted = F.broadcast(wanted)
     return packs.join(wanted, "pack").select("body", "wanted")
 
 
