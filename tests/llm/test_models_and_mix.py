@@ -217,6 +217,25 @@ def test_probabilities_sum_to_one():
     assert np.exp(lm_score.log_probabilities(net, context, every)).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1, 40, 4000])
+def test_probabilities_and_steps_however_far_apart_values_are(scale):
+    """One shift serves all rows while values are near each other; beyond that every row has its own."""
+    rng = np.random.default_rng(4)
+    net = lm_score.fresh(rng.integers(1, 50, lm_score.CLASSES), 6, 1)
+    net.group, net.inner = net.group * np.float32(scale), net.inner * np.float32(scale)
+    context, classes = rng.integers(0, lm_score.CLASSES + 1, (4, 50)), rng.integers(0, lm_score.CLASSES, 50)
+    got = lm_score.log_probabilities(net, context, classes)
+    for t, (c, p) in enumerate(zip(classes, got)):
+        h = np.tanh(sum(net.place[i][context[i, t]].astype(float) for i in range(4)) + net.bias)
+        g, k = divmod(int(c), lm_score.GROUPS)
+        z = (h @ net.group + net.group_bias, h @ net.inner[g] + net.inner_bias[g])
+        want = sum(x[j] - x.max() - np.log(np.exp(x - x.max()).sum()) for x, j in zip(z, (g, k)))
+        assert p == pytest.approx(want, rel=1e-4, abs=1e-3)
+    trainer = lm_score.Trainer(net, 0.3)
+    trainer.step(context, classes)
+    assert np.isfinite(trainer.net.flat()).all()
+
+
 def test_scores(spark):
     """Words in their usual order are likelier than the same words shuffled, and every word counts."""
     rng = random.Random(0)

@@ -126,11 +126,25 @@ def _hidden(net: Network, context: np.ndarray) -> np.ndarray:
     return np.tanh(total + net.bias)
 
 
+_ONES = np.ones((GROUPS, 1), np.float32)
+
+
+def _lowered(z: np.ndarray) -> np.ndarray:
+    """Rows less one value for all, in place, so that exponentials neither overflow nor vanish; less their own maxima where values are far apart."""
+    top = z.max()
+    z -= top if top - z.min() < 60 else z.max(1, keepdims=True)  # maxima of short rows are slow
+    return z
+
+
 def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of rows less their maximum, in place, and their sums."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    return z, z.sum(1, keepdims=True)
+    """Exponentials of rows, up to a factor for each row, in place, and their sums."""
+    np.exp(_lowered(z), out=z)
+    return z, z @ _ONES
+
+
+def _sorted(values: np.ndarray) -> np.ndarray:
+    """Where classes are in their order, equal ones as they come; 16 bits are sorted by radix."""
+    return np.argsort(values.astype(np.int16), kind="stable")
 
 
 def _inner(net: Network, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,15 +160,19 @@ def _inner(net: Network, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.n
 
 def log_probabilities(net: Network, context: np.ndarray, classes: np.ndarray, step: int = 1 << 15) -> np.ndarray:
     out = np.empty(len(classes))
+    # Hidden values are within 1, so this bounds what exponentials are taken of. Rows do not depend on those beside them: equal texts score alike.
+    far = max((np.abs(w).sum(-2) + np.abs(b)).max() for w, b in ((net.group, net.group_bias), (net.inner, net.inner_bias))) > 60
     for lo in range(0, len(classes), step):
-        order = np.argsort(classes[lo : lo + step], kind="stable")  # classes of a group follow each other
+        order = _sorted(classes[lo : lo + step])  # classes of a group follow each other
         c = classes[lo : lo + step][order]
         h = _hidden(net, context[:, lo : lo + step][:, order])
         g, k, row = c // GROUPS, c % GROUPS, np.arange(len(c))
         score = np.zeros(len(c))
         for z, j in ((h @ net.group + net.group_bias, g), (_inner(net, h, g)[0], k)):
-            z -= z.max(1, keepdims=True)
-            score += z[row, j].astype(float) - np.log(np.exp(z).sum(1).astype(float))
+            if far:
+                z -= z.max(1, keepdims=True)
+            picked = z[row, j].astype(float)
+            score += picked - np.log(np.exp(z, out=z).sum(1).astype(float))
         out[lo : lo + step][order] = score
     return out
 
@@ -177,12 +195,13 @@ class Trainer:
             step *= self.rate
             a -= step
         else:
-            s[rows] += gradient**2
-            a[rows] -= self.rate * gradient / np.sqrt(s[rows])
+            seen = s[rows] + gradient * gradient
+            s[rows] = seen
+            a[rows] -= self.rate * gradient / np.sqrt(seen)
 
     def step(self, context: np.ndarray, classes: np.ndarray) -> None:
         net, n = self.net, len(classes)
-        order = np.argsort(classes, kind="stable")  # rows of a group are then a slice
+        order = _sorted(classes)  # rows of a group are then a slice
         context, classes = context[:, order], classes[order]
         h = _hidden(net, context)
         g, k, row = classes // GROUPS, classes % GROUPS, np.arange(n)
@@ -200,7 +219,8 @@ class Trainer:
             if at[i] < at[i + 1]:
                 dh[some] += d[some] @ net.inner[i].T
                 np.matmul(h[some].T, d[some], out=d_inner[i])
-                d_inner_bias[i] = d[some].sum(0)
+        there = np.flatnonzero(at[:-1] < at[1:])
+        d_inner_bias[there] = np.add.reduceat(d, at[there], axis=0)
         self._move("inner", d_inner)
         self._move("inner_bias", d_inner_bias)
         self._move("group", h.T @ dz)
@@ -208,7 +228,7 @@ class Trainer:
         da = (dh * (1 - h * h)).astype(np.float32)
         self._move("bias", da.sum(0))
         for i in range(len(_PLACES)):
-            order = np.argsort(context[i], kind="stable")
+            order = _sorted(context[i])
             at = context[i][order]
             heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             self._move("place", np.add.reduceat(da[order], heads, axis=0), (i, at[heads]))
