@@ -113,17 +113,16 @@ def _contexts(w, classes: np.ndarray) -> np.ndarray:
     for i, k in enumerate(_PLACES):
         lo, hi = max(0, -k), min(n, n - k)
         if lo < hi:
-            here = np.arange(lo, hi)
-            same = doc[here] == doc[here + k]
-            out[i, here[same]] = classes[here[same] + k]
+            np.copyto(out[i, lo:hi], classes[lo + k : hi + k], where=doc[lo:hi] == doc[lo + k : hi + k])
     return out
 
 
 def _hidden(net: Network, context: np.ndarray) -> np.ndarray:
-    total = net.place[0][context[0]]
+    total = net.place[0].take(context[0], axis=0)
     for i in range(1, len(_PLACES)):
-        total = total + net.place[i][context[i]]
-    return np.tanh(total + net.bias)
+        total += net.place[i].take(context[i], axis=0)
+    total += net.bias
+    return np.tanh(total, out=total)
 
 
 _ONES = np.ones((GROUPS, 1), np.float32)
@@ -147,14 +146,13 @@ def _sorted(values: np.ndarray) -> np.ndarray:
     return np.argsort(values.astype(np.int16), kind="stable")
 
 
-def _inner(net: Network, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What the second softmax is over, for rows in the order of their groups, and where each group begins."""
-    at = np.searchsorted(g, np.arange(GROUPS + 1))
-    z = np.empty((len(h), GROUPS), np.float32)
-    for i in range(GROUPS):
-        if at[i] < at[i + 1]:
-            np.matmul(h[at[i] : at[i + 1]], net.inner[i], out=z[at[i] : at[i + 1]])
-    z += net.inner_bias[g]
+def _inner(inner: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Products of rows, which are in the order of their groups, with their groups' weights, and where each group begins."""
+    at = np.searchsorted(g, np.arange(GROUPS + 1)).tolist()
+    z = np.empty((len(h), GROUPS), np.result_type(h, inner))
+    for i, (lo, hi) in enumerate(zip(at, at[1:])):
+        if lo < hi:
+            np.dot(h[lo:hi], inner[i], out=z[lo:hi])
     return z, at
 
 
@@ -165,73 +163,76 @@ def log_probabilities(net: Network, context: np.ndarray, classes: np.ndarray, st
     for lo in range(0, len(classes), step):
         order = _sorted(classes[lo : lo + step])  # classes of a group follow each other
         c = classes[lo : lo + step][order]
-        h = _hidden(net, context[:, lo : lo + step][:, order])
+        h = _hidden(net, context[:, lo : lo + step].take(order, axis=1))
         g, k, row = c // GROUPS, c % GROUPS, np.arange(len(c))
         score = np.zeros(len(c))
-        for z, j in ((h @ net.group + net.group_bias, g), (_inner(net, h, g)[0], k)):
+        for z, b, j in ((h @ net.group, net.group_bias, g), (_inner(net.inner, h, g)[0], net.inner_bias.take(g, axis=0), k)):
+            z += b
             if far:
                 z -= z.max(1, keepdims=True)
             picked = z[row, j].astype(float)
-            score += picked - np.log(np.exp(z, out=z).sum(1).astype(float))
+            score += picked - np.log(np.einsum("ij->i", np.exp(z, out=z)).astype(float))
         out[lo : lo + step][order] = score
     return out
 
 
 class Trainer:
-    """Steps of Adagrad on mini-batches."""
+    """Steps of Adagrad on mini-batches.
+
+    Biases are kept as rows below their weights, so that products give their values and gradients as well; ``net`` has views of both.
+    """
 
     def __init__(self, net: Network, rate: float):
-        self.net = net.like(net.flat().copy())
+        own = net.like(net.flat())
+        self.group, self.inner = np.vstack([own.group, own.group_bias]), np.concatenate([own.inner, own.inner_bias[:, None]], axis=1)
+        self.net = Network(own.place, own.bias, self.group[:-1], self.group[-1], self.inner[:, :-1], self.inner[:, -1])
         self.rate = rate
-        self.seen = [np.full(getattr(net, n).shape, 0.1, np.float32) for n in net.NAMES]
-
-    def _move(self, name: str, gradient: np.ndarray, rows=None) -> None:
-        a, s = getattr(self.net, name), self.seen[self.net.NAMES.index(name)]
-        if rows is None:
-            step = gradient * gradient
-            s += step
-            np.sqrt(s, out=step)
-            np.divide(gradient, step, out=step)
-            step *= self.rate
-            a -= step
-        else:
-            seen = s[rows] + gradient * gradient
-            s[rows] = seen
-            a[rows] -= self.rate * gradient / np.sqrt(seen)
+        self.seen = {n: np.full(getattr(net, n).shape, 0.1, np.float32) for n in net.NAMES}
+        self.cell = np.arange(own.place[0].size).reshape(own.place[0].shape)  # numbers of one place's weights
+
+    def _move(self, name: str, gradient: np.ndarray, at=()) -> None:
+        weights, seen = getattr(self.net, name)[at], self.seen[name][at]
+        step = gradient * gradient
+        seen += step
+        np.sqrt(seen, out=step)
+        np.divide(gradient, step, out=step)
+        step *= self.rate
+        weights -= step
 
     def step(self, context: np.ndarray, classes: np.ndarray) -> None:
         net, n = self.net, len(classes)
         order = _sorted(classes)  # rows of a group are then a slice
-        context, classes = context[:, order], classes[order]
-        h = _hidden(net, context)
+        context, classes = context.take(order, axis=1), classes.take(order)
+        hidden = _hidden(net, context)
+        h = np.ones((n, len(net.bias) + 1), np.float32)  # with a column for the biases
+        h[:, :-1] = hidden
         g, k, row = classes // GROUPS, classes % GROUPS, np.arange(n)
-        dz, total = _exp(h @ net.group + net.group_bias)
+        dz, total = _exp(h @ self.group)
         dz /= total * n
         dz[row, g] -= np.float32(1 / n)
-        dh = dz @ net.group.T
-        d, at = _inner(net, h, g)
+        d, at = _inner(self.inner, h, g)
         d, total = _exp(d)
         d /= total * n
         d[row, k] -= np.float32(1 / n)
-        d_inner, d_inner_bias = np.zeros_like(net.inner), np.zeros_like(net.inner_bias)
-        for i in range(GROUPS):
-            some = slice(at[i], at[i + 1])
-            if at[i] < at[i + 1]:
-                dh[some] += d[some] @ net.inner[i].T
-                np.matmul(h[some].T, d[some], out=d_inner[i])
-        there = np.flatnonzero(at[:-1] < at[1:])
-        d_inner_bias[there] = np.add.reduceat(d, at[there], axis=0)
-        self._move("inner", d_inner)
-        self._move("inner_bias", d_inner_bias)
-        self._move("group", h.T @ dz)
-        self._move("group_bias", dz.sum(0))
-        da = (dh * (1 - h * h)).astype(np.float32)
-        self._move("bias", da.sum(0))
+        dh, d_inner = np.empty_like(hidden), np.zeros_like(self.inner)
+        for i, (lo, hi) in enumerate(zip(at, at[1:])):
+            if lo < hi:
+                some = d[lo:hi]
+                np.dot(some, net.inner[i].T, out=dh[lo:hi])
+                np.dot(h[lo:hi].T, some, out=d_inner[i])
+        dh += dz @ net.group.T
+        d_group = h.T @ dz
+        self._move("inner", d_inner[:, :-1])
+        self._move("inner_bias", d_inner[:, -1])
+        self._move("group", d_group[:-1])
+        self._move("group_bias", d_group[-1])
+        da = dh * (1 - hidden * hidden)
+        self._move("bias", np.ones(n, np.float32) @ da)
+        # Gradients of contexts are added up weight by weight, without a sort; weights without any stay as they are.
+        values = da.ravel().astype(float)
         for i in range(len(_PLACES)):
-            order = _sorted(context[i])
-            at = context[i][order]
-            heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            self._move("place", np.add.reduceat(da[order], heads, axis=0), (i, at[heads]))
+            d_place = np.bincount(self.cell.take(context[i], axis=0).ravel(), values, self.cell.size)
+            self._move("place", d_place.astype(np.float32).reshape(self.cell.shape), i)
 
 
 def _targets(w, h: np.ndarray, share: int, shares: int) -> np.ndarray:
@@ -258,7 +259,7 @@ def _trainer(net: Network, table: np.ndarray, share: int, shares: int, rate: flo
                 context = _contexts(w, classes)
                 for lo in range(0, len(chosen), batch_size):
                     some = chosen[lo : lo + batch_size]
-                    trainer.step(context[:, some], classes[some])
+                    trainer.step(context.take(some, axis=1), classes.take(some))
                 done += len(chosen)
         if done:
             flat, me = trainer.net.flat().astype(np.float32).astype(float) * done, TaskContext.get().partitionId()
